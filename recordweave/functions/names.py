@@ -26,7 +26,7 @@ def normalize_award_name(c: Column) -> Column:
 def word_tokens(c: Column) -> Column:
     """Upper-case alphanumeric words in text order."""
     folded = F.trim(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+", " "))
-    return F.filter(F.split(folded, " "), lambda w: w != "")
+    return F.when(folded == "", F.array().cast("array<string>")).otherwise(F.split(folded, " "))
 
 
 def pad_cik(c: Column) -> Column:

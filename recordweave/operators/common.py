@@ -62,33 +62,35 @@ def positions(df: DataFrame, by: Sequence[str], score: str, row_id: str, out: st
     )
 
 
-def token_ngrams(tokens: Column, low: int, high: int) -> Column:
-    """``(pos, n, gram)`` for every run of ``low``..``high`` tokens."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - low, F.lit(0)))
-
-    def at(i: Column) -> Column:
-        return F.transform(
-            F.array(*[F.lit(n) for n in range(low, high + 1)]),
-            lambda n: F.struct(
-                i.alias("pos"), n.alias("n"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("gram")
-            ),
-        )
-
-    grams = F.flatten(F.transform(starts, at))
-    return F.filter(grams, lambda g: g["pos"] + g["n"] <= F.size(tokens))
-
-
 def match_phrases(
     docs: DataFrame, doc_id: str, tokens: str, phrases: DataFrame, phrase: str, low: int, high: int
 ) -> DataFrame:
     """Word-exact phrase hits: one row per (document, phrase row) with its first position.
 
-    An equi-join of token n-grams with the phrase table. Each phrase occurs once
-    in ``phrases``; whether it is small enough to broadcast is left to Spark, which
-    checks its size.
+    Two equi-joins. The first looks up each position's first ``low`` words among the
+    distinct phrase openings, which says how long the phrases with that opening are;
+    the second looks up just those runs of words. Both lookup keys are unique, so
+    neither a common opening nor a phrase found in every document multiplies rows.
+    Whether a lookup side is small enough to broadcast is left to Spark, which checks
+    its size.
     """
-    grams = docs.select(doc_id, F.explode(token_ngrams(F.col(tokens), low, high)).alias("g")).select(
-        doc_id, F.col("g.gram").alias(phrase), F.col("g.pos").alias("pos"), F.col("g.n").alias("n")
+    words = [f"_w{k}" for k in range(high)]
+    shifted = [F.slice(tokens, k + 1, F.size(tokens)).alias(w) for k, w in enumerate(words)]
+    runs = docs.select(doc_id, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "_run")).select(
+        doc_id, "pos", *[F.col(f"_run.{w}").alias(w) for w in words]
+    )
+    runs = runs.filter(F.col(words[low - 1]).isNotNull()).withColumn("_open", F.concat_ws(" ", *words[:low]))
+    split = F.split(phrase, " ")
+    openings = (
+        phrases.filter(F.size(split).between(low, high))
+        .groupBy(F.array_join(F.slice(split, 1, low), " ").alias("_open"))
+        .agg(F.collect_set(F.size(split)).alias("_sizes"))
+    )
+    grams = (
+        runs.join(openings, "_open")
+        .select(doc_id, "pos", F.explode("_sizes").alias("n"), F.array(*words).alias("_run"))
+        .filter(F.get("_run", F.col("n") - 1).isNotNull())
+        .select(doc_id, F.array_join(F.slice("_run", 1, F.col("n")), " ").alias(phrase), "pos", "n")
     )
     hits = grams.join(phrases, phrase)
     others = [c for c in hits.columns if c not in ("pos", "n")]

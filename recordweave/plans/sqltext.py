@@ -32,7 +32,7 @@ def normalize_award_name(e: str) -> str:
 
 
 def tokens(e: str) -> str:
-    folded = f"trim(regexp_replace(upper({e}), '[^A-Z0-9]+', ' ', 'g'))"
+    folded = f"trim(regexp_replace(upper(replace({e}, 'ß', 'ss')), '[^A-Z0-9]+', ' ', 'g'))"
     return f"list_filter(string_split({folded}, ' '), lambda w: w <> '')"
 
 
