@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordweave import dims
@@ -31,17 +31,26 @@ def per_desk(records: DataFrame) -> DataFrame:
     return records.select("*", F.explode("desks").alias("desk"))
 
 
-def corroboration(tagged: DataFrame) -> DataFrame:
-    """Other records of the desk that mention the row's primary name, per (desk, record_id).
+def mention_counts(tagged: DataFrame) -> DataFrame:
+    """Records per (desk, mentioned name), each record counted once.
 
-    Counted once per (desk, name) and joined back, instead of comparing all rows.
     ``tagged``: desk, record_id, names (all normalized mention names, first = primary).
     """
     mentions = tagged.select("desk", "record_id", F.explode(F.array_distinct("names")).alias("name"))
-    counts = mentions.filter("name != ''").groupBy("desk", "name").agg(F.count("*").alias("n"))
-    primary = tagged.select("desk", "record_id", F.get("names", 0).alias("name"))
-    return primary.join(counts, ["desk", "name"], "left").select(
-        "desk", "record_id", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).alias("corroboration")
+    return mentions.filter("name != ''").groupBy("desk", "name").agg(F.count("*").alias("n"))
+
+
+def corroboration(tagged: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Rows with the number of other records of the desk that mention their primary name.
+
+    Names are counted once per (desk, name) and looked up, instead of comparing all rows.
+    """
+    counts = mention_counts(tagged) if counts is None else counts
+    named = tagged.withColumn("name", F.get("names", 0))
+    return (
+        named.join(counts, ["desk", "name"], "left")
+        .withColumn("corroboration", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)))
+        .drop("name", "n")
     )
 
 
@@ -53,17 +62,16 @@ def amount_window(tagged: DataFrame) -> DataFrame:
     )
 
 
-def score(tagged: DataFrame, windows: DataFrame, corroborated: DataFrame) -> DataFrame:
+def score(tagged: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
     """Materiality per (desk, record). ``windows`` has one row per desk, a fixed handful."""
     return (
-        tagged.join(F.broadcast(windows), "desk", "left")
-        .join(corroborated, ["desk", "record_id"], "left")
+        corroboration(tagged, counts)
+        .join(F.broadcast(windows), "desk", "left")
         .withColumn("magnitude", scoring.magnitude(F.col("amount_usd"), F.col("low"), F.col("high"), F.col("points")))
         .withColumn(
             "score",
             scoring.materiality(
-                F.col("source_id"), F.col("magnitude"), F.col("entity_type"),
-                F.coalesce("corroboration", F.lit(0)), F.size("desks"),
+                F.col("source_id"), F.col("magnitude"), F.col("entity_type"), F.col("corroboration"), F.size("desks")
             ),
         )
         .drop("low", "high", "points")
@@ -148,14 +156,17 @@ def select_facts(
     pool = max(limit, research_cut, news_floor)
     # a row can only be chosen if it is near the top of its own class
     short = top_n(candidates.withColumn("_class", group), ["desk", "_class"], order, pool, "_class_rank")
-    held = top_n(short.filter((F.col("_class") == "research")), ["desk"], order, max(research_cut, 1), "_k") \
-        .groupBy("desk").agg(F.least(F.count("*"), F.lit(research_cut)).alias("_held"))
-    news_cut = F.least(F.lit(max(news_floor, 0)), F.lit(limit) - F.coalesce("_held", F.lit(0)))
+    # from here a desk has at most three short lists, so a window over them is small
+    held = F.count_if((F.col("_class") == "research") & (F.col("_class_rank") <= research_cut)).over(
+        Window.partitionBy("desk")
+    )
+    short = short.withColumn("_held", held)
+    news_cut = F.least(F.lit(max(news_floor, 0)), F.lit(limit) - F.col("_held"))
     reserved = (
         (F.col("_class") == "research") & (F.col("_class_rank") <= research_cut)
         | (F.col("_class") == "news") & (F.col("_class_rank") <= news_cut)
     )
-    ranked = short.join(held, "desk", "left").withColumn("reserved", reserved)
+    ranked = short.withColumn("reserved", reserved)
     return top_n(ranked, ["desk"], [F.desc("reserved"), *order], limit, "_slot").drop(
         "_class", "_class_rank", "_held", "_slot"
     )
