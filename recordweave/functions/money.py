@@ -10,14 +10,15 @@ from recordweave.functions.text import blank_to_null, let, strip
 
 
 def _amounts(text: Column, pattern: str) -> Column:
+    """Dollar values in text order: one pass over the text, then each short hit is read."""
     scales = F.create_map(*[F.lit(x) for kv in dims.AMOUNT_SCALES.items() for x in kv])
-    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.zip_with(
-        numbers, words,
-        lambda n, w: F.replace(n, F.lit(","), F.lit("")).cast("double")
-        * F.coalesce(F.try_element_at(scales, F.lower(w)), F.lit(1.0)),
-    )
+
+    def dollars(hit: Column) -> Column:
+        number = F.replace(F.regexp_extract(hit, r"\d[\d,]*(?:\.\d+)?", 0), F.lit(","), F.lit(""))
+        word = F.lower(F.regexp_extract(hit, "[A-Za-z]+", 0))
+        return number.cast("double") * F.coalesce(F.try_element_at(scales, word), F.lit(1.0))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), dollars)
 
 
 def amounts_usd(text: Column) -> Column:
@@ -40,11 +41,13 @@ def long_dates(text: Column) -> Column:
 
 def excerpt(text: Column, chars: int = dims.EXCERPT_CHARS) -> Column:
     """A window that opens a third before the first amount, else after the cover page."""
-    first = F.regexp_instr(text, F.lit(dims.AMOUNT_PATTERN)) - 1
-    start = F.when(first >= 0, F.greatest(F.lit(0), first - chars // 3)).otherwise(
-        F.least(F.length(text), F.lit(dims.BOILERPLATE_CHARS))
-    )
-    return strip(F.substr(text, start + 1, F.lit(chars)))
+
+    def start(at: Column) -> Column:
+        return F.when(at > 0, F.greatest(F.lit(1), at - chars // 3)).otherwise(
+            F.least(F.length(text), F.lit(dims.BOILERPLATE_CHARS)) + 1
+        )
+
+    return strip(F.substr(text, let(F.regexp_instr(text, F.lit(dims.AMOUNT_PATTERN)), start), F.lit(chars)))
 
 
 def key_amount(headline: Column, body: Column) -> Column:
@@ -73,20 +76,24 @@ def _unit(value: Column) -> Column:
     return F.when(value >= 1e9, "B").when(value >= 1e6, "M").when(value >= 1e3, "K").otherwise("")
 
 
+def _fixed(v: Column, digits: Column) -> Column:
+    """Fixed decimals, rounded on the exact binary value, without group commas."""
+    return F.replace(F.call_function("format_number", v, digits), F.lit(","), F.lit(""))
+
+
 def general_format(v: Column) -> Column:
     """Six significant digits without trailing zeros (plain notation below 1e6, else exponent)."""
-    rounded = F.format_string("%.5e", v)  # d.ddddde+xx carries both digits and exponent
-
-    def shape(text: Column) -> Column:
-        exponent = F.substring_index(text, "e", -1).cast("int")
-        plain = text.try_cast("decimal(20,10)").cast("string")
-        trim = lambda c: F.when(F.contains(c, F.lit(".")), F.regexp_replace(c, r"\.?0+$", "")).otherwise(c)
-        mantissa = trim(F.substring_index(text, "e", 1))
-        return F.when(exponent.between(-4, 5), trim(plain)).otherwise(
-            F.concat(mantissa, F.lit("e"), F.substring_index(text, "e", -1))
+    trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+    def shape(e: Column) -> Column:
+        scaled = _fixed(v / F.pow(F.lit(10.0), e), F.lit(5))
+        sign = F.when(e < 0, "-").otherwise("+")
+        return F.when(e.between(-4, 5), trim(_fixed(v, F.greatest(F.lit(5) - e, F.lit(0))))).otherwise(
+            F.concat(trim(scaled), F.lit("e"), sign, F.lpad(F.abs(e).cast("string"), 2, "0"))
         )
 
-    return F.when(v == 0, "0").otherwise(let(rounded, shape))
+    exponent = F.substring_index(F.format_string("%.16e", v), "e", -1).try_cast("int")
+    return F.when(v == 0, "0").when(v.isNotNull(), let(exponent, shape))
 
 
 def format_usd(value: Column) -> Column:
@@ -98,35 +105,35 @@ def format_usd_display(value: Column) -> Column:
     """``$1.5B`` with one decimal unless whole; small values as they are."""
     n = _scaled(value)
     whole = F.format_string("%d", n.cast("bigint"))
-    part = F.when(value >= 1e3, F.format_string("%.1f", n)).otherwise(n.cast("string"))
+    # quarters are exact halves of a tenth and go up; everything else goes by its binary value
+    tenth = F.when(n * 4 % 1 == 0, F.format_string("%.1f", n)).otherwise(_fixed(n, F.lit(1)))
+    part = F.when(value >= 1e3, tenth).otherwise(n.cast("string"))
     return F.concat(F.lit("$"), F.when(n % 1 == 0, whole).otherwise(part), _unit(value))
 
 
 def fact_summary(amounts: Column, rates: Column, dates: Column) -> Column:
-    """Largest three amounts and rates and the first three dates, blank when there are none."""
+    """Largest three amounts and rates and the first three dates, blank when there are none.
+
+    A prefix goes only before a non-blank list, by pattern, so each list is built once.
+    """
 
     def top(values: Column, shown, suffix: str = "") -> Column:
         best = F.slice(F.sort_array(F.array_distinct(values), asc=False), 1, 3)
         return F.array_join(F.transform(best, lambda v: F.concat(shown(v), F.lit(suffix))), ", ")
 
-    parts = F.concat_ws(
-        " | ",
-        F.when(F.size(amounts) > 0, F.concat(F.lit("amounts "), top(amounts, format_usd))),
-        F.when(F.size(rates) > 0, F.concat(F.lit("rates "), top(rates, general_format, "%"))),
-        F.when(
-            F.size(dates) > 0,
-            F.concat(F.lit("dates "), F.array_join(F.slice(F.array_distinct(dates), 1, 3), "; ")),
-        ),
+    lead = lambda word, c: F.regexp_replace(c, r"^(?=[\s\S])", f"{word} ")
+    parts = F.array(
+        lead("amounts", top(amounts, format_usd)), lead("rates", top(rates, general_format, "%")),
+        lead("dates", F.array_join(F.slice(F.array_distinct(dates), 1, 3), "; ")),
     )
-    return F.when(parts != "", F.concat(F.lit("Key figures: "), parts, F.lit("."))).otherwise("")
+    joined = F.array_join(F.array_remove(parts, ""), " | ")
+    return F.regexp_replace(joined, r"^([\s\S]+)$", "Key figures: $1.")
 
 
 def enriched_chunk(metadata: Column, body: Column, chars: int = dims.EXCERPT_CHARS) -> Column:
     """Metadata line, key figures and excerpt, blanks dropped."""
     summary = fact_summary(amounts_usd(body), percentages(body), long_dates(body))
-    return F.concat_ws(
-        " ", blank_to_null(metadata), blank_to_null(summary), blank_to_null(excerpt(body, chars))
-    )
+    return F.array_join(F.array_remove(F.array(metadata, summary, excerpt(body, chars)), ""), " ")
 
 
 def form_d(xml: Column) -> Column:

@@ -17,13 +17,20 @@ SPACE = (
 LINE_END = r"\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}"
 
 
+# the same characters as a plain list, for trimming without a pattern
+SPACE_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, null stays null."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def squash(c: Column) -> Column:
@@ -144,7 +151,7 @@ def _labelled(label: str, value: Column) -> Column:
 
 def whole_dollars(amount: Column) -> Column:
     """``1234567`` -> ``1,234,567``, halves to even."""
-    return F.format_number(F.bround(amount, 0), 0)
+    return F.format_number(amount, 0)
 
 
 def award_chunk(description, recipient, amount, agency, sub_agency, start, end) -> Column:

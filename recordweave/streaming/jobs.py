@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordweave import dims
 from recordweave.session import run_dir
@@ -46,7 +47,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[
 
 
 def _with_batch(stream: DataFrame):
-    return stream.schema.add("batch", "int") if "batch" not in stream.columns else stream.schema
+    return T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
 
 
 def dedup(events: DataFrame, key: list[str], at: str, window_days: int = dims.HOT_WINDOW_DAYS) -> DataFrame:
