@@ -39,7 +39,8 @@ def sentences(body: Column) -> Column:
     """
     marked = F.regexp_replace(strip(body), rf"(?<=[.!?]){SPACE}+(?=[A-Z])", _CUT)
     short = "|".join(a.replace(".", r"\.") for a in dims.ABBREVIATIONS)
-    joined = F.regexp_replace(marked, rf"(?i)(?<=^|[ {_CUT}])((?:{short})\.+){_CUT}", "$1 ")
+    # the mark comes first in the pattern, so words are only looked at where a mark stands
+    joined = F.regexp_replace(marked, rf"(?i){_CUT}(?<=(?:^|[ {_CUT}])(?:{short})\.{{1,40}}{_CUT})", " ")
     return F.split(joined, _CUT)
 
 

@@ -146,7 +146,7 @@ def item_type(value: Column) -> Column:
 # --- chunk templates: one citable line per source ---------------------------------
 
 def _labelled(label: str, value: Column) -> Column:
-    return F.when(squash(value) != "", F.concat(F.lit(f"{label}: "), value))
+    return F.when(strip(value) != "", F.concat(F.lit(f"{label}: "), value))
 
 
 def whole_dollars(amount: Column) -> Column:

@@ -76,9 +76,10 @@ def match_phrases(
     """
     words = [f"_w{k}" for k in range(high)]
     shifted = [F.slice(tokens, k + 1, F.size(tokens)).alias(w) for k, w in enumerate(words)]
-    runs = docs.select(doc_id, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "_run")).select(
+    runs = docs.select(doc_id, F.posexplode_outer(F.arrays_zip(*shifted)).alias("pos", "_run")).select(
         doc_id, "pos", *[F.col(f"_run.{w}").alias(w) for w in words]
     )
+    # outer above: the plain form would zip every text twice, once to test for emptiness
     runs = runs.filter(F.col(words[low - 1]).isNotNull()).withColumn("_open", F.concat_ws(" ", *words[:low]))
     split = F.split(phrase, " ")
     openings = (

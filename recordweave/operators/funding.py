@@ -19,7 +19,8 @@ def funding_edges(awards: DataFrame, recipients: DataFrame) -> DataFrame:
         F.upper(strip(F.col("recipient_uei"))).alias("uei"),
         strip(F.col("awarding_agency")).alias("agency"),
         F.coalesce(F.col("amount_usd").try_cast("double"), F.lit(0.0)).alias("amount"),
-        "start_date",
+        # a date, not text: the aggregate then runs in hash tables instead of sorting all awards
+        F.col("start_date").try_cast("date").alias("start_date"),
     ).filter("agency != ''")
     known = recipients.select(F.upper("uei").alias("uei"), "entity")
     return (
@@ -30,7 +31,7 @@ def funding_edges(awards: DataFrame, recipients: DataFrame) -> DataFrame:
         .groupBy("agency", "entity")
         .agg(
             F.round(F.sum("usd"), 2).alias("total_usd"), F.sum("n").alias("award_count"),
-            F.max("last").alias("last_award"),
+            F.max("last").cast("string").alias("last_award"),
         )
     )
 

@@ -124,12 +124,11 @@ def resolve(mentions: DataFrame, identifiers: DataFrame, aliases: DataFrame) ->
     normalized name; mentions of the same unknown identifier get the same minted id.
     """
     exact = by_identifier(mentions, identifiers)
-    named = mentions.join(exact.select("mention_id"), "mention_id", "left_anti").withColumn(
-        "name", normalize_mention(F.col("mention"))
-    )
-    verdicts = decide(candidates(named.filter("name != ''").select("name"), aliases))
-    # a name nobody resembles has no verdict row; a hot name meets one row per verdict
-    by_name = named.join(verdicts, "name", "left")
+    unknown = mentions.join(exact.select("mention_id"), "mention_id", "left_anti")
+    # every spelling is normalized and resolved once, however many mentions use it
+    spelled = unknown.select("mention").distinct().withColumn("name", normalize_mention(F.col("mention")))
+    verdicts = decide(candidates(spelled.filter("name != ''").select("name"), aliases))
+    by_name = unknown.join(spelled.join(verdicts, "name", "left"), "mention", "left")
     minted = minted_id(F.col("ids"))
     fuzzy = by_name.select(
         "mention_id",

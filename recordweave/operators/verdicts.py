@@ -11,7 +11,8 @@ from recordweave.operators.common import first_row
 
 def claims(items: DataFrame, item: str = "item_id", body: str = "body") -> DataFrame:
     """One row per claim: item, claim (position in the body), text, indices."""
-    return items.select(item, F.explode(citations.claims(F.col(body))).alias("c")).select(
+    # outer: the plain form would cut every body into sentences twice, once to test for emptiness
+    return items.select(item, F.explode_outer(citations.claims(F.col(body))).alias("c")).filter("c IS NOT NULL").select(
         item, F.col("c.position").alias("claim"), F.col("c.text").alias("text"), F.col("c.indices").alias("indices")
     )
 

@@ -40,8 +40,10 @@ def _records(rows: DataFrame, source_id: str, record_type: str, **columns: Colum
 
 
 def _json_rows(landed: DataFrame, schema: str, path: str, row: str = "r") -> DataFrame:
+    # the outer form keeps Spark from adding a "not empty" filter that would parse every payload twice
     parsed = landed.withColumn("p", F.from_json("payload", schema))
-    return parsed.select("probe_desks", "probe_theme", "fetched_at", F.explode(f"p.{path}").alias(row))
+    rows = parsed.select("probe_desks", "probe_theme", "fetched_at", F.explode_outer(f"p.{path}").alias(row))
+    return rows.filter(F.col(row).isNotNull())
 
 
 def awards(landed: DataFrame, as_of: str) -> DataFrame:
@@ -204,7 +206,7 @@ def news(landed: DataFrame) -> DataFrame:
 def papers(landed: DataFrame) -> DataFrame:
     """Atom answers of a paper archive; the lead author is the mention."""
     parsed = landed.withColumn("p", F.from_xml("payload", schemas.ATOM))
-    entry = parsed.select("probe_desks", "probe_theme", "fetched_at", F.explode("p.entry").alias("e"))
+    entry = parsed.select("probe_desks", "probe_theme", "fetched_at", F.explode_outer("p.entry").alias("e"))
     link = squash(F.col("e.id"))
     tail = F.when(F.contains(link, F.lit("/abs/")), F.substring_index(link, "/abs/", -1)).otherwise(
         F.substring_index(link, "/", -1)
@@ -272,7 +274,7 @@ def feeds(landed: DataFrame) -> DataFrame:
     rows = (
         parsed.select(
             "probe_desks", F.col("probe_theme").alias("outlet"), "fetched_at",
-            F.posexplode(F.coalesce(rss.cast(item), atom.cast(item))).alias("pos", "i"),
+            F.posexplode_outer(F.coalesce(rss.cast(item), atom.cast(item))).alias("pos", "i"),
         )
         .filter(F.col("pos") < dims.MAX_ITEMS_PER_FEED)
         .select(
@@ -304,7 +306,7 @@ def timelines(landed: DataFrame) -> DataFrame:
 
 def companies(landed: DataFrame) -> DataFrame:
     """Company reference rows from a map keyed by row number; the first row of a CIK wins."""
-    parsed = landed.select(F.explode(F.from_json("payload", schemas.COMPANIES)).alias("row", "c"))
+    parsed = landed.select(F.explode_outer(F.from_json("payload", schemas.COMPANIES)).alias("row", "c"))
     rows = parsed.select(
         F.col("row").cast("bigint").alias("row"), F.upper(strip(F.coalesce("c.ticker", F.lit("")))).alias("ticker"),
         strip(F.coalesce("c.title", F.lit(""))).alias("name"), pad_cik(F.col("c.cik_str")).alias("cik"),
@@ -321,7 +323,7 @@ def verdicts(answers: DataFrame) -> DataFrame:
     """Verdict rows from raw model answers, fenced or bare. ``answers``: item_id, answer."""
     schema = "struct<claim_evaluations: array<struct<id: string, supported: boolean>>>"
     parsed = answers.select("item_id", F.from_json(tx.verdict_json(F.col("answer")), schema).alias("v"))
-    return parsed.select("item_id", F.explode("v.claim_evaluations").alias("e")).select(
+    return parsed.select("item_id", F.explode_outer("v.claim_evaluations").alias("e")).filter("e IS NOT NULL").select(
         "item_id", F.regexp_replace("e.id", "^c", "").try_cast("int").alias("claim"),
         F.coalesce("e.supported", F.lit(False)).alias("supported"),
     )
