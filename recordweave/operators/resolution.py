@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordweave import dims
 from recordweave.functions.names import jaccard, normalize_mention, trigrams
 from recordweave.operators.common import top_n
+from recordweave.session import stage
 
 # a trigram in more aliases than this is spread over several salts
 HOT_GRAM = 5000
@@ -126,7 +127,9 @@ def resolve(mentions: DataFrame, identifiers: DataFrame, aliases: DataFrame) ->
     exact = by_identifier(mentions, identifiers)
     unknown = mentions.join(exact.select("mention_id"), "mention_id", "left_anti")
     # every spelling is normalized and resolved once, however many mentions use it
-    spelled = unknown.select("mention").distinct().withColumn("name", normalize_mention(F.col("mention")))
+    spelled = stage(
+        unknown.select("mention").distinct().withColumn("name", normalize_mention(F.col("mention"))), "spellings"
+    )
     verdicts = decide(candidates(spelled.filter("name != ''").select("name"), aliases))
     by_name = unknown.join(spelled.join(verdicts, "name", "left"), "mention", "left")
     minted = minted_id(F.col("ids"))
