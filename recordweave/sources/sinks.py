@@ -49,9 +49,9 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 def replace_briefs(briefs: DataFrame, items: DataFrame, citations: DataFrame, root: str) -> None:
     """Replace briefs by (desk, date) together with their items and citations.
 
-    Children carry desk and date, so a rerun replaces the same three partitions. A
-    brief that lost all its items is still replaced: its children are rewritten
-    from the brief's own (desk, date) list.
+    Children carry desk and date, so a rerun replaces the same partitions. A brief
+    that has no children leaves one row of nulls in their place, so its old
+    children go too; :func:`read_children` leaves such rows out.
     """
     by = ["desk", "date"]
     for name, df in (("citations", citations), ("brief_items", items)):
@@ -61,6 +61,10 @@ def replace_briefs(briefs: DataFrame, items: DataFrame, citations: DataFrame, ro
     overwrite_partitions(briefs, f"{root}/briefs", by)
 
 
+def read_children(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}").filter(F.col(key).isNotNull())
+
+
 def write_edges(next_state: DataFrame, root: str, version: str) -> str:
     """Write one version of the edge table, open and closed rows apart; returns its folder.
 
