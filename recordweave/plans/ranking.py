@@ -61,8 +61,8 @@ corr AS (SELECT t.desk, record_id, greatest(coalesce(n, 0) - 1, 0) AS corroborat
   LEFT JOIN per_name p ON p.desk = t.desk AND p.name = t.names[1])"""
 _AUTHORITY = sq.case("source_id", dims.SOURCE_WEIGHTS, "0.6")
 _IMPORTANCE = sq.case("entity_type", dims.ENTITY_IMPORTANCE, "0.5")
-_BUCKET = "CASE WHEN amount_usd = 0 THEN 0.0 " + " ".join(
-    f"WHEN amount_usd < {b} THEN {v}" for b, v in dims.MAGNITUDE_BUCKETS) + " ELSE 1.0 END"
+_BUCKET = "CAST(CASE WHEN amount_usd = 0 THEN 0.0 " + " ".join(
+    f"WHEN amount_usd < {b} THEN {v}" for b, v in dims.MAGNITUDE_BUCKETS) + " ELSE 1.0 END AS DOUBLE)"
 SCORED = f"""{RECORDS},
 win AS (SELECT desk, min(nullif(amount_usd, 0)) AS low, max(nullif(amount_usd, 0)) AS high, count(nullif(amount_usd, 0)) AS points
   FROM tagged GROUP BY desk),

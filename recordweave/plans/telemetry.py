@@ -130,7 +130,7 @@ def document_batches(t):
     return rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1")
 
 
-@query("ingest_volume", """SELECT user_id AS source_id, sum(CAST(json_extract_string(props, '$.k') AS INT)) AS records_new FROM events
+@query("ingest_volume", """SELECT user_id AS source_id, CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS records_new FROM events
 WHERE event_type <> 'error' GROUP BY user_id HAVING records_new > 0""")
 def ingest_volume(t):
     return telemetry.ingest_volume(runs(t))

@@ -144,7 +144,7 @@ dom AS (SELECT item_id, source_id FROM (SELECT item_id, source_id, count(*) AS n
   QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, f) = 1)"""
 
 
-@query("brief_citations", f"""WITH {_CITED_PASSAGES} SELECT brief_id, item_id, idx AS "index", source_id,
+@query("brief_citations", f"""WITH {_CITED_PASSAGES} SELECT brief_id, item_id, CAST(idx AS BIGINT) AS "index", source_id,
   CASE WHEN source_id IN ('gdelt', 'feeds') THEN 'scrape_gray' ELSE 'public_domain' END AS license_class,
   octet_length(encode('{{"index":' || idx || ',"source_id":"' || source_id || '"}}')) AS payload_size FROM cited""")
 def brief_citations(t):
@@ -201,7 +201,7 @@ def keep_drop_eval(t):
     return verdicts.significance_metrics(rows)
 
 
-@query("verdict_load", """SELECT doc_id AS item_id, CAST(c AS INT) AS claim, quality = 1 AND c = 0 AS supported
+@query("verdict_load", """SELECT doc_id AS item_id, CAST(c AS BIGINT) AS claim, quality = 1 AND c = 0 AS supported
 FROM labels, (SELECT unnest([0, 1]) AS c) WHERE doc_id % 3 <> 2""")
 def verdict_load(t):
     body = F.concat(
