@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordweave import dims
 from recordweave.functions.names import normalize_mention, same_normalized_company
 from recordweave.functions.scoring import confidence, recency_weight
+from recordweave.session import stage
 
 # largest item whose entities are held in one array; larger items are paired block by block
 SMALL_ITEM = 64
@@ -34,8 +35,7 @@ def _large_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     blocks = F.ceil(F.col("size") / SMALL_ITEM)
     keyed = (
-        members.distinct()
-        .join(sizes, "item")
+        members.join(sizes, "item")
         .withColumn("blocks", blocks.cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
     )
@@ -54,12 +54,13 @@ def _large_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def co_pairs(members: DataFrame) -> DataFrame:
-    """Every unordered pair of distinct entities of an item, smaller id first.
+def pair_up(members: DataFrame) -> DataFrame:
+    """Every unordered pair of entities of an item, smaller id first.
 
-    Input rows are ``(item, desk, at, entity)`` and may repeat. Item sizes are
-    counted first (a map-side aggregate over one column); only the few items above
-    ``SMALL_ITEM`` rows take the block path.
+    ``members`` holds each (item, desk, at, entity) once and is read several times,
+    so it should be a stored table. Item sizes are counted first (a map-side
+    aggregate over one column); only the few items above ``SMALL_ITEM`` take the
+    block path.
     """
     sizes = members.groupBy("item").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL_ITEM)
     small = members.join(sizes.select("item"), "item", "left_anti")
@@ -67,6 +68,15 @@ def co_pairs(members: DataFrame) -> DataFrame:
     return _small_pairs(small).unionByName(_large_pairs(large, sizes))
 
 
+def co_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of distinct entities per item; input rows may repeat.
+
+    Repeats go first, by a shuffle on item *and* entity: an item that holds a third
+    of all rows is then no longer than its list of distinct entities.
+    """
+    return pair_up(stage(members.distinct(), "members"))
+
+
 def _desk_bit(desk: Column, desks: list[str]) -> Column:
     position = F.array_position(F.array(*[F.lit(d) for d in sorted(desks)]), desk)
     bad = F.raise_error(F.concat(F.lit("desk not in the desk list: "), desk))
@@ -103,7 +113,8 @@ def convergence_edges(
     """Decayed co-appearance edges above the floor, pairs over several desks boosted first."""
     age = F.date_diff(F.lit(as_of).cast("date"), F.col("at").cast("date"))
     decay = recency_weight(age, half_life)
-    pairs = co_pairs(_could_reach_floor(members, decay, floor, boost))
+    # only entities that can reach the floor are paired, and their rows are stored once
+    pairs = pair_up(stage(_could_reach_floor(members.distinct(), decay, floor, boost), "members"))
     summed = pairs.groupBy("a", "b").agg(
         F.sum(decay).alias("raw"),
         F.count("*").alias("co_count"),

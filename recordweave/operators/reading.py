@@ -107,31 +107,34 @@ def entity_360(entities: DataFrame, identifiers: DataFrame, members: DataFrame,
     )
 
 
-def assemble_briefs(briefs: DataFrame, items: DataFrame, citations: DataFrame, chips: DataFrame) -> DataFrame:
-    """Briefs with nested items, citation ids and entity chips.
+def assemble_briefs(items: DataFrame, citations: DataFrame, members: DataFrame, chips: DataFrame) -> DataFrame:
+    """Everything a brief shows, one row per part, keyed by brief and item.
 
-    ``items``: brief_id, item_id, display_order, entity_ids, ...; ``citations``:
-    item_id, citation_id; ``chips``: entity, name. A brief holds a bounded number of items.
-    """
-    cites = citations.groupBy("item_id").agg(F.array_sort(F.collect_list("citation_id")).alias("citation_ids"))
-    linked = (
-        items.select("item_id", F.posexplode("entity_ids").alias("pos", "entity"))
-        .join(chips, "entity")
-        .groupBy("item_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "entity", "name"))).alias("chips"))
-    )
-    full = items.join(cites, "item_id", "left").join(linked, "item_id", "left")
-    fields = [c for c in full.columns if c not in ("brief_id", "display_order")]
-    nested = full.groupBy("brief_id").agg(
-        F.array_sort(F.collect_list(F.struct("display_order", *fields))).alias("items")
-    )
-    return briefs.join(nested, "brief_id", "left")
+    Parts are ``item`` (the item itself), ``citation`` (ref = citation id) and
+    ``chip`` (ref = entity, label = its name). The rows stay flat, so a brief or an
+    item of any size is spread over tasks; a reader takes the rows of one brief in
+    (display_order, part, ref) order.
 
-
-def followed_items(items: DataFrame, follows: DataFrame) -> DataFrame:
-    """(user, item) for items that hold an entity the user follows."""
-    each = items.select("item", F.explode("entity_ids").alias("entity"))
-    return each.join(follows, "entity").select("user_id", "item").distinct()
+    ``items``: brief_id, item_id, display_order, headline; ``citations``: item_id,
+    citation_id; ``members``: item_id, entity; ``chips``: entity, name.
+    """
+    place = items.select("item_id", "brief_id", "display_order")
+    part = lambda name, ref, label: [
+        "brief_id", "item_id", "display_order", F.lit(name).alias("part"), ref.cast("string").alias("ref"), label.alias("label")
+    ]
+    none = F.lit(None).cast("string")
+    own = items.select(*part("item", F.col("item_id"), F.col("headline")))
+    cited = citations.select("item_id", "citation_id").distinct().join(place, "item_id").select(
+        *part("citation", F.col("citation_id"), none)
+    )
+    linked = members.select("item_id", "entity").distinct().join(chips.select("entity", "name"), "entity")
+    shown = linked.join(place, "item_id").select(*part("chip", F.col("entity"), F.col("name")))
+    return own.unionByName(cited).unionByName(shown)
+
+
+def followed_items(members: DataFrame, follows: DataFrame) -> DataFrame:
+    """(user, item) for items that hold an entity the user follows. ``members``: item, entity."""
+    return members.select("item", "entity").join(follows, "entity").select("user_id", "item").distinct()
 
 
 def glance(items: DataFrame) -> DataFrame:

@@ -123,43 +123,34 @@ def entity_360(t):
 
 
 def brief_items(t):
-    """Orders as items of their customer's brief, with the order's suppliers as entities."""
-    linked = t.lineitem.groupBy(F.col("l_orderkey").alias("item_id")).agg(
-        F.array_sort(F.collect_set("l_suppkey")).alias("entity_ids")
-    )
+    """Orders as items of their customer's brief."""
     return t.orders.select(
         F.col("o_custkey").alias("brief_id"), F.col("o_orderkey").alias("item_id"), F.col("o_orderkey").alias("display_order"),
         F.col("o_orderpriority").alias("headline"),
-    ).join(linked, "item_id", "left")
+    )
+
+
+def item_members(t):
+    return t.lineitem.select(F.col("l_orderkey").alias("item_id"), F.col("l_suppkey").alias("entity"))
 
 
-@query("brief_assembled", """WITH c AS (SELECT l_orderkey AS item_id, string_agg(DISTINCT l_linenumber || '/' || l_partkey, ',' ORDER BY l_linenumber || '/' || l_partkey) AS cites FROM lineitem GROUP BY 1),
-e AS (SELECT item_id, string_agg(s_name, ',' ORDER BY s_suppkey) AS chips FROM (SELECT DISTINCT l_orderkey AS item_id, l_suppkey FROM lineitem)
-  JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 13 <> 0 GROUP BY 1),
-i AS (SELECT o_custkey AS brief_id, o_orderkey, o_orderkey || '|' || coalesce(cites, '') || '|' || coalesce(chips, '') AS line
-  FROM orders LEFT JOIN c ON c.item_id = o_orderkey LEFT JOIN e ON e.item_id = o_orderkey),
-b AS (SELECT brief_id, count(*) AS n, md5(string_agg(line, ';' ORDER BY o_orderkey)) AS digest FROM i GROUP BY 1)
-SELECT c_custkey AS brief_id, coalesce(n, 0) AS n_items, digest FROM customer LEFT JOIN b ON brief_id = c_custkey""")
+@query("brief_assembled", """SELECT o_custkey AS brief_id, o_orderkey AS item_id, o_orderkey AS display_order, 'item' AS part,
+  CAST(o_orderkey AS VARCHAR) AS ref, o_orderpriority AS label FROM orders
+UNION ALL SELECT DISTINCT o_custkey, o_orderkey, o_orderkey, 'citation', l_linenumber || '/' || l_partkey, NULL FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+UNION ALL SELECT DISTINCT o_custkey, o_orderkey, o_orderkey, 'chip', CAST(l_suppkey AS VARCHAR), s_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 13 <> 0""")
 def brief_assembled(t):
     cites = t.lineitem.select(
         F.col("l_orderkey").alias("item_id"), F.concat_ws("/", "l_linenumber", "l_partkey").alias("citation_id")
-    ).distinct()
-    chips = entities(t).filter("is_active").select("entity", "name")
-    out = reading.assemble_briefs(t.customer.select(F.col("c_custkey").alias("brief_id")), brief_items(t), cites, chips)
-    names = lambda i: F.array_join(F.transform(i["chips"], lambda c: c["name"]), ",")
-    line = lambda i: F.concat_ws(
-        "|", i["item_id"], F.coalesce(F.array_join(i["citation_ids"], ","), F.lit("")), F.coalesce(names(i), F.lit(""))
-    )
-    return out.select(
-        "brief_id", F.greatest(F.coalesce(F.size("items"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_items"),
-        F.md5(F.array_join(F.transform("items", line), ";")).alias("digest"),
     )
+    chips = entities(t).filter("is_active").select("entity", "name")
+    return reading.assemble_briefs(brief_items(t), cites, item_members(t), chips)
 
 
 @query("followed_items", """SELECT DISTINCT s_nationkey AS user_id, l_orderkey AS item FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""")
 def followed_items(t):
     follows = t.supplier.select(F.col("s_nationkey").alias("user_id"), F.col("s_suppkey").alias("entity"))
-    return reading.followed_items(brief_items(t).select(F.col("item_id").alias("item"), "entity_ids"), follows)
+    return reading.followed_items(item_members(t).withColumnRenamed("item_id", "item"), follows)
 
 
 # texts with figures, rendered from orders

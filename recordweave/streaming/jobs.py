@@ -50,9 +50,23 @@ def _with_batch(stream: DataFrame):
     return T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
 
 
-def dedup(events: DataFrame, key: list[str], at: str, window_days: int = dims.HOT_WINDOW_DAYS) -> DataFrame:
-    """First copy of each key inside the hot window; state older than that is let go."""
-    return events.withWatermark(at, f"{window_days} days").dropDuplicatesWithinWatermark(key)
+def dedup(
+    events: DataFrame, key: list[str], at: str, window_days: int = dims.HOT_WINDOW_DAYS, salts: int = 8
+) -> DataFrame:
+    """First copy of each key inside the hot window; state older than that is let go.
+
+    Copies are first thinned out per (key, salt), so a key with a third of all rows
+    is spread over tasks and reaches its own task as at most ``salts`` rows.
+    """
+    spread = events.withWatermark(at, f"{window_days} days")
+    if salts > 1:
+        rest = [c for c in events.columns if c not in key]
+        spread = (
+            spread.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
+            .dropDuplicatesWithinWatermark([*key, "_salt"])
+            .drop("_salt")
+        )
+    return spread.dropDuplicatesWithinWatermark(key)
 
 
 def theme_volume(events: DataFrame, theme: str, at: str, delay: str = "2 days") -> DataFrame:
@@ -142,11 +156,15 @@ def breaker(runs: DataFrame, name: str, threshold: int = dims.BREAKER_THRESHOLD)
 def silence_alerts(events: DataFrame, source: str, at: str, hours: int = dims.SOURCE_STALE_HOURS) -> DataFrame:
     """A row per source that goes silent: an event-time timer that every event pushes back.
 
-    The state of a source is one timestamp, and its rows are only looked at for
-    their maximum, batch by batch, whatever their number.
+    Each Arrow batch is cut down to one newest row per source before the shuffle, so
+    a busy source sends few rows; the state of a source is one timestamp.
     """
     import pandas as pd
 
+    def newest(batches):
+        for rows in batches:
+            yield rows.groupby("source_id", as_index=False)[at].max()
+
     limit_ms = hours * 3_600_000
 
     def watch(key, batches, state):
@@ -161,8 +179,9 @@ def silence_alerts(events: DataFrame, source: str, at: str, hours: int = dims.SO
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
 
+    slim = events.select(F.col(source).cast("bigint").alias("source_id"), F.col(at).cast("timestamp").alias(at))
     return (
-        events.select(F.col(source).alias("source_id"), F.col(at).cast("timestamp").alias(at))
+        slim.mapInPandas(newest, slim.schema)
         .withWatermark(at, "0 seconds")
         .groupBy("source_id")
         .applyInPandasWithState(
