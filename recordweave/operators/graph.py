@@ -220,18 +220,17 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 
 def graph_meta(edges: DataFrame, funding: DataFrame) -> DataFrame:
-    """Node, edge, cross-desk and funding counts of one graph view."""
-    every = edges.select("from_id", "to_id", "cross_desk", F.lit(0).alias("is_funding")).unionByName(
-        funding.select("from_id", "to_id", F.lit(False).alias("cross_desk"), F.lit(1).alias("is_funding"))
+    """Node, edge, cross-desk and funding counts of one graph view, in one aggregate."""
+    every = edges.select("from_id", "to_id", "cross_desk", F.lit("edge").alias("kind")).unionByName(
+        funding.select("from_id", "to_id", F.lit(False).alias("cross_desk"), F.lit("funding").alias("kind"))
     )
-    counts = every.agg(
-        F.count("*").alias("edge_count"),
+    nodes = endpoints(every).select(F.lit(False).alias("cross_desk"), F.lit("node").alias("kind"))
+    return every.select("cross_desk", "kind").unionByName(nodes).agg(
+        F.count_if(F.col("kind") == "node").alias("node_count"),
+        F.count_if(F.col("kind") != "node").alias("edge_count"),
         F.count_if("cross_desk").alias("cross_desk_edges"),
-        F.coalesce(F.sum("is_funding"), F.lit(0)).alias("funding_edges"),
+        F.count_if(F.col("kind") == "funding").alias("funding_edges"),
     )
-    nodes = endpoints(every).agg(F.count("*").alias("node_count"))
-    # two one-row tables, joined on a constant
-    return nodes.withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def edge_context(edges: DataFrame, entities: DataFrame, limit: int = dims.EDGE_CONTEXT_LIMIT) -> DataFrame:

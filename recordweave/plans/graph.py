@@ -245,9 +245,7 @@ SELECT (SELECT count(*) FROM ends) AS node_count, (SELECT count(*) FROM top) + (
 def graph_meta(t):
     top, fund = top_view(t)
     text = top.withColumn("from_id", F.col("from_id").cast("string")).withColumn("to_id", F.col("to_id").cast("string"))
-    return graph.graph_meta(text, funding_as_edges(fund)).withColumn(
-        "funding_edges", F.col("funding_edges").cast("bigint")
-    )
+    return graph.graph_meta(text, funding_as_edges(fund))
 
 
 @query("node_degree", f"""{WITH_EDGES} SELECT entity, count(*) AS degree FROM (

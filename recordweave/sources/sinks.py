@@ -32,10 +32,9 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str, run_id: str) ->
     flagged = flag_new(batch, stored.filter(F.col("run_id") != run_id))
     fresh = flagged.filter("is_new").select(*columns).withColumn("run_id", F.lit(run_id))
     overwrite_partitions(fresh, path, ["run_id"])
-    written = spark.read.parquet(path).filter(F.col("run_id") == run_id).agg(F.count("*").alias("new"))
-    fetched = batch.agg(F.count("*").alias("fetched"))
-    one = F.lit(1)
-    counts = fetched.withColumn("one", one).join(written.withColumn("one", one), "one").drop("one")
+    written = spark.read.parquet(path).filter(F.col("run_id") == run_id).select(F.lit(True).alias("is_new"))
+    both = batch.select(F.lit(False).alias("is_new")).unionByName(written)
+    counts = both.agg(F.count_if(~F.col("is_new")).alias("fetched"), F.count_if("is_new").alias("new"))
     return counts.select(
         F.lit(run_id).alias("run_id"), "fetched", "new", (F.col("fetched") - F.col("new")).alias("duplicate")
     )
