@@ -114,7 +114,8 @@ def convergence_edges(
     age = F.date_diff(F.lit(as_of).cast("date"), F.col("at").cast("date"))
     decay = recency_weight(age, half_life)
     # only entities that can reach the floor are paired, and their rows are stored once
-    pairs = pair_up(stage(_could_reach_floor(members.distinct(), decay, floor, boost), "members"))
+    # (repeats only raise the bound, so they can go after it, on fewer rows)
+    pairs = pair_up(stage(_could_reach_floor(members, decay, floor, boost).distinct(), "members"))
     summed = pairs.groupBy("a", "b").agg(
         F.sum(decay).alias("raw"),
         F.count("*").alias("co_count"),
