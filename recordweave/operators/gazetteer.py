@@ -67,7 +67,7 @@ def backfill(items: DataFrame, links: DataFrame, key: str) -> DataFrame:
     )
 
 
-def theme_tags(docs: DataFrame, probes: DataFrame, doc_id: str = "doc_id", text: str = "text", max_words: int = 4) -> DataFrame:
+def theme_tags(docs: DataFrame, probes: DataFrame, doc_id: str = "doc_id", text: str = "text", max_words: int = 8) -> DataFrame:
     """Documents that hold a probe phrase, with the phrase and its desks.
 
     ``probes``: phrase, desks. Phrases and text are folded to words and matched word by word.

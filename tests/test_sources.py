@@ -174,3 +174,17 @@ def test_read_landed_and_files(spark, tmp_path):
 def test_verdict_rows(spark, answer, want):
     df = spark.createDataFrame([(1, answer)], "item_id int, answer string")
     assert sorted((r["claim"], r["supported"]) for r in parsers.verdicts(df).select("claim", F.col("supported")).collect()) == want
+
+
+def test_probe_table_feeds_the_phrase_operators(spark):
+    from recordweave.operators import gazetteer, telemetry
+    from recordweave.sources.probes import probe_table
+
+    probes = probe_table(spark)
+    assert {r["phrase"] for r in telemetry.themes_for_desk(probes.filter("source_id = 'nrc'"), "energy").collect()} >= {"TRISO"}
+    news = probes.filter("source_id = 'gdelt'").select(F.get("desks", 0).alias("desk"), "phrase", "position")
+    groups = telemetry.or_queries(news).collect()
+    assert sum(r["query"].count('"') // 2 for r in groups) == news.count() and max(r["query"].count(" OR ") for r in groups) == 7
+    docs = spark.createDataFrame([(1, "A hyperscale data center, grid-scale storage, high-assay low-enriched uranium"), (2, "nothing")], "doc_id int, text string")
+    hits = gazetteer.theme_tags(docs, probes.filter("source_id = 'edgar'"))
+    assert {(r["doc_id"], r["phrase"]) for r in hits.collect()} == {(1, "hyperscale data center"), (1, "grid-scale storage"), (1, "high-assay low-enriched uranium")}
