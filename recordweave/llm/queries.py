@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import simhash
+from recordweave.llm import leaks, lines, simhash
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,13 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash")
 def op1_simhash(t: Tables) -> DataFrame:
     return simhash.near_duplicates(t.documents)
+
+
+@query("op2_line_chunks", lines.SQL)
+def op2_line_chunks(t: Tables) -> DataFrame:
+    return lines.line_report(t.documents)
+
+
+@query("op9_template_leaks")
+def op9_template_leaks(t: Tables) -> DataFrame:
+    return leaks.leak_report(t.documents, t.benchmark)

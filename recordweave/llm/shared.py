@@ -44,6 +44,28 @@ def map_rows(df: DataFrame, fn: Callable[[Iterable], Iterator[tuple]], schema: s
     return df.mapInArrow(run, fields)
 
 
+def sig(column: str = "text"):
+    """64-bit mark of a text; with doc_id it tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def append(df: DataFrame, inputs: list[str], fn: Callable[..., tuple], schema: str) -> DataFrame:
+    """``df`` with the columns of ``schema`` added, ``fn(*input values) -> tuple`` for each row.
+
+    All other columns pass through as Arrow buffers, whatever their types.
+    """
+    fields = T._parse_datatype_string(schema)
+    arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [fn(*row) for row in zip(*(batch.column(c).to_pylist() for c in inputs))]
+            made = [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)] if rows else [pa.array([], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema=pa.schema([*batch.schema, *arrow]))
+
+    return df.mapInArrow(run, T.StructType([*df.schema, *fields]))
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(arrow_type(kind.elementType))
