@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import leaks, lines, simhash
+from recordweave.llm import leaks, lines, packing, simhash
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op2_line_chunks(t: Tables) -> DataFrame:
 @query("op9_template_leaks")
 def op9_template_leaks(t: Tables) -> DataFrame:
     return leaks.leak_report(t.documents, t.benchmark)
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(t: Tables) -> DataFrame:
+    return packing.pack(t.documents)
