@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import leaks, lines, packing, simhash
+from recordweave.llm import chat, leaks, lines, packing, quality, simhash
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,17 @@ def op9_template_leaks(t: Tables) -> DataFrame:
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(t: Tables) -> DataFrame:
     return packing.pack(t.documents)
+
+
+@query("op7_reply_trees", chat.SQL)
+def op7_reply_trees(t: Tables) -> DataFrame:
+    probe = t.spark.createDataFrame(
+        [(-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    rows = t.conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.format_paths(chat.paths(chat.linear_nodes(rows))))
+
+
+@query("op8_line_crf")
+def op8_line_crf(t: Tables) -> DataFrame:
+    return quality.quality(t.documents, t.labels)
