@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import chat, leaks, lines, packing, quality, simhash
+from recordweave.llm import chat, leaks, lines, packing, quality, simhash, winnow
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op7_reply_trees(t: Tables) -> DataFrame:
 @query("op8_line_crf")
 def op8_line_crf(t: Tables) -> DataFrame:
     return quality.quality(t.documents, t.labels)
+
+
+@query("op3_winnowing")
+def op3_winnowing(t: Tables) -> DataFrame:
+    return winnow.edited_report(t.documents)
