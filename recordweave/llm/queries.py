@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import chat, leaks, lines, packing, quality, simhash, winnow
+from recordweave.llm import chat, leaks, lines, packing, ppm, quality, simhash, winnow
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op8_line_crf(t: Tables) -> DataFrame:
 @query("op3_winnowing")
 def op3_winnowing(t: Tables) -> DataFrame:
     return winnow.edited_report(t.documents)
+
+
+@query("op6_partial_matching")
+def op6_partial_matching(t: Tables) -> DataFrame:
+    return ppm.score(t.documents)
