@@ -85,21 +85,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     range takes the first of the range below, found among one row for each range.
     Rows with equal doc_id follow by descending text; a null id counts as the smallest.
     """
-    rows = prints(
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "fp"
-    ).withColumn("o", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint"))).withColumn("bucket", F.shiftright("o", BUCKET_BITS))
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("o")).withColumn("bucket", F.shiftright("o", BUCKET_BITS))
-    tops = ids.groupBy("bucket").agg(F.max("o").alias("top"))
+    o = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), o.alias("o"), F.shiftright(o, BUCKET_BITS).alias("bucket"))
+    tops = rows.groupBy("bucket").agg(F.max(F.struct("o", "text")).alias("top"))
     down = Window.orderBy(F.desc("bucket"))
     wide = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    below = tops.select("bucket", F.coalesce(F.lead("top").over(down), F.first("top").over(wide)).alias("top"))
-    firsts = (
-        docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("top"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(tops.select("top"), "top")
-        .groupBy("top")
-        .agg(F.max("text").alias("head_text"))
+    below = rows.select("bucket").distinct().select(
+        "bucket", F.coalesce(F.lead("bucket").over(down), F.first("bucket").over(wide)).alias("from")
     )
-    heads = prints(below.join(firsts, "top").drop("top"), "head_text", "head_fp")
+    heads = below.join(tops.select(F.col("bucket").alias("from"), F.col("top.text").alias("head_text")), "from").drop("from")
+    heads = prints(heads, "head_text", "head_fp")
+    rows = prints(rows.repartition("bucket"), "text", "fp")  # only texts are dealt, and once
     order = Window.partitionBy("bucket").orderBy(F.desc("o"), F.desc("text"))
     return (
         rows.withColumn("_n", F.lead(F.struct("text", "fp")).over(order))
