@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import chat, leaks, lines, packing, ppm, quality, simhash, winnow
+from recordweave.llm import chat, leaks, lines, packing, pii, ppm, quality, simhash, winnow
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op3_winnowing(t: Tables) -> DataFrame:
 @query("op6_partial_matching")
 def op6_partial_matching(t: Tables) -> DataFrame:
     return ppm.score(t.documents)
+
+
+@query("op4_char_tagger")
+def op4_char_tagger(t: Tables) -> DataFrame:
+    return pii.find_all(t.documents)
