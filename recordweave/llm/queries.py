@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import chat, leaks, lines, packing, pii, ppm, quality, simhash, winnow
+from recordweave.llm import chat, leaks, lines, packing, pii, ppm, quality, simhash, suffixes, winnow
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op6_partial_matching(t: Tables) -> DataFrame:
 @query("op4_char_tagger")
 def op4_char_tagger(t: Tables) -> DataFrame:
     return pii.find_all(t.documents)
+
+
+@query("op10_suffix_array")
+def op10_suffix_array(t: Tables) -> DataFrame:
+    return suffixes.removals(t.documents).drop("kept")
