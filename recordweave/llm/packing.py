@@ -19,6 +19,7 @@ from recordweave.session import stage
 
 VOCABULARY = "byte_bpe_50k"
 LENGTH = 2048
+PARTS, NUMBERS = (8, 3), (24, 48)  # tried bounds of small lengths, as parts of a sequence, and numbers of groups
 
 
 # splits texts whose white space is single spaces and line feeds as the public pattern does, without looking ahead
@@ -99,8 +100,11 @@ def groups(counts: dict[int, int], small: int, number: int) -> list[list[tuple[i
     """Large lengths from the longest down, in ``number`` groups of equally many pieces.
 
     Each group is [(length, pieces)]; its first length is what all are rounded up to.
+    With no more lengths than groups each is its own and nothing is rounded.
     """
-    large = [(n, c) for n, c in sorted(counts.items(), reverse=True) if n > small]
+    large = [(n, c) for n, c in sorted(counts.items(), reverse=True) if n > small and c]
+    if len(large) <= number:
+        return [[x] for x in large]
     each = -(-sum(c for _, c in large) // number) if large else 0
     out, room = [], 0
     for n, c in large:
@@ -131,7 +135,7 @@ def configurations(sizes: list[int], wanted: list[int], length: int) -> list[tup
     held = list(columns)
     inverse = np.linalg.inv(basis)
     x = inverse @ demand
-    for _ in range(60 * n):
+    for _ in range(8 * n):
         duals = np.ones(n) @ inverse
         worth, column = knapsack(sizes, duals, [length] * n, length)
         if worth <= 1 + 1e-7:
@@ -189,6 +193,12 @@ def knapsack(sizes, worth, most, length) -> tuple[float, tuple[int, ...]]:
     return float(best.max()), tuple(reversed(out))
 
 
+def best_plan(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences among a few bounds of small lengths and numbers of groups."""
+    tries = [plan(counts, length, length // part, number) for part in PARTS for number in NUMBERS]
+    return min(tries, key=lambda runs: max((r[3] + r[2] for r in runs), default=0))
+
+
 def plan(counts: dict[int, int], length: int = LENGTH, small: int = LENGTH // 8, number: int = 24) -> list[tuple[int, int, int, int, int]]:
     """Runs (piece length, first rank, ranks, first sequence, offset) that place every piece.
 
@@ -270,7 +280,7 @@ def plan(counts: dict[int, int], length: int = LENGTH, small: int = LENGTH // 8,
 # ------------------------------------------------------------------ over documents
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, small: int | None = None, number: int = 24) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece.
 
     Only the counts per length (at most ``length`` rows) come to the driver, and only
@@ -284,8 +294,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, sm
     keyed = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)).cast("int"))
     sizes = stage(keyed.groupBy("length", "cell").count(), "cells")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    runs = plan(counts, length, length // 8 if small is None else small, number)
-    held = pieces.sparkSession.sparkContext.broadcast(lookup(runs))
+    held = pieces.sparkSession.sparkContext.broadcast(lookup(best_plan(counts, length)))
     before = sizes.withColumn(
         "before",
         F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
