@@ -83,10 +83,11 @@ def paths(nodes: DataFrame) -> DataFrame:
     best = leaves.groupBy("c").agg(
         F.max_by(F.struct("node_id", "depth"), F.struct(F.round(F.col("score") / F.col("depth"), 9), "depth", -F.col("node_id"))).alias("b")
     ).select("c", "b.node_id", "b.depth")
-    path = best
+    path = stage(best, "path")
     for k in range(len(steps) - 2, -1, -1):
         jump = steps[k].filter("up is not null").select("c", "node_id", "up")
-        path = path.union(path.join(jump, ["c", "node_id"]).select("c", F.col("up").alias("node_id"), (F.col("depth") - 2**k).alias("depth")))
+        up = path.join(jump, ["c", "node_id"]).select("c", F.col("up").alias("node_id"), (F.col("depth") - 2**k).alias("depth"))
+        path = stage(path.union(up), "path")  # written, since it is used twice in the next round
     return path.join(own, ["c", "node_id"]).select("conv_id", "depth", "role", "text")
 
 
