@@ -16,8 +16,9 @@ from recordweave.session import stage
 
 ORDER = 5
 START, END, ALPHABET = 0xFE, 0xFF, 256  # bytes that UTF-8 never uses
-BLOCK_BYTES = 32_000_000
-SLICE_BYTES = 6_000_000
+BLOCK_BYTES = 16_000_000
+SLICE_BYTES = 2_000_000
+HELD_KEYS = 1_500_000
 GRAM, WORD, TOTAL = 0, 1, 2
 END_WORD = b"\n"
 
@@ -116,6 +117,10 @@ def pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[at] if len(values) else np.zeros(len(at))
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return level(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
 class Lookup:
     """Values of known keys, by one probe of a hash table and a search for the few that clash."""
 
@@ -204,10 +209,13 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def listing(rows):
-        grown: dict[int, list] = {}
+        now, state = None, None
         for block, held, text in rows:
             text = text.lower()
-            state = grown.setdefault(block, [[], 0, [], Counter(), set()])
+            if block != now:
+                if state is not None:
+                    yield from listed(now, state)
+                now, state = block, [[], 0, [], Counter(), set()]
             state[0].append((held, text))
             state[1] += len(text)
             words = text.split()
@@ -218,23 +226,26 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -
                 state[3][END_WORD] += 1
             if state[1] >= SLICE_BYTES:
                 squeeze(state)
-        for block, state in grown.items():
-            squeeze(state)
-            keys, counts = level(np.concatenate([k for k, _ in state[2]]), np.concatenate([n for _, n in state[2]]))
-            share = (((keys >> np.uint64(8)) & mask(2)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % shares
-            for s in range(shares):
-                own = share == s
-                if own.any():
-                    yield s, GRAM, block, packed(keys[own], counts[own].astype("<u4"))
-            table = state[3]
-            words = [*table, *(state[4] - table.keys()), *([] if END_WORD in table else [END_WORD])]
-            keys = np.fromiter(map(word_key, words), np.uint64, len(words))
-            keys, counts = level(keys, np.fromiter((table[w] for w in words), np.int64, len(words)))
-            share = (keys >> np.uint64(20)).astype(np.int64) % shares
-            for s in range(shares):
-                own = share == s
-                if own.any():
-                    yield s, WORD, block, packed(keys[own], counts[own].astype("<u4"))
+        if state is not None:
+            yield from listed(now, state)
+
+    def listed(block, state):
+        squeeze(state)
+        keys, counts = merged(state[2])
+        share = (((keys >> np.uint64(8)) & mask(2)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % shares
+        for s in range(shares):
+            own = share == s
+            if own.any():
+                yield s, GRAM, block, packed(keys[own], counts[own].astype("<u4"))
+        table = state[3]
+        words = [*table, *(state[4] - table.keys()), *([] if END_WORD in table else [END_WORD])]
+        keys = np.fromiter(map(word_key, words), np.uint64, len(words))
+        keys, counts = level(keys, np.fromiter((table[w] for w in words), np.int64, len(words)))
+        share = (keys >> np.uint64(20)).astype(np.int64) % shares
+        for s in range(shares):
+            own = share == s
+            if own.any():
+                yield s, WORD, block, packed(keys[own], counts[own].astype("<u4"))
 
     def squeeze(state):
         if state[0]:
@@ -247,6 +258,8 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -
                 keys = np.unique(np.concatenate(other))
                 state[2].append((keys, np.zeros(len(keys), np.int64)))
             state[0], state[1] = [], 0
+            if sum(len(k) for k, _ in state[2]) > HELD_KEYS:
+                state[2] = [merged(state[2])]
 
     def share_out(rows):
         for (_, kind), group in by_share(rows):
@@ -261,7 +274,7 @@ def score(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -
                 yield block, kind, packed(k, values[np.searchsorted(keys, k)])
 
     lists = map_rows(
-        dealt.select("block", "held", "text").repartition(blocks, "block"), listing, "share int, kind int, block int, blob binary", rows=8
+        dealt.select("block", "held", "text").repartition(blocks, "block").sortWithinPartitions("block"), listing, "share int, kind int, block int, blob binary", rows=8
     )
     model = stage(
         map_rows(

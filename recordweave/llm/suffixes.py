@@ -16,8 +16,9 @@ LENGTH, GRAM = 50, 26
 REACH = LENGTH - GRAM + 1  # grams in a window
 PIECE_BITS = 20
 SEPARATOR = 0xFF  # never in UTF-8
-BLOCK_BYTES = 24_000_000
-SHARE_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
+SHARE_BYTES = 3_000_000
+KEY_BYTES = 32_000_000
 NO_ID = (1 << 63) - 1
 
 ONE = np.uint64(1)
@@ -238,12 +239,12 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
     3. Each share answers every block with the smallest document of each window; blocks
        stream their texts again and cut them.
 
-    A block holds about ``block_bytes`` of text, a share about ``share_bytes`` of runs;
-    both numbers grow with the corpus, their sizes do not.
+    A block holds about ``block_bytes`` of text, a share the runs of about
+    ``share_bytes`` of it; both numbers grow with the corpus, their sizes do not.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text_bytes().alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
-    blocks, shares = max(1, -(-size // block_bytes)), max(1, -(-size // share_bytes))
+    blocks, shares, key_shares = (max(1, -(-size // part)) for part in (block_bytes, share_bytes, KEY_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def batches(rows):
@@ -277,7 +278,7 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
             heads = np.flatnonzero(fresh)
             ends = np.append(heads[1:], len(key)) - 1
             key, block, twice = key[heads], block[heads], doc[heads] != doc[ends]
-            share = (key % np.uint64(shares)).astype(np.int64)
+            share = (key % np.uint64(key_shares)).astype(np.int64)
             order = np.lexsort((key, block, share))
             key, block, twice, share = key[order], block[order], twice[order], share[order]
             cuts = np.flatnonzero(np.concatenate(([True], (share[1:] != share[:-1]) | (block[1:] != block[:-1])))).tolist()
@@ -301,7 +302,7 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
 
     met = map_rows(dealt.select("doc_id", "text", "block"), keys, "share int, block int, blob binary", rows=256)
     cand = stage(
-        map_rows(met.repartition(shares, "share").sortWithinPartitions("share"), known, "block int, kind int, blob binary", rows=256), "keys"
+        map_rows(met.repartition(key_shares, "share").sortWithinPartitions("share"), known, "block int, kind int, blob binary", rows=256), "keys"
     )
 
     def bundle(rows):
