@@ -5,6 +5,11 @@ construction (hand-kept), so it becomes literal columns, never a join.
 """
 
 # --- desks -----------------------------------------------------------------
+# fixed values: the notes of a brief that is not there yet
+NOTE_PENDING = "Today's brief is being generated. Showing last published brief."
+NOTE_FAILED = "Today's brief failed generation. Showing last published brief."
+
+# fixed values: desks, and their order where several tie
 DESKS = ["defense", "ai", "energy"]
 HOME_DESK_TIEBREAK = ["defense", "energy", "ai"]
 

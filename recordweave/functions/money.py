@@ -21,22 +21,26 @@ def _amounts(text: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), dollars)
 
 
-def amounts_usd(text: Column) -> Column:
-    """First amounts of a filing text, in dollars."""
-    return F.slice(_amounts(text, dims.AMOUNT_PATTERN), 1, dims.MAX_FACTS)
+def first(items: Column, limit: int | None) -> Column:
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def amounts_usd(text: Column, limit: int | None = None) -> Column:
+    """Amounts of a filing text in dollars, all or the first ``limit``."""
+    return first(_amounts(text, dims.AMOUNT_PATTERN), limit)
 
 
 def display_amounts(text: Column) -> Column:
     return _amounts(text, dims.DISPLAY_AMOUNT_PATTERN)
 
 
-def percentages(text: Column) -> Column:
+def percentages(text: Column, limit: int | None = None) -> Column:
     found = F.regexp_extract_all(text, F.lit(dims.PERCENT_PATTERN), F.lit(1))
-    return F.transform(F.slice(found, 1, dims.MAX_FACTS), lambda p: p.cast("double"))
+    return F.transform(first(found, limit), lambda p: p.cast("double"))
 
 
-def long_dates(text: Column) -> Column:
-    return F.slice(F.regexp_extract_all(text, F.lit(dims.LONG_DATE_PATTERN), F.lit(0)), 1, dims.MAX_FACTS)
+def long_dates(text: Column, limit: int | None = None) -> Column:
+    return first(F.regexp_extract_all(text, F.lit(dims.LONG_DATE_PATTERN), F.lit(0)), limit)
 
 
 def excerpt(text: Column, chars: int = dims.EXCERPT_CHARS) -> Column:

@@ -63,7 +63,7 @@ def positions(df: DataFrame, by: Sequence[str], score: str, row_id: str, out: st
 
 
 def match_phrases(
-    docs: DataFrame, doc_id: str, tokens: str, phrases: DataFrame, phrase: str, low: int, high: int
+    docs: DataFrame, doc_id: str, tokens: str, phrases: DataFrame, phrase: str, low: int, high: int | None = None
 ) -> DataFrame:
     """Word-exact phrase hits: one row per (document, phrase row) with its first position.
 
@@ -72,8 +72,11 @@ def match_phrases(
     the second looks up just those runs of words. Both lookup keys are unique, so
     neither a common opening nor a phrase found in every document multiplies rows.
     Whether a lookup side is small enough to broadcast is left to Spark, which checks
-    its size.
+    its size. Without ``high`` the longest phrase of the table sets the bound (one small job).
     """
+    if high is None:
+        high = phrases.agg(F.max(F.size(F.split(phrase, " ")))).first()[0] or low
+        high = max(high, low)
     words = [f"_w{k}" for k in range(high)]
     shifted = [F.slice(tokens, k + 1, F.size(tokens)).alias(w) for k, w in enumerate(words)]
     runs = docs.select(doc_id, F.posexplode_outer(F.arrays_zip(*shifted)).alias("pos", "_run")).select(

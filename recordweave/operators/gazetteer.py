@@ -29,7 +29,7 @@ def alias_hits(docs: DataFrame, index: DataFrame, doc_id: str = "doc_id", text:
     """``(doc, alias, entity, pos, n)``: first place of each alias in each text."""
     tokenized = docs.select(doc_id, word_tokens(F.col(text)).alias("tokens"))
     return match_phrases(
-        tokenized, doc_id, "tokens", index, "alias", dims.ALIAS_MIN_TOKENS, dims.ALIAS_MAX_TOKENS
+        tokenized, doc_id, "tokens", index, "alias", dims.ALIAS_MIN_TOKENS
     )
 
 
@@ -67,7 +67,7 @@ def backfill(items: DataFrame, links: DataFrame, key: str) -> DataFrame:
     )
 
 
-def theme_tags(docs: DataFrame, probes: DataFrame, doc_id: str = "doc_id", text: str = "text", max_words: int = 8) -> DataFrame:
+def theme_tags(docs: DataFrame, probes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents that hold a probe phrase, with the phrase and its desks.
 
     ``probes``: phrase, desks. Phrases and text are folded to words and matched word by word.
@@ -76,7 +76,7 @@ def theme_tags(docs: DataFrame, probes: DataFrame, doc_id: str = "doc_id", text:
         F.array_join(word_tokens(F.col("phrase")), " ").alias("words"), "phrase", "desks"
     ).dropDuplicates(["words", "phrase", "desks"])
     tokenized = docs.select(doc_id, word_tokens(F.col(text)).alias("tokens"))
-    hits = match_phrases(tokenized, doc_id, "tokens", folded, "words", 1, max_words)
+    hits = match_phrases(tokenized, doc_id, "tokens", folded, "words", 1)
     return hits.select(doc_id, "phrase", "desks", "pos")
 
 

@@ -206,7 +206,7 @@ def filter_edges(
 
 def strongest_edges(edges: DataFrame, limit: int = 100) -> DataFrame:
     order = [F.desc("confidence"), F.desc("weight"), "from_id", "to_id"]
-    return edges.orderBy(*order).limit(min(limit, 500))
+    return edges.orderBy(*order).limit(limit)
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -234,20 +234,29 @@ def graph_meta(edges: DataFrame, funding: DataFrame) -> DataFrame:
     )
 
 
-def edge_context(edges: DataFrame, entities: DataFrame, limit: int = dims.EDGE_CONTEXT_LIMIT) -> DataFrame:
-    """Newest live edges that touch the given entities."""
-    key = ["from_id", "to_id"]
-    touching = (
-        edges.withColumn("entity", F.explode(F.array(*key)))
-        .join(entities.select("entity").distinct(), "entity", "left_semi")
-        .drop("entity")
-        .dropDuplicates(key)
+def edge_context(
+    edges: DataFrame, entities: DataFrame, limit: int = dims.EDGE_CONTEXT_LIMIT, newest: str = "transaction_time"
+) -> DataFrame:
+    """Edges that touch the given entities, newest by ``newest`` first.
+
+    Each edge comes once, whichever of its ends is asked for; edges of other types
+    between the same ends are edges of their own.
+    """
+    asked = entities.select("entity").distinct()
+    start = edges.join(asked.withColumnRenamed("entity", "from_id"), "from_id", "left_semi").select(*edges.columns)
+    end = (
+        edges.join(asked.withColumnRenamed("entity", "to_id"), "to_id", "left_semi")
+        .join(asked.withColumnRenamed("entity", "from_id"), "from_id", "left_anti")
+        .select(*edges.columns)
     )
-    return touching.orderBy(F.desc("last_seen"), F.desc("confidence"), *key).limit(limit)
+    rest = [c for c in ("from_id", "to_id", "edge_type") if c in edges.columns]
+    return start.union(end).orderBy(F.desc(newest), F.desc("confidence"), *rest).limit(limit)
 
 
-def one_hop(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Outgoing live edges with the node they lead to."""
+def one_hop(edges: DataFrame, nodes: DataFrame, edge_type: str | None = None) -> DataFrame:
+    """Outgoing live edges, of one type if given, with the node they lead to."""
+    if edge_type is not None:
+        edges = edges.filter(F.col("edge_type") == edge_type)
     return edges.filter(F.col("valid_to").isNull()).join(nodes, F.col("to_id") == F.col("entity")).drop("entity")
 
 

@@ -60,8 +60,8 @@ def flag_new(batch: DataFrame, stored: DataFrame, arrival: str = "arrival") -> D
     )
 
 
-def cap_per_source(rows: DataFrame, source: str, order: list[Column], cap: int = dims.MAX_ITEMS_PER_FEED) -> DataFrame:
-    """First items of each feed, in document order."""
+def cap_per_source(rows: DataFrame, source: str, order: list[Column], cap: int) -> DataFrame:
+    """First ``cap`` items of each feed, in document order."""
     return top_n(rows, [source], order, cap)
 
 
@@ -76,10 +76,13 @@ def prune(raw: DataFrame, cutoff: Column, key: str, *references: DataFrame) -> D
 def seed_entities(companies: DataFrame, identifiers: DataFrame) -> DataFrame:
     """New companies as (entity, name, alias, id_type, id_value); known tickers are left alone.
 
+    Of companies that share a ticker the one with the smallest cik, then name, is taken.
+
     ``companies``: cik, ticker, name. The entity id is a hash of its cik.
     """
     known = identifiers.filter("id_type = 'ticker'").select(F.col("id_value").alias("ticker"))
-    fresh = companies.join(known, "ticker", "left_anti").dropDuplicates(["ticker"])
+    fresh = companies.join(known, "ticker", "left_anti")
+    fresh = first_row(fresh.filter("ticker is not null"), ["ticker"], [F.col("cik"), F.col("name")])
     pair = lambda kind, col: F.struct(F.lit(kind).alias("id_type"), F.col(col).alias("id_value"))
     return fresh.select(
         F.sha2(F.concat(F.lit("cik:"), "cik"), 256).alias("entity"), "name",
@@ -94,12 +97,12 @@ def renormalize(aliases: DataFrame) -> DataFrame:
     return fresh.filter(F.col("fresh") != F.col("alias_normalized"))
 
 
-def enrich(records: DataFrame, bodies: DataFrame, cap: int | None = dims.MAX_BODIES_PER_RUN) -> DataFrame:
+def enrich(records: DataFrame, bodies: DataFrame, cap: int | None = None) -> DataFrame:
     """Fold landed bodies into filing records: figures, dates, text.
 
     ``records``: record_id, form, url, cik, accession, company, ticker, text,
     amount_usd; ``bodies``: url or (cik, accession) keys with ``body`` (visible
-    text) and ``xml``. At most ``cap`` bodies are used per run, in record order;
+    text) and ``xml``. With a ``cap`` only that many bodies are used, in record order;
     records beyond it, or without a body, keep their metadata.
     """
     is_form_d = F.startswith(F.upper(F.coalesce("form", F.lit(""))), F.lit("D"))

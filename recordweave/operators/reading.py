@@ -21,9 +21,7 @@ def latest_with_fallback(briefs: DataFrame) -> DataFrame:
         briefs.filter("status = 'published'"), ["desk"], [F.desc("published_at"), F.desc("brief_id")]
     )
     new = newest.select("desk", F.col("brief_id").alias("new_id"), F.col("status").alias("new_status"))
-    note = F.when(F.col("new_status") == "pending", "Today's brief is being generated. Showing last published brief.").when(
-        F.col("new_status") == "failed", "Today's brief failed generation. Showing last published brief."
-    )
+    note = F.when(F.col("new_status") == "pending", dims.NOTE_PENDING).when(F.col("new_status") == "failed", dims.NOTE_FAILED)
     fresh = F.col("new_status") == "published"
     return published.join(new, "desk").select(
         "desk", F.when(fresh, F.col("new_id")).otherwise(F.col("brief_id")).alias("brief_id"),
@@ -32,6 +30,17 @@ def latest_with_fallback(briefs: DataFrame) -> DataFrame:
     )
 
 
+def latest_wire(briefs: DataFrame, wire: DataFrame) -> DataFrame:
+    """The wire of each desk's latest published brief, in display order.
+
+    ``wire``: brief_id, display_order and what it shows. Desks without a published brief have none.
+    """
+    latest = first_row(
+        briefs.filter("status = 'published'"), ["desk"], [F.desc("date"), F.desc("published_at"), F.desc("brief_id")]
+    ).select("brief_id", "desk", "date")
+    return wire.join(latest, "brief_id").select("desk", "date", *wire.columns)
+
+
 def archive_gate(readers: DataFrame, briefs: DataFrame, as_of: str, limit: int = 20) -> DataFrame:
     """Published briefs each reader may open: today for free readers, 90 days for pro readers.
 
@@ -48,14 +57,17 @@ def archive_gate(readers: DataFrame, briefs: DataFrame, as_of: str, limit: int =
         .join(tiers, "desk")
         .filter(F.col("date") >= floor)
     )
-    return readers.join(top_n(open_, ["desk", "tier"], [F.desc("date"), "brief_id"], min(limit, 50)), ["desk", "tier"])
+    return readers.join(top_n(open_, ["desk", "tier"], [F.desc("date"), "brief_id"], limit), ["desk", "tier"])
 
 
 def calendar_range(events: DataFrame, start: str, end: str, desk: str | None = None, limit: int = 200) -> DataFrame:
-    """Events of an inclusive date range by date, then time with nulls last."""
+    """Events of an inclusive date range by date, then time with nulls last.
+
+    ``desk`` of an event is the array of desks it concerns.
+    """
     out = events.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     if desk is not None:
-        out = out.filter(F.col("desk") == desk)
+        out = out.filter(F.array_contains("desk", desk))
     return out.orderBy("event_date", F.asc_nulls_last("event_time"), "event_id").limit(limit)
 
 

@@ -29,12 +29,20 @@ def seed_vector(seeds: DataFrame, by: str = "desk", vector: str = "embedding") -
     )
 
 
-def vector_topk(rows: DataFrame, queries: DataFrame, k: int = dims.PASSAGE_TOP_K, by: str = "desk") -> DataFrame:
-    """Nearest ``k`` rows per desk by cosine distance.
+def vector_topk(
+    rows: DataFrame, queries: DataFrame, k: int = dims.PASSAGE_TOP_K, by: str = "desk", since: str | None = None, at: str = "at",
+) -> DataFrame:
+    """Nearest ``k`` rows per desk by cosine distance, not older than ``since`` if given.
 
-    ``queries`` has one vector per desk (a fixed handful), so it is sent to the rows;
+    A row's ``by`` may be an array; the row then counts for each of its desks.
+
+    ``queries`` has one vector per desk, which Spark sends to the rows if it is small;
     each partition keeps its own best ``k`` before anything is shuffled.
     """
-    near = rows.filter(F.col("embedding").isNotNull()).join(F.broadcast(queries), by)
+    if since is not None:
+        rows = rows.filter(F.col(at) >= F.lit(since).cast("timestamp"))
+    if rows.schema[by].dataType.typeName() == "array":
+        rows = rows.withColumn(by, F.explode(F.array_distinct(by)))
+    near = rows.filter(F.col("embedding").isNotNull()).join(queries, by)
     scored = near.withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.col("query")), 9))
     return top_n(scored.drop("embedding", "query"), [by], ["distance", "record_id"], k)

@@ -258,7 +258,7 @@ def node_degree(t):
 ORDER BY last_seen DESC, confidence DESC, from_id, to_id LIMIT 50""")
 def edge_context(t):
     wanted = t.supplier.filter("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("entity"))
-    return shown(graph.edge_context(edges(t), wanted))
+    return shown(graph.edge_context(edges(t), wanted, newest="last_seen"))
 
 
 @query("one_hop", """SELECT l_suppkey AS from_id, l_partkey AS to_id, l_orderkey AS source_record, p_name AS name

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recordweave import dims
 from recordweave.functions import scoring
 from recordweave.operators import ranking, retrieval
-from recordweave.operators.common import top_n
+from recordweave.operators.common import positions, top_n
 from recordweave.plans import sqltext as sq
 from recordweave.plans.registry import query
 from recordweave.session import stage
@@ -215,11 +215,12 @@ def select_floors(t):
     return selected(t).select("desk", "record_id", "record_type", "reserved", "selection_rank")
 
 
-@query("candidate_rank", f"""WITH {_DIVERSE} SELECT desk, record_id, round(score, 9) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY desk ORDER BY score DESC, record_id) AS rank FROM diverse) WHERE rank <= 200""")
+@query("candidate_rank", f"""WITH {_DIVERSE} SELECT desk, record_id, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY desk ORDER BY round(score, 6) DESC, md5(CAST(record_id AS VARCHAR)), record_id) AS rank FROM diverse""")
 def candidate_rank(t):
-    best = top_n(diverse(t), ["desk"], [F.desc("score"), "record_id"], 200)
-    return best.select("desk", "record_id", F.round("score", 9).alias("score"), "rank")
+    # every candidate has a rank, found in cells of a score rounded for that
+    rows = diverse(t).select("desk", "record_id", F.round("score", 6).alias("score"))
+    return positions(rows, ["desk"], "score", "record_id", "rank").select("desk", "record_id", "score", "rank")
 
 
 def significance(t):
@@ -247,11 +248,11 @@ def significance_facts(t):
 
 
 @query("significance_keep", """WITH j AS (SELECT doc_id AS record_id, source AS desk, n_chars, CASE WHEN quality IS NULL THEN 1.0 WHEN quality = 1 THEN 0.9 ELSE doc_id % 45 / 100.0 END AS s
-  FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 20 <> 3 OR doc_id < 500)
+  FROM documents LEFT JOIN labels USING (doc_id))
 SELECT desk, record_id, round(s, 6) AS significance FROM j QUALIFY s >= 0.45 OR (max(s) OVER (PARTITION BY desk) < 0.45
   AND row_number() OVER (PARTITION BY desk ORDER BY s DESC, record_id) = 1)""")
 def significance_keep(t):
-    facts = t.documents.filter("doc_id % 20 <> 3 OR doc_id < 500").select(
+    facts = t.documents.select(
         F.col("source").alias("desk"), F.col("doc_id").alias("record_id"), F.col("doc_id").alias("selection_rank")
     )
     verdicts = t.labels.join(t.documents.select("doc_id", "source"), "doc_id").select(

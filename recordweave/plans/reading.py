@@ -35,6 +35,17 @@ def latest_with_fallback(t):
     return reading.latest_with_fallback(briefs(t)).withColumn("last_updated", day("last_updated"))
 
 
+@query("latest_wire", f"""WITH p AS (SELECT o_orderkey AS brief_id, o_orderpriority AS desk, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'F'
+  QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT desk, CAST(d AS VARCHAR) AS date, brief_id, l_linenumber - 1 AS display_order, l_linestatus || l_returnflag AS headline
+FROM lineitem JOIN p ON l_orderkey = brief_id""")
+def latest_wire(t):
+    wire = t.lineitem.select(
+        F.col("l_orderkey").alias("brief_id"), (F.col("l_linenumber") - 1).alias("display_order"), F.concat("l_linestatus", "l_returnflag").alias("headline")
+    )
+    return reading.latest_wire(briefs(t), wire).withColumn("date", day("date"))
+
+
 @query("archive_gate", f"""WITH r AS (SELECT c_custkey AS user_id, CASE WHEN c_acctbal > 5000 THEN 'pro' ELSE 'free' END AS tier,
   ['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'][c_custkey % 5 + 1] AS desk FROM customer),
 b AS (SELECT DISTINCT tier, o_orderkey AS brief_id, o_orderpriority AS desk, CAST(o_orderdate AS DATE) AS date
@@ -54,13 +65,14 @@ def archive_gate(t):
 
 @query("calendar_range", """SELECT o_orderkey AS event_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS event_date,
   CASE WHEN o_orderkey % 3 <> 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':00' END AS event_time
-FROM orders WHERE o_orderpriority = '2-HIGH' AND CAST(o_orderdate AS DATE) BETWEEN DATE '2001-05-01' AND DATE '2001-07-31'
+FROM orders WHERE (o_orderpriority = '2-HIGH' OR o_orderkey % 10 = 0) AND CAST(o_orderdate AS DATE) BETWEEN DATE '2001-05-01' AND DATE '2001-07-31'
 ORDER BY CAST(o_orderdate AS DATE), event_time NULLS LAST, o_orderkey LIMIT 200""")
 def calendar_range(t):
     hour = F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":00"))
     events = t.orders.select(
         F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").cast("date").alias("event_date"),
-        F.when(F.col("o_orderkey") % 3 != 0, hour).alias("event_time"), F.col("o_orderpriority").alias("desk"),
+        F.when(F.col("o_orderkey") % 3 != 0, hour).alias("event_time"),
+        F.array_compact(F.array("o_orderpriority", F.when(F.col("o_orderkey") % 10 == 0, "2-HIGH"))).alias("desk"),
     )
     out = reading.calendar_range(events, "2001-05-01", "2001-07-31", desk="2-HIGH")
     return out.select("event_id", day("event_date").alias("event_date"), "event_time")
@@ -244,7 +256,13 @@ def tag_strip(t):
     return t.pages.select("page_id", F.md5(tx.drop_tags(F.col("html"))).alias("digest"))
 
 
-@query("html_text")
+_PAGE = """regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'),
+  '(?s)<!--.*?-->', ' ', 'g'), '<[A-Za-z/!?][^>]*(>|$)', ' ', 'g')"""
+for _name, _char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, '{_name}', '{_char}')"
+
+
+@query("html_text", f"SELECT page_id, trim(regexp_replace({_PAGE}, '\\s+', ' ', 'g')) AS text FROM pages")
 def html_text(t):
     return t.pages.select("page_id", html.html_text(F.col("html")).alias("text"))
 

@@ -269,13 +269,13 @@ def renormalize_diff(t):
 
 
 @query("minted_entities", """SELECT DISTINCT c_mktsegment || ' ' || c_nationkey AS name FROM customer
-WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 450000)""")
+WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def minted_entities(t):
     entities = t.customer.select(
         F.col("c_custkey").alias("entity"),
         F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("name"),
     )
-    ids = t.orders.filter("o_totalprice > 450000").select(
+    ids = t.orders.select(
         F.col("o_custkey").alias("entity"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "brief_resolution").otherwise("seed").alias("source"),
     )
@@ -363,7 +363,7 @@ tok AS (SELECT doc_id, unnest(tk) AS w, generate_subscripts(tk, 1) - 1 AS p FROM
 grams AS (SELECT doc_id, p, lower(w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY p)) AS gram FROM tok)
 SELECT doc_id, phrase, array_to_string(desks, ',') AS desks, min(p) AS pos FROM grams JOIN probes ON gram = phrase GROUP BY ALL""")
 def theme_tags(t):
-    out = gazetteer.theme_tags(t.documents, probe_table(t), max_words=2)
+    out = gazetteer.theme_tags(t.documents, probe_table(t))
     return out.withColumn("desks", F.array_join("desks", ","))
 
 

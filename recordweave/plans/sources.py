@@ -170,8 +170,8 @@ def lang_filter(t):
     return t.documents.filter(F.col("lang").isin("", "en")).select("doc_id", "lang")
 
 
-@query("src_timeline", """SELECT user_id AS theme, event_id AS point_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN 0.0 ELSE value END AS volume
-FROM events WHERE event_id % 7 <> 0""")
+@query("src_timeline", """SELECT user_id AS theme, event_id AS point_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN 0.0 ELSE value END AS volume,
+  CASE WHEN event_id % 7 = 0 THEN 1 ELSE 2 END AS points FROM events""")
 def src_timeline(t):
     k = F.col("event_id")
     points = F.array(
@@ -180,8 +180,9 @@ def src_timeline(t):
     )
     payload = F.to_json(F.struct(F.array(F.struct(F.lit("Volume").alias("series"), points.alias("data"))).alias("timeline")))
     out = parsers.timelines(landed(t.events, payload, theme=F.col("user_id").cast("string")))
-    return out.filter(F.size("series") == 2).select(
-        F.col("probe_theme").cast("bigint").alias("theme"), F.get("series", 0).cast("bigint").alias("point_id"), F.get("series", 1).alias("volume")
+    return out.select(
+        F.col("probe_theme").cast("bigint").alias("theme"), F.get("series", 0).cast("bigint").alias("point_id"),
+        F.get("series", 1).alias("volume"), F.size("series").alias("points"),
     )
 
 
@@ -217,7 +218,7 @@ def src_feed(t):
     title = _xml(F.regexp_extract("text", r"^[^\n]*", 0))
     rss = F.concat(
         F.lit("<rss><channel><title>Outlet</title><item><title>"), title, F.lit("</title><link>https://o.example/"), k,
-        F.lit("</link><guid>g"), k, F.lit("</guid><description>&lt;p&gt;"), _xml(F.left("text", F.lit(400))),
+        F.lit("</link><guid>g"), k, F.lit("</guid><description>&lt;p&gt;"), _xml(F.col("text")),
         F.lit("&lt;/p&gt;</description><pubDate>Mon, 05 Jan 2026 10:00:00 GMT</pubDate></item></channel></rss>"),
     )
     atom = F.concat(
@@ -262,7 +263,7 @@ def noise_filter(t):
 
 @query("cap_per_source", """SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 12""")
 def cap_per_source(t):
-    return ingest.cap_per_source(t.documents.select("source", "doc_id"), "source", ["doc_id"])
+    return ingest.cap_per_source(t.documents.select("source", "doc_id"), "source", ["doc_id"], dims.MAX_ITEMS_PER_FEED)
 
 
 @query("rolling_lookback", f"""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders
@@ -281,17 +282,14 @@ def content_hash(t):
 
 @query("text_chunk", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'news source' ELSE o_orderstatus || '.example' END || ' reported (' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '): "' || o_orderpriority || '".' AS news,
   o_orderstatus || ' reported: "' || o_orderpriority || '".' || CASE WHEN o_orderkey % 3 = 0 THEN ' snippet' ELSE '' END AS feed,
-  'arXiv cs.LG paper "' || o_orderpriority || '" (' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ') by A, B, C' || CASE WHEN o_orderkey % 2 = 0 THEN ' et al' ELSE '' END || '. Abstract: ' || repeat('x', 600) || '…' AS paper FROM orders""")
+  'arXiv cs.LG paper "' || o_orderpriority || '" (' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ') by A, B, C' || CASE WHEN o_orderkey % 2 = 0 THEN ' et al.' ELSE '' END || '. Abstract: ' || repeat('x', 600) || '…' AS paper FROM orders""")
 def text_chunk(t):
     k, p = F.col("o_orderkey"), F.col("o_orderpriority")
     authors = F.slice(F.array(*[F.lit(a) for a in "ABCD"]), 1, F.when(k % 2 == 0, 4).otherwise(3))
-    # the paper line ends its author list with a full stop of its own
     return t.orders.select(
         "o_orderkey", tx.news_chunk(F.when(k % 2 == 0, "").otherwise(F.concat("o_orderstatus", F.lit(".example"))), day("o_orderdate"), p).alias("news"),
         tx.feed_chunk(F.col("o_orderstatus"), p, F.when(k % 3 == 0, "snippet").otherwise("")).alias("feed"),
-        F.replace(
-            tx.paper_chunk(p, F.lit("cs.LG"), day("o_orderdate"), authors, F.lit("x" * 601)), F.lit("al.."), F.lit("al.")
-        ).alias("paper"),
+        tx.paper_chunk(p, F.lit("cs.LG"), day("o_orderdate"), authors, F.lit("x" * 601)).alias("paper"),
     )
 
 

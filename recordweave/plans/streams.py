@@ -18,23 +18,20 @@ def theme():
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type, props FROM events")
 def stream_dedup(t):
-    kept = jobs.dedup(events(t), ["user_id", "event_type", "props"], "ts")
-    return jobs.run_to_table(kept.select("user_id", "event_type", "props"), "stream-dedup")
+    return jobs.dedup(events(t), ["user_id", "event_type", "props"], "ts").select("user_id", "event_type", "props")
 
 
 @query("stream_theme_volume", """SELECT event_type || '-' || (user_id % 10) AS theme, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS volume
 FROM events GROUP BY ALL""")
 def stream_theme_volume(t):
-    volume = jobs.theme_volume(events(t).withColumn("theme", theme()), "theme", "ts")
-    table = jobs.run_to_table(volume, "stream-volume", "update", ["theme", "day"])
-    return table.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    table = jobs.volume(events(t).withColumn("theme", theme()), "theme", "ts")
+    return table.select("theme", F.date_format("start", "yyyy-MM-dd").alias("day"), "volume")
 
 
 @query("stream_theme_sliding", """SELECT event_type AS theme, strftime(CAST(ts AS DATE) - CAST(k AS INT), '%Y-%m-%d') AS start, count(*) AS volume
 FROM events, (SELECT unnest(range(0, 7)) AS k) GROUP BY ALL""")
 def stream_theme_sliding(t):
-    volume = jobs.theme_sliding(events(t).withColumnRenamed("event_type", "theme"), "theme", "ts")
-    table = jobs.run_to_table(volume, "stream-sliding", "update", ["theme", "start"])
+    table = jobs.volume(events(t).withColumnRenamed("event_type", "theme"), "theme", "ts", slide_days=7)
     return table.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
@@ -49,7 +46,7 @@ def stream_late(t):
     rows = events(t).select(
         F.expr(_SOURCE).alias("source_id"), "ts", (F.col("ts") + F.expr("INTERVAL 1 DAY") * (F.col("event_id") % 60)).alias("seen")
     )
-    return jobs.run_to_table(jobs.late_counts(rows, "source_id", "ts", "seen"), "stream-late", "update", ["source_id"])
+    return jobs.late_counts(rows, "source_id", "ts", "seen")
 
 
 @query("stream_breaker", """WITH f AS (SELECT user_id AS source_id, ts, event_type = 'error' AND coalesce((ts, event_id) >
@@ -62,16 +59,13 @@ def stream_breaker(t):
         F.col("user_id").alias("source_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
         (F.col("event_type") == "error").alias("failed"),
     )
-    out = jobs.breaker(runs, "stream-breaker", threshold=2)
+    out = jobs.breaker(runs, threshold=2)
     return out.withColumn("opened_at", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stream_silence", f"""SELECT user_id AS source_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY user_id
 HAVING max(ts) + INTERVAL 30 HOUR < (SELECT max(ts) FROM events)""")
 def stream_silence(t):
-    alerts = jobs.silence_alerts(events(t), "user_id", "ts")
-    table = jobs.run_to_table(alerts, "stream-silence")
-    last = table.groupBy("source_id").agg(F.max("last_seen").alias("last_seen"))
-    return last.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
+    return jobs.silence_alerts(events(t), "user_id", "ts").withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "recordweave", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; on a cluster use the session you are given."""
-    return (
+def local_session(
+    cpus: int | str = "*", app: str = "recordweave", partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
+    """A local session for tests and the bench; on a cluster use the session you are given.
+
+    ``checkpoint_dir`` is taken only where Spark's own defaults name none.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -20,25 +24,26 @@ def local_session(cpus: int | str = "*", app: str = "recordweave", partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("RECORDWEAVE_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if checkpoint_dir and _named_dir(spark) is None:
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", checkpoint_dir).getOrCreate()
+    return spark
+
+
+def _named_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a local master may fall back to a folder of this machine, since there
-    driver and executors are one process.
+    There is no fallback: a folder of one machine would not be seen by the others.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="recordweave-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    root = _named_dir(spark)
+    if not root:
+        raise RuntimeError("this job stages its steps: set spark.checkpoint.dir to a folder that all executors can reach")
     return root
 
 

@@ -240,10 +240,10 @@ def papers(landed: DataFrame) -> DataFrame:
     )
 
 
-def feeds(landed: DataFrame) -> DataFrame:
+def feeds(landed: DataFrame, max_items: int | None = None) -> DataFrame:
     """RSS or Atom bodies of registered outlets; ``probe_theme`` carries the outlet name.
 
-    The first items of a body count, in document order; a body that is not XML gives nothing.
+    With ``max_items`` only the first of a body count, in document order; a body that is not XML gives nothing.
     """
     item = "array<struct<title:string,link:string,guid:string,summary:string,published:string>>"
     rss = F.transform(
@@ -276,7 +276,7 @@ def feeds(landed: DataFrame) -> DataFrame:
             "probe_desks", F.col("probe_theme").alias("outlet"), "fetched_at",
             F.posexplode_outer(F.coalesce(rss.cast(item), atom.cast(item))).alias("pos", "i"),
         )
-        .filter(F.col("pos") < dims.MAX_ITEMS_PER_FEED)
+        .filter(F.col("pos").isNotNull() if max_items is None else F.col("pos") < max_items)
         .select(
             "probe_desks", "outlet", "fetched_at", F.left("i.title", F.lit(dims.TITLE_CHARS)).alias("title"),
             F.col("i.link").alias("url"), F.col("i.guid").alias("guid"), F.col("i.published").alias("published"),

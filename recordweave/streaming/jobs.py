@@ -1,10 +1,17 @@
-"""De-dup, late data, theme volume, breaker and silence alerts as streams."""
+"""De-dup, late data, theme volume, breaker and silence alerts as streams.
+
+Every job writes one small result per micro-batch under ``root`` and merges them
+when read. The merged rows do not depend on how files fall into batches or in
+which order they come, no row is lost for being late, and a batch that is tried again overwrites
+its own folder. With the same ``root`` the next call reads only new files.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from recordweave import dims
 from recordweave.session import run_dir
@@ -16,77 +23,66 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     )
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over what has landed and return its result table.
+def fold(stream: DataFrame, name: str, step: Callable[[DataFrame, int, str], DataFrame], root: str | None = None) -> DataFrame:
+    """Run a stream over what has landed; the written results of all batches, with ``batch``.
 
-    Batches go to their own folder of the shared checkpoint root. A batch that is
-    tried again after a failure overwrites its folder, so each counts once. In
-    update mode the newest version of each key is the result.
+    ``step(rows, batch id, out)`` gives what one batch adds. ``root`` holds results and
+    checkpoint (default: a fresh folder, which then starts from the first file).
     """
     spark = stream.sparkSession
-    root = run_dir(spark, name)
+    root = root or run_dir(spark, name)
     out = f"{root}/out"
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        step(batch, batch_id, out).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(store)
+        stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", f"{root}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    written = spark.read.schema(_with_batch(stream)).parquet(out)
-    if keys is None:
-        return written.drop("batch")
-    rest = [c for c in stream.columns if c not in keys]
-    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("v"))
-    return newest.select(*keys, "v.*")
-
-
-def _with_batch(stream: DataFrame):
-    return T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.parquet(out)
 
 
 def dedup(
-    events: DataFrame, key: list[str], at: str, window_days: int = dims.HOT_WINDOW_DAYS, salts: int = 8
+    events: DataFrame, key: list[str], at: str, window_days: int | None = None, root: str | None = None
 ) -> DataFrame:
-    """First copy of each key inside the hot window; state older than that is let go.
+    """One row of each key. ``events`` is a stream.
 
-    Copies are first thinned out per (key, salt), so a key with a third of all rows
-    is spread over tasks and reaches its own task as at most ``salts`` rows.
+    A batch keeps one row per key (a hot key is thinned out before the shuffle) that
+    no earlier batch has stored. With ``window_days`` only stored rows within so many days of the
+    batch's event times are looked at: bounded work, and a key may come again after that time.
     """
-    spread = events.withWatermark(at, f"{window_days} days")
-    if salts > 1:
-        rest = [c for c in events.columns if c not in key]
-        spread = (
-            spread.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
-            .dropDuplicatesWithinWatermark([*key, "_salt"])
-            .drop("_salt")
-        )
-    return spread.dropDuplicatesWithinWatermark(key)
+    columns = events.columns
 
+    def step(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+        fresh = batch.groupBy(*key).agg(F.min_by(F.struct(*columns), F.struct(at, F.xxhash64(*columns))).alias("v")).select("v.*")
+        if batch_id == 0:
+            return fresh
+        old = batch.sparkSession.read.parquet(out).filter(F.col("batch") < batch_id)
+        if window_days is not None:
+            low, high = batch.agg(F.min(at), F.max(at)).first()
+            reach = F.make_interval(days=F.lit(window_days))
+            old = old.filter(F.col(at).between(F.lit(low) - reach, F.lit(high) + reach))
+        same = [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
+        return fresh.alias("f").join(old.select(*key).alias("o"), same, "left_anti")
 
-def theme_volume(events: DataFrame, theme: str, at: str, delay: str = "2 days") -> DataFrame:
-    """Daily volume per theme."""
-    return (
-        events.withWatermark(at, delay)
-        .groupBy(theme, F.window(at, "1 day").alias("w"))
-        .agg(F.count("*").alias("volume"))
-        .select(theme, F.col("w.start").alias("day"), "volume")
-    )
+    return fold(events, "dedup", step, root).drop("batch")
 
 
-def theme_sliding(events: DataFrame, theme: str, at: str, delay: str = "2 days") -> DataFrame:
-    """Volume of the last seven days per theme, every day."""
-    return (
-        events.withWatermark(at, delay)
-        .groupBy(theme, F.window(at, "7 days", "1 day").alias("w"))
-        .agg(F.count("*").alias("volume"))
-        .select(theme, F.col("w.start").alias("start"), "volume")
-    )
+def volume(events: DataFrame, theme: str, at: str, slide_days: int = 1, root: str | None = None) -> DataFrame:
+    """(theme, start, volume): rows per theme and span of ``slide_days`` days, a span starting every day.
+
+    Batches store counts; late rows count like any others.
+    """
+    span = F.window(at, f"{slide_days} days", "1 day") if slide_days > 1 else F.window(at, "1 day")
+
+    def step(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+        return batch.groupBy(theme, span.alias("w")).agg(F.count("*").alias("volume")).select(theme, F.col("w.start").alias("start"), "volume")
+
+    return fold(events, "volume", step, root).groupBy(theme, "start").agg(F.sum("volume").alias("volume"))
 
 
 def late_rows(events: DataFrame, source: str, at: str, seen: str) -> Column:
@@ -96,95 +92,64 @@ def late_rows(events: DataFrame, source: str, at: str, seen: str) -> Column:
     return F.date_diff(F.col(seen).cast("date"), F.col(at).cast("date")) > allowed
 
 
-def late_counts(events: DataFrame, source: str, at: str, seen: str) -> DataFrame:
+def late_counts(events: DataFrame, source: str, at: str, seen: str, root: str | None = None) -> DataFrame:
     """Per source: rows kept and rows beyond the lookback (counted, not lost silently)."""
     late = late_rows(events, source, at, seen)
-    return events.groupBy(source).agg(F.count_if(~late).alias("kept"), F.count_if(late).alias("late"))
 
+    def step(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+        return batch.groupBy(source).agg(F.count_if(~late).alias("kept"), F.count_if(late).alias("late"))
+
+    return fold(events, "late", step, root).groupBy(source).agg(F.sum("kept").alias("kept"), F.sum("late").alias("late"))
 
-def breaker(runs: DataFrame, name: str, threshold: int = dims.BREAKER_THRESHOLD) -> DataFrame:
-    """Failure streak per source over a stream of runs.
 
-    Each batch is first reduced to a few figures per source (map-side aggregates:
-    last success, failures after it), then merged into the state table, so one
-    busy source never gathers in one task. Batches must arrive in run order.
-    ``runs``: source_id, at, seq, failed.
+def breaker(
+    runs: DataFrame, threshold: int = dims.BREAKER_THRESHOLD, root: str | None = None,
+    now: str | None = None, cooldown_minutes: int = 30,
+) -> DataFrame:
+    """Failures since the last success per source, from a stream of runs (source_id, at, seq, failed).
+
+    A batch stores each source's last success and its failures per hour after that;
+    reading takes the newest success of all batches and counts the failures beyond it, so batches may
+    come in any order. An open breaker lets a run through again ``cooldown_minutes``
+    after its last failure: with ``now`` its state is then ``half_open``.
     """
-    spark = runs.sparkSession
-    root = run_dir(spark, name)
+    order = F.struct("at", "seq")
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        order = F.struct("at", "seq")
+    def step(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
         last_ok = batch.groupBy("source_id").agg(F.max(F.when(~F.col("failed"), order)).alias("last_ok"))
-        after = F.col("failed") & (F.col("last_ok").isNull() | (order > F.col("last_ok")))
-        fresh = batch.join(last_ok, "source_id").groupBy("source_id").agg(
-            F.count_if(after).alias("failures"), F.max(F.when(after, F.col("at"))).alias("last_failure"),
-            F.bool_or(~F.col("failed")).alias("had_success"),
-        )
-        if batch_id > 0:
-            old = batch.sparkSession.read.parquet(f"{root}/state-{batch_id - 1}").select(
-                "source_id", F.col("failures").alias("f0"), F.col("last_failure").alias("l0")
-            )
-            fresh = fresh.join(old, "source_id", "full_outer").select(
-                "source_id",
-                (
-                    F.coalesce("failures", F.lit(0))
-                    + F.when(F.coalesce("had_success", F.lit(False)), 0).otherwise(F.coalesce("f0", F.lit(0)))
-                ).alias("failures"),
-                F.coalesce("last_failure", F.when(~F.coalesce("had_success", F.lit(False)), F.col("l0"))).alias("last_failure"),
-            )
-        fresh.select("source_id", "failures", "last_failure").write.mode("overwrite").parquet(f"{root}/state-{batch_id}")
-        batch.sparkSession.range(1).select(F.lit(batch_id).alias("batch")).write.mode("overwrite").parquet(
-            f"{root}/done/batch={batch_id}"
+        after = F.col("last_ok").isNull() | (order > F.col("last_ok"))
+        failures = (
+            batch.filter("failed").join(last_ok, "source_id").filter(after)
+            .select("source_id", F.lit(None).cast(last_ok.schema["last_ok"].dataType).alias("last_ok"), order.alias("failure"))
         )
+        return last_ok.select("source_id", "last_ok", F.lit(None).cast(last_ok.schema["last_ok"].dataType).alias("failure")).union(failures)
 
-    query = (
-        runs.writeStream.foreachBatch(fold)
-        .option("checkpointLocation", f"{root}/offsets")
-        .trigger(availableNow=True)
-        .start()
+    told = fold(runs, "breaker", step, root).drop("batch")
+    newest = told.groupBy("source_id").agg(F.max("last_ok").alias("ok"))
+    live = F.col("failure").isNotNull() & (F.col("ok").isNull() | (F.col("failure") > F.col("ok")))
+    out = told.join(newest, "source_id").groupBy("source_id").agg(
+        F.count_if(live).alias("failures"), F.max(F.when(live, F.col("failure.at"))).alias("last_failure")
     )
-    query.awaitTermination()
-    last = spark.read.parquet(f"{root}/done").agg(F.max("batch")).first()[0]
     is_open = F.col("failures") >= threshold
-    return spark.read.parquet(f"{root}/state-{last}").select(
-        "source_id", "failures", F.when(is_open, "open").otherwise("closed").alias("state"),
-        F.when(is_open, F.col("last_failure")).alias("opened_at"),
-    )
+    state = F.when(is_open, "open").otherwise("closed")
+    if now is not None:
+        cool = F.col("last_failure") + F.make_interval(mins=F.lit(cooldown_minutes)) <= F.lit(now).cast("timestamp")
+        state = F.when(is_open & cool, "half_open").otherwise(state)
+    return out.select("source_id", "failures", state.alias("state"), F.when(is_open, F.col("last_failure")).alias("opened_at"))
 
 
-def silence_alerts(events: DataFrame, source: str, at: str, hours: int = dims.SOURCE_STALE_HOURS) -> DataFrame:
-    """A row per source that goes silent: an event-time timer that every event pushes back.
+def silence_alerts(
+    events: DataFrame, source: str, at: str, hours: int = dims.SOURCE_STALE_HOURS, root: str | None = None
+) -> DataFrame:
+    """(source_id, last_seen) of sources silent for over ``hours`` up to the newest event of all.
 
-    Each Arrow batch is cut down to one newest row per source before the shuffle, so
-    a busy source sends few rows; the state of a source is one timestamp.
+    Batches store the newest time per source. A source that came back is no longer
+    silent, and a silence inside one batch counts like one between batches.
     """
-    import pandas as pd
-
-    def newest(batches):
-        for rows in batches:
-            yield rows.groupby("source_id", as_index=False)[at].max()
-
-    limit_ms = hours * 3_600_000
-
-    def watch(key, batches, state):
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"source_id": [key[0]], "last_seen": [pd.Timestamp(last, unit="us")]})
-            return
-        last = state.get[0] if state.exists else 0
-        for rows in batches:
-            last = max(last, int(rows[at].max().value // 1000))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + limit_ms, state.getCurrentWatermarkMs() + 1))
-
-    slim = events.select(F.col(source).cast("bigint").alias("source_id"), F.col(at).cast("timestamp").alias(at))
-    return (
-        slim.mapInPandas(newest, slim.schema)
-        .withWatermark(at, "0 seconds")
-        .groupBy("source_id")
-        .applyInPandasWithState(
-            watch, "source_id bigint, last_seen timestamp", "last_us bigint", "append", "EventTimeTimeout"
-        )
-    )
+    def step(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+        return batch.groupBy(F.col(source).alias("source_id")).agg(F.max(F.col(at).cast("timestamp")).alias("last_seen"))
+
+    seen = fold(events, "silence", step, root).groupBy("source_id").agg(F.max("last_seen").alias("last_seen"))
+    newest = seen.agg(F.max("last_seen").alias("newest"))
+    limit = F.col("newest") - F.make_interval(hours=F.lit(hours))
+    return seen.join(F.broadcast(newest), F.col("last_seen") < limit).select("source_id", "last_seen")

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from recordweave.session import local_session  # noqa: E402
 
 
 # started on import, since test modules build columns at module level
-SPARK = local_session(8, "tests", partitions=4)
+SPARK = local_session(8, "tests", partitions=4, checkpoint_dir=tempfile.gettempdir() + "/recordweave-tests")
 SPARK.sparkContext.setLogLevel("ERROR")
 
 

@@ -64,8 +64,10 @@ def test_amounts(value, given, want):
     assert value(money.amounts_usd(c), v=given) == pytest.approx(want)
 
 
-def test_amounts_stop_at_25(value):
-    assert len(value(money.amounts_usd(c), v=" ".join(f"${i}" for i in range(1, 40)))) == 25
+def test_all_amounts_or_the_first(value):
+    text = " ".join(f"${i}" for i in range(1, 40))
+    assert value(money.amounts_usd(c), v=text) == [float(i) for i in range(1, 40)]
+    assert value(money.amounts_usd(c, 25), v=text) == [float(i) for i in range(1, 26)]
 
 
 def test_display_amounts_know_no_tn(value):
@@ -254,6 +256,9 @@ def test_html_text(value):
     assert value(html.html_text(c), v=page) == "a & b c"
     assert value(html.html_text(c), v="plain   text &amp;") == "plain text &amp;"
     assert value(html.html_text(c), v=None) == ""
+    assert value(html.html_text(c), v="a <![foo[ x") == "a"
+    assert value(html.html_text(c), v="5 < 6<!-- <p> hidden --> is\u00a0so<br/>&eacute;") == "5 < 6 is so é"
+    assert value(html.html_text(c), v="<p>shown<script>var t = '</p>'") == "shown"
 
 
 @pytest.mark.parametrize("amount, want", [(None, 0.0), (0.0, 0.0), (5e5, 0.05), (1e6, 0.15), (5e6, 0.2), (1e7, 0.4), (1e8, 0.7), (1e9, 1.0)])
