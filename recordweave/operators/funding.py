@@ -45,5 +45,13 @@ def agency_id(agency):
     return F.sha2(F.concat(F.lit("gov_agency:"), agency), 256)
 
 
+def typed_edges(edges: DataFrame) -> DataFrame:
+    """Funding as typed edges of the graph table, each agency under an id made from its name."""
+    return edges.select(
+        agency_id(F.col("agency")).alias("from_id"), F.col("entity").cast("string").alias("to_id"), F.lit("FUNDS").alias("edge_type"),
+        "agency", "total_usd", "award_count", "last_award",
+    )
+
+
 def top_funding(edges: DataFrame, limit: int = 60) -> DataFrame:
     return edges.orderBy(F.desc_nulls_last("total_usd"), "agency", "entity").limit(limit)

@@ -63,10 +63,10 @@ def amount_window(tagged: DataFrame) -> DataFrame:
 
 
 def score(tagged: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Materiality per (desk, record). ``windows`` has one row per desk, a fixed handful."""
+    """Materiality per (desk, record). ``windows`` has one row per desk."""
     return (
         corroboration(tagged, counts)
-        .join(F.broadcast(windows), "desk", "left")
+        .join(windows, "desk", "left")
         .withColumn("magnitude", scoring.magnitude(F.col("amount_usd"), F.col("low"), F.col("high"), F.col("points")))
         .withColumn(
             "score",
@@ -188,7 +188,7 @@ def apply_significance(facts: DataFrame, verdicts: DataFrame, threshold: float =
     keep = (F.col("significance") >= threshold) | (
         (F.col("_top") < threshold) & (F.col("record_id") == F.col("_best"))
     )
-    return judged.join(F.broadcast(best), "desk").filter(keep).drop("_top", "_best")
+    return judged.join(best, "desk").filter(keep).drop("_top", "_best")
 
 
 def wire_title(title: Column, headline: Column, text: Column) -> Column:

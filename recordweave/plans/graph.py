@@ -144,7 +144,7 @@ def graph_edges_topn(t):
 def awards(t):
     """Award rows: line items as awards of the customer's nation to the supplier."""
     buyers = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")
+        t.nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
     return t.lineitem.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit(" uei"), F.col("l_suppkey").cast("string"), F.lit(" ")).alias("recipient_uei"),
@@ -189,6 +189,23 @@ def funding_topn(t):
     return funding.top_funding(funding_edges(t))
 
 
+_OLD = "(SELECT * FROM awards WHERE start_date < '1998-06-01')"
+_NEW = "(SELECT * FROM awards WHERE start_date >= '1996-01-01')"
+
+
+@query("funding_scd2", f"""WITH {_AWARDS}, live AS {_FUNDING.format(source=_OLD)}, want AS {_FUNDING.format(source=_NEW)}
+SELECT sha256('gov_agency:' || coalesce(l.agency, w.agency)) AS from_id, coalesce(l.entity, w.entity)::VARCHAR AS to_id, 'FUNDS' AS edge_type,
+       coalesce(l.agency, w.agency) AS agency, coalesce(w.total_usd, l.total_usd) AS total_usd, coalesce(w.award_count, l.award_count) AS award_count,
+       coalesce(w.last_award, l.last_award) AS last_award, CASE WHEN l.agency IS NULL THEN '{AS_OF}' ELSE '2001-05-01' END AS valid_from,
+       CASE WHEN w.agency IS NULL THEN '{AS_OF}' END AS valid_to,
+       CASE WHEN w.agency IS NULL THEN 'retired' WHEN l.agency IS NULL THEN 'inserted' ELSE 'refreshed' END AS action
+FROM live l FULL JOIN want w ON l.agency = w.agency AND l.entity = w.entity""")
+def funding_scd2(t):
+    old, new = (funding.funding_edges(awards(t).filter(rule), recipients(t)) for rule in ("start_date < '1998-06-01'", "start_date >= '1996-01-01'"))
+    live = funding.typed_edges(old).withColumn("valid_from", F.lit("2001-05-01"))
+    return graph.scd2_edges(live, funding.typed_edges(new), F.lit(AS_OF))
+
+
 _TOP = f"""{WITH_EDGES}, {_AWARDS}, top AS (
   SELECT * FROM edges ORDER BY confidence DESC, weight DESC, from_id, to_id LIMIT 100),
 fund AS (SELECT * FROM {_FUNDING.format(source='awards')} ORDER BY total_usd DESC NULLS LAST, agency, entity LIMIT 60)"""

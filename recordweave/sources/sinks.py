@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordweave.operators.ingest import flag_new
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    if table_exists(spark, path):
+    """The table at ``path``, or an empty one of the same columns before its first write."""
+    try:
         return spark.read.schema(like.schema).parquet(path)
-    return like.limit(0)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
 
 
 def append_new(spark: SparkSession, batch: DataFrame, path: str, run_id: str) -> DataFrame:
@@ -31,8 +32,10 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str, run_id: str) ->
     stored = read_or_empty(spark, path, batch.withColumn("run_id", F.lit(run_id)))
     flagged = flag_new(batch, stored.filter(F.col("run_id") != run_id))
     fresh = flagged.filter("is_new").select(*columns).withColumn("run_id", F.lit(run_id))
-    overwrite_partitions(fresh, path, ["run_id"])
-    written = spark.read.parquet(path).filter(F.col("run_id") == run_id).select(F.lit(True).alias("is_new"))
+    # its own folder is written even without fresh rows, so nothing of an earlier try stays
+    own = f"{path}/run_id={quote(run_id, safe='')}"
+    fresh.drop("run_id").write.mode("overwrite").parquet(own)
+    written = spark.read.schema(batch.schema).parquet(own).select(F.lit(True).alias("is_new"))
     both = batch.select(F.lit(False).alias("is_new")).unionByName(written)
     counts = both.agg(F.count_if(~F.col("is_new")).alias("fetched"), F.count_if("is_new").alias("new"))
     return counts.select(
