@@ -17,7 +17,7 @@ REACH = LENGTH - GRAM + 1  # grams in a window
 PIECE_BITS = 20
 SEPARATOR = 0xFF  # never in UTF-8
 BLOCK_BYTES = 8_000_000
-SHARE_BYTES = 3_000_000
+SHARE_BYTES = 2_000_000
 KEY_BYTES = 32_000_000
 NO_ID = (1 << 63) - 1
 
@@ -293,10 +293,13 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
             key, at, count = np.unique(every, return_inverse=True, return_counts=True)
             some = count > 1
             np.logical_or.at(some, at[twice], True)
-            good = key[some]
-            for block in sorted({b for b, _, _ in own}):
-                mine = np.unique(np.concatenate([k for b, k, _ in own if b == block]))
-                mine = mine[np.isin(mine, good, assume_unique=True)]
+            again = some[at]  # for each key sent, in the order of the blobs
+            first, wanted = 0, {}
+            for block, k, _ in own:
+                wanted.setdefault(block, []).append(k[again[first : first + len(k)]])
+                first += len(k)
+            for block, parts in wanted.items():
+                mine = np.unique(np.concatenate(parts))
                 if len(mine):
                     yield block, 0, squeeze(steps(mine))
 
