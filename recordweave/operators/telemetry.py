@@ -25,6 +25,17 @@ def run_accounting(records: DataFrame) -> DataFrame:
     )
 
 
+def run_failures(source_runs: DataFrame) -> DataFrame:
+    """Per run how many sources ran and failed; the run has failed only if all of them did.
+
+    ``source_runs``: run_id, source_id, failed; a source counts as failed if it never got through.
+    """
+    per_source = source_runs.groupBy("run_id", "source_id").agg(F.bool_and("failed").alias("failed"))
+    return per_source.groupBy("run_id").agg(
+        F.count("*").alias("sources"), F.count_if("failed").alias("failed_sources"), F.bool_and("failed").alias("total_failure")
+    )
+
+
 def ingest_volume(runs: DataFrame) -> DataFrame:
     """New records per source, busiest first, silent sources left out."""
     total = runs.groupBy("source_id").agg(F.sum("records_new").alias("records_new"))
@@ -153,12 +164,16 @@ def exclude_sources(rows: DataFrame, names: str, column: str = "source_id") -> D
 
 
 def constraint_report(rules: list[tuple[str, DataFrame, Column, str]]) -> DataFrame:
-    """Rows that break a rule: ``(rule name, table, condition that must hold, id column)``."""
+    """Rows that break a rule: ``(rule name, table, condition that must hold, id column)``.
+
+    All rules over one table (the same DataFrame object and id column) are judged in one pass.
+    """
+    tables: dict[tuple[int, str], tuple[DataFrame, list[Column]]] = {}
+    for rule, df, holds, key in rules:
+        tables.setdefault((id(df), key), (df, []))[1].append(F.when(~F.coalesce(holds, F.lit(True)), F.lit(rule)))
     parts = [
-        df.filter(~F.coalesce(holds, F.lit(True))).select(
-            F.lit(rule).alias("rule"), F.col(key).cast("string").alias("row_id")
-        )
-        for rule, df, holds, key in rules
+        df.select(F.explode(F.array_compact(F.array(*broken))).alias("rule"), F.col(key).cast("string").alias("row_id"))
+        for (_, key), (df, broken) in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -101,13 +101,21 @@ def exclude_sources(t):
 
 @query("constraint_report", """SELECT 'order_status' AS rule, CAST(o_orderkey AS VARCHAR) AS row_id FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
 UNION ALL SELECT 'event_type', CAST(event_id AS VARCHAR) FROM events WHERE event_type NOT IN ('click', 'view', 'signup', 'purchase')
-UNION ALL SELECT 'confidence', CAST(event_id AS VARCHAR) FROM events WHERE NOT value / 100 BETWEEN 0 AND 1""")
+UNION ALL SELECT 'confidence', CAST(event_id AS VARCHAR) FROM events WHERE NOT value / 100 BETWEEN 0 AND 1
+UNION ALL SELECT 'edge_type', l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
+UNION ALL SELECT 'item_type', CAST(doc_id AS VARCHAR) FROM documents WHERE lang NOT IN ('en', 'fr', 'de')
+UNION ALL SELECT 'attribution', CAST(doc_id AS VARCHAR) FROM labels WHERE toxic <> 0""")
 def constraint_report(t):
+    events = t.events
+    edges = t.lineitem.withColumn("edge", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     return telemetry.constraint_report(
         [
             ("order_status", t.orders, F.col("o_orderstatus").isin("F", "O"), "o_orderkey"),
-            ("event_type", t.events, F.col("event_type").isin("click", "view", "signup", "purchase"), "event_id"),
-            ("confidence", t.events, (F.col("value") / 100).between(0, 1), "event_id"),
+            ("event_type", events, F.col("event_type").isin("click", "view", "signup", "purchase"), "event_id"),
+            ("confidence", events, (F.col("value") / 100).between(0, 1), "event_id"),
+            ("edge_type", edges, F.col("l_returnflag").isin("A", "N"), "edge"),
+            ("item_type", t.documents, F.col("lang").isin("en", "fr", "de"), "doc_id"),
+            ("attribution", t.labels, F.col("toxic") == 0, "doc_id"),
         ]
     )
 
@@ -130,6 +138,16 @@ def document_batches(t):
     return rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 = 1")
 
 
+@query("run_failures", """WITH s AS (SELECT event_id // 3 AS run_id, user_id AS source_id, bool_and(event_type = 'error') AS failed FROM events GROUP BY ALL)
+SELECT run_id, count(*) AS sources, count(*) FILTER (failed) AS failed_sources, bool_and(failed) AS total_failure FROM s GROUP BY run_id""")
+def run_failures(t):
+    return telemetry.run_failures(
+        t.events.select(
+            F.floor(F.col("event_id") / 3).alias("run_id"), F.col("user_id").alias("source_id"), (F.col("event_type") == "error").alias("failed")
+        )
+    )
+
+
 @query("ingest_volume", """SELECT user_id AS source_id, CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS records_new FROM events
 WHERE event_type <> 'error' GROUP BY user_id HAVING records_new > 0""")
 def ingest_volume(t):
