@@ -194,7 +194,16 @@ def _xml(c):
     return kept
 
 
-@query("src_atom")
+# what an XML reader gives back of a text put into a payload by _xml
+_KEPT = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]', '', 'g')"
+_LINE = r"regexp_extract(" + _KEPT + r", '^[^\n]*', 0)"
+
+
+@query("src_atom", f"""WITH a AS (SELECT doc_id, source, {sq.squash(_LINE)} AS title, {sq.squash(_KEPT)} AS body FROM documents)
+SELECT '2401.' || doc_id AS native_id, 'v2' AS version, upper('Ann ' || source) AS lead, 'cs.LG' AS primary_category, 'cs.LG,cs.AI' AS categories,
+  'arXiv cs.LG paper "' || title || '" (2026-01-01) by Ann ' || source || ', Bo.' || CASE WHEN body = '' THEN ''
+    ELSE ' Abstract: ' || CASE WHEN length(body) > {dims.PAPER_ABSTRACT_CHARS} THEN left(body, {dims.PAPER_ABSTRACT_CHARS}) || '…' ELSE body END END AS text_chunk,
+  'https://arxiv.org/abs/2401.' || doc_id AS url FROM a""")
 def src_atom(t):
     k = F.col("doc_id").cast("string")
     payload = F.concat(
@@ -212,7 +221,20 @@ def src_atom(t):
     )
 
 
-@query("src_feed")
+def _untag(e):
+    return sq.squash(f"regexp_replace({e}, '<[^>]+>', ' ', 'g')")
+
+
+_QUOTED = [w.replace("'", "''") for w in dims.COMMERCE_NOISE]
+_NOISY = " OR ".join([f"contains(lower(title), '{w}')" for w in _QUOTED] + [f"regexp_matches(title, '{dims.COMMERCE_NOISE_PATTERN}')"])
+
+
+@query("src_feed", f"""WITH a AS (SELECT doc_id, source, doc_id % 3 = 0 AS rss, left({_untag(_LINE)}, {dims.TITLE_CHARS}) AS title,
+  CASE WHEN doc_id % 3 = 0 THEN left({_untag(_KEPT)}, {dims.SNIPPET_CHARS}) ELSE 'Short' END AS snippet FROM documents WHERE doc_id % 3 <> 2)
+SELECT CASE WHEN rss THEN 'g' ELSE 'a' END || doc_id AS native_id, title, source AS outlet,
+  CASE WHEN rss THEN 'Mon, 05 Jan 2026 10:00:00 GMT' ELSE '2026-01-05T10:00:00Z' END AS published, 'https://o.example/' || doc_id AS url,
+  source || ' reported: "' || title || '".' || CASE WHEN snippet = '' THEN '' ELSE ' ' || snippet END AS text_chunk
+FROM a WHERE title <> '' AND NOT ({_NOISY})""")
 def src_feed(t):
     k = F.col("doc_id").cast("string")
     title = _xml(F.regexp_extract("text", r"^[^\n]*", 0))
