@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,21 +64,25 @@ def paths(nodes: DataFrame) -> DataFrame:
         .select("c", "node_id", F.when(F.col("known"), F.col("up")).alias("up"), F.lit(1).cast("bigint").alias("depth"), "score"),
         "step",
     )
-    steps, rows = [step], own.count()
+    steps, ended, rows = [step], [step.filter("up is null")], own.count()
     for _ in range(max(1, rows).bit_length()):
-        if not step.filter("up is not null").limit(1).count():
+        active = steps[-1].filter("up is not null")
+        if not active.limit(1).count():
             break
-        far = step.select("c", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        # only nodes still under way are joined; those at a root keep what they have
+        far = reduce(DataFrame.union, [*ended, active]).select(
+            "c", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2")
+        )
         step = stage(
-            step.join(far, ["c", "up"], "left").select(
-                "c", "node_id", F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
+            active.join(far, ["c", "up"]).select(
+                "c", "node_id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")
             ),
             "step",
         )
         steps.append(step)
-    leaves = step.filter("up is null").join(
+        ended.append(step.filter("up is null"))
+    rooted = reduce(DataFrame.union, ended)
+    leaves = rooted.join(
         own.select("c", F.col("parent_id").alias("node_id")).distinct(), ["c", "node_id"], "left_anti"
     )
     best = leaves.groupBy("c").agg(
