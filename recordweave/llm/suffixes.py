@@ -46,7 +46,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     wide = int(t.max()).bit_length()
     if 3 * wide <= 63:
         code = (t[sample] << (2 * wide)) | (t[sample + 1] << wide) | t[sample + 2]
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         fresh = np.concatenate(([True], code[order][1:] != code[order][:-1]))
     else:
         order = np.lexsort((t[sample + 2], t[sample + 1], t[sample]))
@@ -62,10 +62,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sampled = sampled[sampled < n]
     zero = np.arange(0, n, 3)
     near = (t[zero] << 32) | rank[zero + 1] if wide <= 31 else None
-    zero = zero[np.argsort(near, kind="stable")] if near is not None else zero[np.lexsort((rank[zero + 1], t[zero]))]
+    zero = zero[np.argsort(near)] if near is not None else zero[np.lexsort((rank[zero + 1], t[zero]))]
     # where each suffix of one kind falls among the others
-    if 2 * wide <= 31:
+    if 2 * wide <= 62:
         pair = (t[:-1] << wide) | t[1:]
+        if 2 * wide > 31:
+            pair = np.unique(pair, return_inverse=True)[1]
     else:
         both = np.lexsort((t[1:], t[:-1]))
         x, y = t[:-1][both], t[1:][both]
@@ -211,8 +213,8 @@ class Block:
         self.body, self.starts = joined(self.texts)
         self.known = np.unique(np.concatenate([summed(opened(k)[0]) for k in known])) if known else np.zeros(0, np.uint64)
 
-    def parts(self, shares: int):
-        """(first windows, windows, shares, documents) of the runs that may repeat."""
+    def parts(self):
+        """(first windows, windows, keys, documents) of the runs that may repeat."""
         raw = np.frombuffer(self.body, np.uint8)
         for first, many, key in minimiser_runs(raw):
             if not len(self.known):
@@ -220,7 +222,7 @@ class Block:
             at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
             ok = self.known[at] == key
             first, many, key = first[ok], many[ok], key[ok]
-            yield first, many, (key % np.uint64(shares)).astype(np.int64), np.searchsorted(self.starts, first, side="right") - 1
+            yield first, many, key, np.searchsorted(self.starts, first, side="right") - 1
 
 
 def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int = SHARE_BYTES) -> DataFrame:
@@ -323,15 +325,15 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
         return df.repartition(blocks, "block").sortWithinPartitions("block", "kind")
 
     def distinct_parts(block: Block):
-        """{share: {bytes: (place, smallest document)}} in order of first place."""
+        """{share: {bytes: (place, smallest document, key)}} in order of first place."""
         out: dict[int, dict[bytes, list]] = {}
         body, ids = block.body, block.ids
-        for first, many, share, doc in block.parts(shares):
-            for a, n, s, d in zip(first.tolist(), many.tolist(), share.tolist(), ids[doc].tolist()):
+        for first, many, key, doc in block.parts():
+            for a, n, k, d in zip(first.tolist(), many.tolist(), key.tolist(), ids[doc].tolist()):
                 part = body[a : a + n + LENGTH - 1]
-                own = out.setdefault(s, {})
+                own = out.setdefault(k % shares, {})
                 if part not in own:  # documents come by rising id, so the first is the smallest
-                    own[part] = (len(own), d)
+                    own[part] = (len(own), d, k // shares & 0xFFFFFFFF)
         return out
 
     def send(rows):
@@ -339,27 +341,39 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
             block = Block([v for k, v in group if k == 2], [v for k, v in group if k == 0])
             for share, own in distinct_parts(block).items():
                 yield share, number, squeeze(
-                    np.array([d for _, d in own.values()], "<i8"), np.fromiter(map(len, own), np.int64, len(own)).astype("<i4"), b"".join(own)
+                    np.array([d for _, d, _ in own.values()], "<i8"), np.fromiter(map(len, own), np.int64, len(own)).astype("<i4"), b"".join(own),
+                    np.array([k for _, _, k in own.values()], "<u4"),
                 )
 
     def answer(rows):
         for (share,), group in grouped(rows):
             place: dict[bytes, int] = {}
             owner: list[int] = []
+            keys: list[int] = []
             asked = []
             for number, blob in group:
-                ids, sizes, body = opened(blob)
+                ids, sizes, body, marks = opened(blob)
                 at, mine = 0, []
-                for d, n in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(sizes, "<i4").tolist()):
+                for d, n, key in zip(
+                    np.frombuffer(ids, "<i8").tolist(), np.frombuffer(sizes, "<i4").tolist(), np.frombuffer(marks, "<u4").tolist()
+                ):
                     k = place.setdefault(body[at : at + n], len(owner))
                     if k == len(owner):
                         owner.append(d)
+                        keys.append(key)
                     elif d < owner[k]:
                         owner[k] = d
                     mine.append(k)
                     at += n
                 asked.append((number, mine))
-            low = smallest_owner(list(place), np.array(owner, np.int64))
+            parts, owners = list(place), np.array(owner, np.int64)
+            _, where, count = np.unique(np.array(keys, np.uint32), return_inverse=True, return_counts=True)
+            # a run alone with its key has windows of its own only; the others are sorted
+            met = np.flatnonzero(count[where] > 1).tolist()
+            low = [np.full(len(part) - LENGTH + 1, d) for part, d in zip(parts, owner)]
+            if met:
+                for k, found in zip(met, smallest_owner([parts[k] for k in met], owners[met])):
+                    low[k] = found
             for number, mine in asked:
                 # one value for a run whose windows all have the same smallest document
                 flat = [low[k] for k in mine]
@@ -390,7 +404,7 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
                 lows.append(low)
             low = np.concatenate(lows) if lows else np.zeros(0, np.int64)
             body = block.body
-            for first, many, _, doc in block.parts(shares):
+            for first, many, _, doc in block.parts():
                 if not len(first):
                     continue
                 at = [offset[body[a : a + n + LENGTH - 1]] for a, n in zip(first.tolist(), many.tolist())]
