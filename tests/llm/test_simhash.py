@@ -70,3 +70,37 @@ def test_one_of_each(spark):
     out = simhash.one_of_each(df)
     assert out.columns == ["doc_id", "text", "k"]
     assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "9", "None"]
+
+
+def grams(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_similar_texts_against_all_pairs(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows = [(i, t) for i, t in docs if t and t.isascii()]
+    base = [f"w{i * i % 9973}" for i in range(300)]
+    for k in range(40):  # 1 to 8 words changed: similarities on both sides of 0.8
+        own = list(base)
+        for c in range(k % 8 + 1):
+            own[(37 * c + 11 * k) % 300] = f"x{k}-{c}"
+        rows.append((5000 + k, " ".join(own)))
+    rows += [(6000, ""), (6001, None), (6002, "one two"), (6003, "One  two"), (None, "one two")]
+    sets = [grams(t) for _, t in rows]
+    label, found = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                found += sets[i] != sets[j] and (simhash.simhash(rows[i][1].encode()) ^ simhash.simhash(rows[j][1].encode())).bit_count() > 4
+                if label[i] != label[j]:
+                    a, b = label[i], label[j]
+                    label = [a if x == b else x for x in label]
+    low = {x: min((rows[i][0] for i in range(len(rows)) if label[i] == x and rows[i][0] is not None), default=None) for x in label}
+    want = sorted(((r[0], low[x]) for r, x in zip(rows, label)), key=str)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found and sorted((tuple(r) for r in simhash.similar(df).collect()), key=str) == want
+    assert sorted((tuple(r) for r in simhash.similar(df, tile=5).collect()), key=str) == want
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {c for _, c in want} | {None}
+    assert simhash.similar(df.limit(0)).count() == 0
