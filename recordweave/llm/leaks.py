@@ -1,4 +1,4 @@
-"""Benchmark decontamination: template windows, hash join, slot consistency."""
+"""Benchmark decontamination: plain and template windows, hash join, slot consistency."""
 
 from __future__ import annotations
 
@@ -58,12 +58,20 @@ class Codes(dict):
 
 
 def template(text: str, codes: Codes) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(bare words, template hashes, which are slots) of a text.
+    """(words, template hashes, which are slots) of a text: the first of its :func:`forms`."""
+    words, found = forms(text, codes)
+    return words, *found[0]
+
+
+def forms(text: str, codes: Codes) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The words of a text and (hashes, which are slots) of its three forms.
 
     Words are split at white space and bared of punctuation at their ends. One with a
     digit is a number; a unit word after a number is a unit; a word in title case
     inside a sentence is a name, and so is the same word where it begins one. All
-    other words stand for themselves in lower case.
+    other words stand for themselves in lower case. As that makes a name of any word
+    that some heading or title holds, the second form takes only words inside a sentence
+    for names, and in the third, which has no slots, every word stands for itself.
     """
     words = text.replace("\n", " \x01 ").split()
     code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
@@ -76,45 +84,59 @@ def template(text: str, codes: Codes) -> tuple[list[str], np.ndarray, np.ndarray
     hashes = code & HASH
     number = (code & DIGIT_BIT) != 0
     title = (code & TITLE_BIT) != 0
-    name = title & ~begins
-    if name.any():
-        name |= title & np.isin(hashes, np.unique(hashes[name]))
+    inside = title & ~begins
+    spread = inside | (title & np.isin(hashes, np.unique(hashes[inside]))) if inside.any() else inside
     unit = ((code & UNIT_BIT) != 0) & np.concatenate(([False], number[:-1]))[: len(code)]
-    name &= ~unit
-    hashes = np.where(unit, SLOTS[UNIT], np.where(name, SLOTS[NAME], hashes))
-    return words, hashes, number | name | unit
+    found = []
+    for name in (spread & ~unit, inside & ~unit):
+        found.append((np.where(unit, SLOTS[UNIT], np.where(name, SLOTS[NAME], hashes)), number | name | unit))
+    plain = hashes.copy()
+    for i in np.flatnonzero(number).tolist():
+        plain[i] = mark(words[i].strip(EDGE).lower()) or 1
+    return words, [*found, (plain, np.zeros(len(plain), bool))]
+
+
+def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words."""
+    n = len(hashes) - width + 1
+    rolled = np.zeros(n, np.uint64)
+    for k in range(width):
+        rolled += hashes[k : k + n].view(np.uint64) * MIX[k]
+    return rolled
 
 
 def windows(text: str, width: int, codes: Codes, bloom: np.ndarray | None = None) -> Iterator[tuple[int, str, list[str]]]:
-    """(position, template, slot values) of the windows of a text.
+    """(position, shape, slot values) of the windows of a text, each in all forms that differ.
 
-    Windows with fewer than two plain words say nothing and are left out. ``bloom``
+    A form that leaves fewer than two plain words says nothing and is left out. ``bloom``
     leaves only windows whose hash it holds; a text shorter than a window is one window.
     """
-    words, hashes, slot = template(text or "", codes)
-    if not len(hashes):
+    words, found = forms(text or "", codes)
+    if not words:
         return
-    width = min(width, len(hashes))
-    n = len(hashes) - width + 1
-    rolled = np.zeros(n, np.uint64)
-    for k in range(width):
-        rolled += hashes[k : k + n].view(np.uint64) * MIX[k]
-    plain = np.concatenate(([0], np.cumsum(~slot)))
-    ok = plain[width:] - plain[:-width] >= min(2, width)
-    if bloom is not None:
-        for bits in places(rolled):
-            ok &= (bloom[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
-    for at in np.flatnonzero(ok).tolist():
-        parts, values = [], []
-        for k in range(at, at + width):
-            low = words[k].strip(EDGE).lower()
-            if slot[k]:
-                kind = next(s for s, h in SLOTS.items() if h == hashes[k])
-                parts.append(kind)
-                values.append(low)
-            else:
-                parts.append(low)
-        yield at, " ".join(parts), values
+    width = min(width, len(words))
+    before: list[np.ndarray] = []
+    for hashes, slot in found:
+        rolled = rolling(hashes, width)
+        plain = np.concatenate(([0], np.cumsum(~slot)))
+        ok = plain[width:] - plain[:-width] >= min(2, width)
+        for other in before:
+            ok &= rolled != other
+        before.append(rolled)
+        if bloom is not None:
+            for bits in places(rolled):
+                ok &= (bloom[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+        for at in np.flatnonzero(ok).tolist():
+            parts, values = [], []
+            for k in range(at, at + width):
+                low = words[k].strip(EDGE).lower()
+                if slot[k]:
+                    kind = next(s for s, h in SLOTS.items() if h == hashes[k])
+                    parts.append(kind)
+                    values.append(low)
+                else:
+                    parts.append(low)
+            yield at, " ".join(parts), values
 
 
 def places(rolled: np.ndarray) -> list[np.ndarray]:
@@ -129,10 +151,23 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
         codes = Codes()
         for item, text in rows:
             found = list(windows(text, width, codes))
+            core = positions(text, width, codes)
+            total = len({at for at, _, _ in found})
             for at, shape, values in found:
-                yield item, at, shape, values, len(found), len((text or "").split())
+                yield item, at, shape, values, at in core, total, len(core)
+
+    return map_rows(
+        items.select("item_id", "text"), each,
+        "item_id bigint, ipos int, shape string, ivalues array<string>, icore boolean, total int, core int",
+    )
 
-    return map_rows(items.select("item_id", "text"), each, "item_id bigint, ipos int, shape string, ivalues array<string>, total int, words int")
+
+def positions(text: str, width: int, codes: Codes) -> set[int]:
+    """Positions of the windows whose template has two plain words or more."""
+    _, _, slot = template(text or "", codes)
+    width = min(width, len(slot))
+    plain = np.concatenate(([0], np.cumsum(~slot)))
+    return set(np.flatnonzero(plain[width:] - plain[: len(plain) - width] >= min(2, width)).tolist()) if width else set()
 
 
 def bloom_of(items: DataFrame, width: int) -> bytes:
@@ -145,14 +180,9 @@ def bloom_of(items: DataFrame, width: int) -> bytes:
     def each(rows):
         codes = Codes()
         for (text,) in rows:
-            words, hashes, _ = template(text or "", codes)
-            if len(hashes):
-                w = min(width, len(hashes))
-                n = len(hashes) - w + 1
-                rolled = np.zeros(n, np.uint64)
-                for k in range(w):
-                    rolled += hashes[k : k + n].view(np.uint64) * MIX[k]
-                for bits in places(rolled):
+            words, found = forms(text or "", codes)
+            for hashes, _ in found if words else ():
+                for bits in places(rolling(hashes, min(width, len(words)))):
                     yield from zip((bits >> 3).tolist(), (1 << (bits & 7)).tolist())
 
     out = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
@@ -162,7 +192,13 @@ def bloom_of(items: DataFrame, width: int) -> bytes:
 
 
 def matches(pairs: list[tuple[int, int, list[str], list[str]]], width: int) -> tuple[int, int]:
-    """(item windows matched, longest run of them) among (dpos, ipos, doc values, item values).
+    """(item windows matched, longest run of them), see :func:`matched`."""
+    seen, longest = matched(pairs)
+    return len(seen), longest
+
+
+def matched(pairs: list[tuple[int, int, list[str], list[str]]]) -> tuple[set[int], int]:
+    """(positions of item windows matched, longest run of them) among (dpos, ipos, doc values, item values).
 
     Windows on one diagonal (dpos - ipos) must agree on what each slot value of the
     item became in the document: a window that says otherwise than most is dropped.
@@ -182,15 +218,16 @@ def matches(pairs: list[tuple[int, int, list[str], list[str]]], width: int) -> t
         for k, pos in enumerate(at):
             run = run + 1 if k and at[k - 1] == pos - 1 else 1
             longest = max(longest, run)
-    return len(seen), longest
+    return seen, longest
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, width: int = 5, share: float = 0.8, run: int = 13) -> DataFrame:
     """(doc_id, sig, item_id, share, run_words) of each leaked item in each document.
 
-    An item is leaked if ``share`` of its windows of ``width`` template words occur with
-    consistent slots, or ``run`` words of it in a row. A null or empty item leaks
-    nowhere; repeated item rows count once.
+    An item is leaked if ``share`` of its windows of ``width`` words occur, word for word or
+    as a template with consistent slots, or ``run`` words of it in a row. The share is that of
+    all its windows or of those whose template says something, whichever is more. A null or
+    empty item leaks nowhere; repeated item rows count once.
     """
     items = items.filter("text is not null").dropDuplicates(["item_id", "text"])
     held = docs.sparkSession.sparkContext.broadcast(bloom_of(items, width))
@@ -206,16 +243,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, width: int = 5, share: float
         "doc_id bigint, sig bigint, dpos int, shape string, dvalues array<string>",
     )
     met = found.join(item_windows(items, width), "shape")
-    grouped = met.groupBy("doc_id", "sig", "item_id", "total", "words").agg(
-        F.collect_set(F.struct("dpos", "ipos", "dvalues", "ivalues")).alias("pairs")
+    grouped = met.groupBy("doc_id", "sig", "item_id", "total", "core").agg(
+        F.collect_set(F.struct("dpos", "ipos", "dvalues", "ivalues", "icore")).alias("pairs")
     )
 
-    def judge(pairs, total, words):
-        got, longest = matches([(p["dpos"], p["ipos"], p["dvalues"], p["ivalues"]) for p in pairs], width)
-        return got / total, longest + width - 1
+    def judge(pairs, total, core):
+        seen, longest = matched([(p["dpos"], p["ipos"], p["dvalues"], p["ivalues"]) for p in pairs])
+        said = {p["ipos"] for p in pairs if p["icore"]} & seen
+        return max(len(seen) / total, len(said) / max(1, core)), longest + width - 1
 
     return (
-        append(grouped, ["pairs", "total", "words"], judge, "share double, run_words int")
+        append(grouped, ["pairs", "total", "core"], judge, "share double, run_words int")
         .filter((F.col("share") >= share) | (F.col("run_words") >= run))
         .select("doc_id", "sig", "item_id", "share", "run_words")
     )

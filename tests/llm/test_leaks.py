@@ -62,3 +62,25 @@ def test_empty_tables_and_filter(spark):
     d = spark.createDataFrame([(1, ITEM, "x"), (None, ITEM, "y"), (None, "calm words", "y"), (2, None, "z")], "doc_id bigint, text string, item_id string")
     out = leaks.drop_leaks(d, spark.createDataFrame([(1, ITEM)], "item_id bigint, text string"))
     assert out.columns == d.columns and sorted(str(r.text) for r in out.collect()) == ["None", "calm words"]
+
+
+def test_whole_items_among_names_and_in_other_case(spark):
+    items = [(10, ITEM), (20, OTHER), (30, "Maria met Paul in Rome. The next day Paul took Maria to Milan where Anna Bell met them at The Old Gate")]
+    heavy = "Reports from In The Field. He read A Tale of The Maria River By An Old Mill, How So, In The White Evening by hand. "
+    changed = ITEM.replace("12", "40").replace("7", "9").replace("Olga", "Mira").replace("Petrov", "Stone")
+    docs, want = [], {}
+    for i, text in items:
+        for k, made in enumerate([text, text.lower(), text.upper(), text.title()]):
+            docs += [(i + k, heavy + made + " " + heavy), (100 + i + k, "so then " + made)]
+            want[i + k] = want[100 + i + k] = [i]
+    docs += [(500, heavy + changed), (501, heavy * 5), (502, heavy.lower() * 5)]
+    want |= {500: [10], 501: [], 502: []}
+    got = report(spark, docs, items)
+    assert {i: r.item_ids for i, r in got.items()} == want
+    assert all(got[i].share == 1 for i in want if i < 500)
+
+
+def test_item_of_numbers(spark):
+    item = "Add 3 + 4 + 5 + 6 + 7 + 8 + 9 + 10 + 11 + 12 + 13 + 14 + 15 and 16"
+    got = report(spark, [(1, "Try this: " + item + " please"), (2, item.replace("1", "2"))], [(1, "3 4 5 6 7 8 9 10"), (2, item)])
+    assert got[1].item_ids == [1, 2] and got[2].item_ids == []
