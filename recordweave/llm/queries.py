@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import chat, leaks, lines, packing, pii, ppm, quality, simhash, suffixes, winnow
+from recordweave.llm import chat, factors, leaks, lines, packing, pii, ppm, quality, simhash, suffixes, winnow
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op4_char_tagger(t: Tables) -> DataFrame:
 @query("op10_suffix_array")
 def op10_suffix_array(t: Tables) -> DataFrame:
     return suffixes.removals(t.documents).drop("kept")
+
+
+@query("op12_lempel_ziv", factors.SQL)
+def op12_lempel_ziv(t: Tables) -> DataFrame:
+    return factors.removals(t.documents).drop("kept")
