@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import chat, factors, leaks, lines, packing, pii, ppm, quality, simhash, suffixes, winnow
+from recordweave.llm import chat, factors, leaks, lines, packing, pii, ppm, quality, ranked, simhash, suffixes, trie, winnow
 from recordweave.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,13 @@ def op10_suffix_array(t: Tables) -> DataFrame:
 @query("op12_lempel_ziv", factors.SQL)
 def op12_lempel_ziv(t: Tables) -> DataFrame:
     return factors.removals(t.documents).drop("kept")
+
+
+@query("op13_length_strata", ranked.SQL)
+def op13_length_strata(t: Tables) -> DataFrame:
+    return ranked.search(ranked.build(t.documents), t.benchmark)
+
+
+@query("op11_depth_bands", trie.SQL)
+def op11_depth_bands(t: Tables) -> DataFrame:
+    return trie.prefix_trie(t.conversations)
