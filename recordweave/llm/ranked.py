@@ -9,7 +9,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +17,7 @@ from recordweave.llm.shared import arrow_type, map_rows, text_bytes
 from recordweave.session import stage
 
 NO_ID = (1 << 63) - 1
-STRATUM_POSTINGS = 250_000
+STRATUM_POSTINGS = 100_000
 BLOCK_TERMS = 250_000
 FIRST_STRATA = 8
 WORDS = bytes(c if c >= 128 or 48 <= c < 58 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -39,52 +38,56 @@ class Index:
         self.strata, self.frequencies, self.documents, self.occurrences = strata, frequencies, documents, occurrences
 
 
-def packed(rows: Iterable[tuple], most: int) -> Iterator[tuple]:
-    """Strata rows from (m, doc_id, terms, tfs) sorted by m: equal m only, of about ``most`` postings.
+def packed(batches: Iterable[pa.RecordBatch], most: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Strata rows, one a batch, from (m, part, doc_id, words, tfs) sorted by (m, part).
 
-    Postings are grouped by term, then by tf: ``tops`` has the largest tf of each term,
-    ``ends`` where a term's groups end, ``tfs`` and ``stops`` each group's tf and the end of its places
-    in ``docs``.
+    A row holds documents of one m and part, of about ``most`` postings. These are grouped by term,
+    then by tf: ``tops`` has the largest tf of each term, ``ends`` where a term's groups end,
+    ``tfs`` and ``stops`` each group's tf and the end of its places in ``docs``.
     """
-    part, number = TaskContext.get().partitionId(), 0
-
     def row(m, held):
-        nonlocal number
-        sizes = [len(t) for _, t, _ in held]
-        doc = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
-        every = pa.array([t for _, own, _ in held for t in own], pa.binary()).dictionary_encode()
-        words = every.dictionary.to_pylist()
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
+        ids = pa.concat_arrays([h.column("doc_id") for h in held])
+        terms = pc.split_pattern(pa.concat_arrays([h.column("words") for h in held]), pattern=" ")
+        sizes = pc.list_value_length(terms).to_numpy()
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        every = terms.flatten().dictionary_encode()
+        order = pc.sort_indices(every.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         term = rank[every.indices.to_numpy()]
-        tf = np.array([n for _, _, own in held for n in own], np.int64)
+        tf = pa.concat_arrays([h.column("tfs") for h in held]).flatten().to_numpy().astype(np.int64)
         at = np.lexsort((doc, -tf, term))
         term, tf, doc = term[at], tf[at], doc[at]
         heads = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (tf[1:] != tf[:-1]))))
         stops = np.append(heads[1:], len(term))
         first = np.flatnonzero(np.concatenate(([True], term[heads][1:] != term[heads][:-1])))
         ends = np.append(first[1:], len(heads))
-        number += 1
-        return (
-            (part << 32) | number, m, [d for d, _, _ in held], [words[i] for i in order], tf[heads][first].tolist(), ends.tolist(),
-            tf[heads].tolist(), stops.tolist(), doc.tolist(),
-        )
+        lists = [ids, every.dictionary.take(pa.array(order)), *map(pa.array, (tf[heads][first], ends, tf[heads], stops, doc))]
+        values = [pa.array([m], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists)]
+        return pa.RecordBatch.from_arrays(values, schema=schema)
 
     at, held, size = None, [], 0
-    for m, doc_id, own, tfs in rows:
-        if held and (m != at or size >= most):
-            yield row(at, held)
-            held, size = [], 0
-        at = m
-        held.append((doc_id, own, tfs))
-        size += len(own)
+    for batch in batches:
+        m, part = batch.column("m").to_numpy(), batch.column("part").to_numpy()
+        many = np.cumsum(pc.list_value_length(batch.column("tfs")).to_numpy())
+        low = 0
+        while low < len(m):
+            if held and ((m[low], part[low]) != at or size >= most):
+                yield row(int(at[0]), held)
+                held, size = [], 0
+            at = m[low], part[low]
+            before = many[low - 1] if low else 0
+            same = low + int(np.argmin(np.append((m[low:] == m[low]) & (part[low:] == part[low]), False)))
+            high = min(same, low + 1 + int(np.searchsorted(many[low:], before + most - size)))
+            held.append(batch.slice(low, high - low))
+            size += int(many[high - 1] - before)
+            low = high
     if held:
-        yield row(at, held)
+        yield row(int(at[0]), held)
 
 
 STRATA = (
-    "row bigint, m bigint, ids array<bigint>, terms array<binary>, tops array<bigint>, ends array<bigint>, tfs array<bigint>, "
+    "m bigint, ids array<bigint>, terms array<binary>, tops array<bigint>, ends array<bigint>, tfs array<bigint>, "
     "stops array<bigint>, docs array<int>"
 )
 
@@ -93,22 +96,32 @@ def build(docs: DataFrame, most: int = STRATUM_POSTINGS) -> Index:
     """Index every row of ``docs`` (doc_id, text); documents without a term are not in it.
 
     One pass turns each text into its bag of terms. Document frequencies and totals come
-    from the bags; then these are dealt by ranges of (m, doc_id), so that a stratum of many
-    documents is spread over many tasks, and packed: rows hold documents of one m.
+    from the bags; then these are dealt by m. A stratum of more than ``most`` postings is
+    dealt in parts, so neither a common length nor very long documents make a large task.
     """
     def bags(rows):
         for doc_id, text in rows:
             bag = Counter(terms(text))
             if bag:
-                yield doc_id, bag.total(), list(bag), list(bag.values())
+                yield doc_id, bag.total(), b" ".join(bag), list(bag.values())
 
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text_bytes().alias("text"))
-    bag = stage(map_rows(rows, bags, "doc_id bigint, n bigint, terms array<binary>, tfs array<bigint>", rows=512), "bags")
+    bag = stage(map_rows(rows, bags, "doc_id bigint, n bigint, words binary, tfs array<int>", rows=128), "bags")
     count, total = bag.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequencies = stage(bag.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    each = bag.select(F.explode(F.split(F.col("words").cast("string"), " ")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequencies = stage(each.select(F.col("term").cast("binary").alias("term"), "df"), "frequencies")
     m = F.expr(f"75 + (25 * n * {count}L) div {max(total, 1)}L")
-    dealt = bag.select(m.alias("m"), "doc_id", "terms", "tfs").repartitionByRange("m", "doc_id").sortWithinPartitions("m", "doc_id")
-    return Index(stage(map_rows(dealt, lambda r: packed(r, most), STRATA, rows=4), "strata"), frequencies, count, total)
+    keyed = bag.withColumn("m", m)
+    # one row a length; stored, so that Spark knows its size when it plans the join
+    sizes = stage(keyed.groupBy("m").agg(F.expr(f"cast(sum(size(tfs)) div {most} + 1 as int)").alias("parts")), "lengths")
+    dealt = (
+        keyed.join(sizes, "m")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id", "words"), F.col("parts")).cast("int"))
+        .select("m", "part", "doc_id", "words", "tfs").repartition("m", "part").sortWithinPartitions("m", "part")
+    )
+    schema = pa.schema([(f.name, arrow_type(f.dataType)) for f in T._parse_datatype_string(STRATA)])
+    strata = dealt.mapInArrow(lambda batches: packed(batches, most, schema), STRATA)
+    return Index(stage(strata, "strata"), frequencies, count, total)
 
 
 # ------------------------------------------------------------------ searching
