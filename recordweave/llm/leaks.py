@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.llm.shared import append, map_rows, sig
+from recordweave.llm.shared import append, free_name, map_rows, sig
 from recordweave.session import stage
 
 UNITS = frozenset(
@@ -280,9 +280,8 @@ def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; columns stay as they are."""
-    bad = stage(leaked_items(docs, items).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig")).distinct(), "leaks")
-    marked = docs.withColumn("_mark", sig())
-    return marked.join(
-        bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_sig")), "left_anti"
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the documents that hold a benchmark item; columns stay as they are, whatever their names."""
+    one, two, mark = (free_name(docs, c) for c in ("_id", "_sig", "_mark"))
+    bad = stage(leaked_items(docs, items).select(F.col("doc_id").alias(one), F.col("sig").alias(two)).distinct(), "leaks")
+    marked = docs.withColumn(mark, sig())
+    return marked.join(bad, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(mark) == F.col(two)), "left_anti").drop(mark)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.llm.shared import append, map_rows
+from recordweave.llm.shared import append, free_name, map_rows
 from recordweave.session import stage
 
 SAMPLE_DOCS = 3000
@@ -241,5 +241,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents scored below ``THRESHOLD``; columns stay."""
-    return with_score(docs, fit(docs, labels)).filter(F.col("_score") >= THRESHOLD).drop("_score")
+    """``docs`` without the documents scored below ``THRESHOLD``; columns stay, whatever their names."""
+    out = free_name(docs, "_score")
+    return with_score(docs, fit(docs, labels), out).filter(F.col(out) >= THRESHOLD).drop(out)

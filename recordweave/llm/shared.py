@@ -49,6 +49,13 @@ def sig(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it a name that no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def append(df: DataFrame, inputs: list[str], fn: Callable[..., tuple], schema: str) -> DataFrame:
     """``df`` with the columns of ``schema`` added, ``fn(*input values) -> tuple`` for each row.
 

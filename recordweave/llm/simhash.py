@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.llm.shared import components, map_rows, runs, text_bytes
+from recordweave.llm.shared import components, map_rows, runs, sig, text_bytes
 from recordweave.session import stage
 
 BITS = 64
@@ -157,58 +157,97 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def close(rows: Iterable[tuple], least: float) -> Iterator[tuple[int, int]]:
-    """Pairs (a, b) of different roots among (node, root, sketch) whose sketches agree in ``least`` or more."""
-    nodes, roots, marks = zip(*rows)
-    roots, marks = np.array(roots), np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), -1)
+def forest_over(rows: list[tuple], least: float, share: float | None = None) -> Iterator[tuple[int, int]]:
+    """Links (a, b) that join different roots among (node, root, sketch) or (node, root, sketch, grams).
+
+    Two nodes are linked if their sketches agree in ``least`` or more and, with a
+    ``share``, their sets of grams have that Jaccard similarity. Only nodes of different roots are compared,
+    likeliest first, and a link makes two roots one, so there are fewer links than roots.
+    """
+    nodes, roots, marks = (list(c) for c in list(zip(*rows))[:3])
+    label = np.unique(np.array(roots), return_inverse=True)[1]
+    marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), -1)
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows] if share is not None else None
     for i, node in enumerate(nodes):
-        other = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-        near = other[(marks[other] == marks[i]).mean(axis=1) >= least] if len(other) else other
-        for j in near.tolist():
-            if node != nodes[j]:
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(other):
+            continue
+        agree = (marks[other] == marks[i]).mean(axis=1)
+        near = np.flatnonzero(agree >= least)
+        for j in other[near[np.argsort(-agree[near], kind="stable")]].tolist():
+            if label[j] != label[i] and (share is None or alike(sets[i], sets[j], share)):
+                label[label == label[j]] = label[i]
                 yield min(node, nodes[j]), max(node, nodes[j])
 
 
-def similar(docs: DataFrame, width: int = 5, share: float = 0.8, tile: int = 4096) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``, by the Jaccard similarity of word shingles.
+def alike(x: np.ndarray, y: np.ndarray, share: float) -> bool:
+    """Whether two sets of distinct grams have a Jaccard similarity of ``share`` or more."""
+    most = min(len(x), len(y)) / max(len(x), len(y), 1)
+    if most < share - 1e-6 and len(x) + len(y):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * 10**6 >= round(share * 10**6) * (len(x) + len(y) - both)
+
+
+def similar_rows(docs: DataFrame, width: int = 5, share: float = 0.8, tile: int = 4096, tile_bytes: int = 16_000_000) -> DataFrame:
+    """(doc_id, sig, root) for every row of ``docs``: rows of one root are linked, ``sig`` marks the text.
+
+    Texts whose sets of shingles of ``width`` words have a similarity of ``share`` or more are linked.
+    Equal sets are one node. Nodes meet in 40 bands of 6 smallest hashes; every link is verified on the sets themselves.
 
-    Texts whose sets of shingles of ``width`` words have a similarity of ``share`` or more
-    are linked, component_id as in :func:`near_duplicates`. Equal sets are one node. Nodes
-    meet in 40 bands of 6 smallest hashes; every link is then verified on the sets
-    themselves. First each band bucket is held against its smallest node, which joins up a
-    dense group with one link a node. Buckets that still hold several components are
-    dealt in tiles, and all their pairs across components whose sketches come within four
-    standard deviations of ``share`` are verified. A pair at 0.8 is missed by the
-    bands with a chance of 5 in a million and by the sketches with one of about 3 in 100,000.
+    1. Each band bucket is held against its smallest node, which joins up a dense group
+       with one link a node.
+    2. Buckets that still hold several components are dealt in tiles of nodes; sketches within four standard
+       deviations of ``share`` join components into clusters, by fewer links than nodes.
+    3. The sets of a cluster of several components meet once, in tiles of ``tile_bytes``. There
+       nodes of different components are verified, and a link that holds makes them one; so a
+       tile gives fewer links than it has nodes and no pair of texts leaves it unverified.
+
+    A pair at 0.8 is missed by the bands with a chance of 5 in a million and by the sketches
+    with one of about 3 in 100,000.
     """
     least = share - 4 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5
 
     def sketched(rows):
-        for doc_id, text in rows:
+        for doc_id, mark, text in rows:
             own = np.unique(shingles(text, width))
             low = minhash(own)
             keys = (low.reshape(BANDS, ROWS) * ORDERS[1][:ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
             sketch = (low >> np.uint64(24)).astype(np.uint8).tobytes()
-            yield doc_id, signed(xxhash.xxh64_intdigest(own.tobytes())), keys.tolist(), sketch
+            yield doc_id, mark, signed(xxhash.xxh64_intdigest(own.tobytes())), keys.tolist(), sketch
 
     def whole(rows):
         for (text,) in rows:
             own = np.unique(shingles(text, width)).tobytes()
             yield signed(xxhash.xxh64_intdigest(own)), own
 
-    def alike(rows):
+    def verified(rows):
         for a, b, x, y in rows:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both * 10**6 >= round(share * 10**6) * (len(x) + len(y) - both):
+            if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share):
                 yield a, b
 
-    def unit(rows):
+    def by_sketch(rows):
         for _, group in runs(rows, 4):
-            yield from close(group, least)
+            yield from forest_over(group, least)
+
+    def by_set(rows):
+        for _, group in runs(rows, 3):
+            yield from forest_over(group, least, share)
+
+    def tiled(rows: DataFrame, count: str, keys: list[str], rest: list[str]) -> DataFrame:
+        """Rows of each group dealt to its pairs of tiles, ``count`` tiles in all."""
+        own = F.expr(f"filter(sequence(0, {count} - 1), j -> j != i)")
+        return (
+            rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col(count)).cast("int"))
+            .withColumn("j", F.explode(F.when(F.col(count) == 1, F.array(F.lit(0))).otherwise(own)))
+            .select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), *rest)
+            .repartition(*keys, "i", "j")
+            .sortWithinPartitions(*keys, "i", "j")
+        )
 
     rows = stage(
-        map_rows(docs.select("doc_id", text_bytes().alias("text")), sketched, "doc_id bigint, node bigint, keys array<bigint>, sketch binary"),
+        map_rows(docs.select("doc_id", sig().alias("sig"), text_bytes().alias("text")), sketched,
+                 "doc_id bigint, sig bigint, node bigint, keys array<bigint>, sketch binary"),
         "minhash",
     )
     keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("t", "k"))
@@ -220,45 +259,51 @@ def similar(docs: DataFrame, width: int = 5, share: float = 0.8, tile: int = 409
         .dropDuplicates(["node"]),
         "sets",
     )
+    marks = rows.select("node", "sketch").dropDuplicates(["node"])
+    links = "a bigint, b bigint"
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        one, two = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"_{c}")) for c in "ab")
-        return stage(map_rows(pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), alike, "a bigint, b bigint"), name)
-
-    stars = stage(met.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    near = verified(stars, "near")
+    stars = met.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    one, two = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"_{c}")) for c in "ab")
+    near = stage(map_rows(stars.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), verified, links), "near")
     named = stage(met.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    split = named.groupBy("t", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("size")).filter("lo != hi")
-    tiles = F.ceil(F.col("size") / tile).cast("int")
-    marks = rows.select("node", "sketch").dropDuplicates(["node"])
-    dealt = (
-        named.select("t", "k", "node", "root").join(split, ["t", "k"])
-        .filter("size > 2")  # of two, the star was the only pair
-        .select("t", "k", "node", "root", tiles.alias("m"))
-        .withColumn("i", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-        .withColumn("j", F.explode(F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, m - 1), j -> j != i)"))))
-        .select("t", "k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "root")
-        .join(marks, "node")
-        .select("t", "k", "i", "j", "node", "root", "sketch")
-        .repartition("t", "k", "i", "j")
-        .sortWithinPartitions("t", "k", "i", "j")
+
+    # of two nodes in a bucket the star was the only pair
+    split = (
+        named.groupBy("t", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("size"))
+        .filter("lo != hi AND size > 2").select("t", "k", F.ceil(F.col("size") / tile).cast("int").alias("m"))
     )
-    rest = map_rows(dealt, unit, "a bigint, b bigint").distinct().join(stars, ["a", "b"], "left_anti")
-    roots = components(near.union(verified(rest, "rest")))
-    whole_rows = stage(rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "alike")
-    return whole_rows.join(whole_rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    open_ = named.select("t", "k", "node", "root").join(split, ["t", "k"]).join(marks, "node")
+    guessed = stage(map_rows(tiled(open_, "m", ["t", "k"], ["node", "root", "sketch"]), by_sketch, links), "guessed")
+
+    clusters = components(near.union(guessed))
+    own = named.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "c"), "node").join(sets, "node")
+    sizes = own.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.length("grams") + 300).alias("size"))
+    several = sizes.filter("lo != hi").select("c", F.ceil(F.col("size") / tile_bytes).cast("int").alias("m"))
+    held = own.join(several, "c").join(marks, "node")
+    rest = stage(map_rows(tiled(held, "m", ["c"], ["node", "root", "sketch", "grams"]), by_set, links), "rest")
+    roots = components(near.union(rest))
+    return rows.select("doc_id", "sig", "node").join(roots, "node", "left").select("doc_id", "sig", F.coalesce("root", "node").alias("root"))
+
+
+def similar(docs: DataFrame, width: int = 5, share: float = 0.8, tile: int = 4096, tile_bytes: int = 16_000_000) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``, linked as in :func:`similar_rows`.
+
+    component_id is the smallest doc_id that can be reached, as in :func:`near_duplicates`.
+    """
+    rows = stage(similar_rows(docs, width, share, tile, tile_bytes), "alike")
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of :func:`similar` ones, that of the smallest doc_id.
+    """``docs`` with one row of each group of similar ones (:func:`similar_rows`): that of the smallest doc_id.
 
-    Of repeated rows with that id one stays. Rows without a doc_id cannot be told
-    apart and all stay. Columns are those of ``docs``.
+    Rows are told apart by doc_id and text, so unlike texts under one doc_id both stay
+    and a known text under several goes but once. Of equal rows one stays, whatever is in
+    their other columns. Rows without a doc_id cannot be told apart and all stay. Columns are those of
+    ``docs``, whatever their names.
     """
-    keep = similar(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.filter("doc_id is not null")
-    return (
-        known.join(keep, known["doc_id"] == keep["_kept"], "left_semi")
-        .dropDuplicates(["doc_id"])
-        .unionByName(docs.filter("doc_id is null"))
-    )
+    rows = similar_rows(docs).filter("doc_id IS NOT NULL")
+    keep = rows.groupBy("root").agg(F.min(F.struct("doc_id", "sig")).alias("first")).select("first.*").toDF("_kept_id", "_kept_sig").distinct()
+    known = docs.filter(F.col("doc_id").isNotNull())
+    same = (known["doc_id"] == keep["_kept_id"]) & (F.xxhash64(F.coalesce(known["text"].cast("string"), F.lit(""))) == keep["_kept_sig"])
+    return known.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -23,3 +23,15 @@ def test_stages(spark):
     assert sorted(map(tuple, ran.drop("sequence_id", "offset").collect())) == sorted(map(tuple, now.drop("sequence_id", "offset").collect()))
     assert not {r.doc_id for r in ran.collect()} & bad
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from recordweave.llm import leaks, quality
+
+    docs = spark.createDataFrame([(i, f"some words of text number {i} stand here", 1.0, "m", 2) for i in range(30)],
+                                 "doc_id bigint, text string, _score double, _mark string, _id int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id bigint, quality bigint, toxic bigint")
+    items = spark.createDataFrame([(1, "some words of text number 3 stand here")], "item_id bigint, text string")
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    out = leaks.drop_leaks(docs, items)
+    assert out.columns == docs.columns and {r._mark for r in out.collect()} <= {"m"}

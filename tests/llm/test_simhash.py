@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -72,6 +73,42 @@ def test_one_of_each(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "9", "None"]
 
 
+def test_one_of_each_tells_rows_apart_by_text(spark):
+    a, b = "one text of a few words here", "and quite another one is there"
+    for rows, want in (
+        ([(1, a), (1, b)], [(1, a), (1, b)]),
+        ([(1, a), (5, a), (5, b)], [(1, a), (5, b)]),
+        ([(3, b), (3, b), (2, a)], [(2, a), (3, b)]),
+    ):
+        df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id bigint, text string, _kept_id int, _kept_sig int")
+        out = simhash.one_of_each(df)
+        assert out.columns == df.columns and sorted((r.doc_id, r.text) for r in out.collect()) == sorted(want)
+
+
+def test_links_of_a_dense_cluster_are_fewer_than_its_nodes():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    rows = []
+    for i in range(120):
+        own = base.copy()
+        own[rng.integers(0, 100, 8)] = rng.integers(0, 1 << 62, 8)
+        own = np.unique(own)
+        sketch = (simhash.minhash(own) >> np.uint64(24)).astype(np.uint8).tobytes()
+        rows.append((i, i, sketch, own.tobytes()))
+    links = list(simhash.forest_over(rows, 0.69, 0.8))
+    assert len(links) < len(rows)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = (np.frombuffer(rows[k][3], np.uint64) for k in (i, j))
+            if label[i] != label[j] and 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+                label = [label[i] if x == label[j] else x for x in label]
+    mine = list(range(len(rows)))
+    for a, b in links:
+        mine = [mine[a] if x == mine[b] else x for x in mine]
+    assert len(set(mine)) == len(set(label))
+
+
 def grams(text):
     words = (text or "").lower().split()
     return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
@@ -101,6 +138,6 @@ def test_similar_texts_against_all_pairs(spark):
     want = sorted(((r[0], low[x]) for r, x in zip(rows, label)), key=str)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert found and sorted((tuple(r) for r in simhash.similar(df).collect()), key=str) == want
-    assert sorted((tuple(r) for r in simhash.similar(df, tile=5).collect()), key=str) == want
+    assert sorted((tuple(r) for r in simhash.similar(df, tile=5, tile_bytes=4000).collect()), key=str) == want
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {c for _, c in want} | {None}
     assert simhash.similar(df.limit(0)).count() == 0
