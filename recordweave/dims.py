@@ -41,6 +41,7 @@ OUTLET_PENALTY = 0.5
 BRIEF_LIMIT = 50
 RESEARCH_FLOOR = 3
 NEWS_FLOOR = 4
+AMOUNT_WINDOW_DAYS = 90
 WINDOW_HOURS_FALLBACK = 48
 SIGNIFICANCE_THRESHOLD = 0.45
 PASSAGE_TOP_K = 20

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordweave import dims
 from recordweave.functions.names import normalize_mention, same_normalized_company
 from recordweave.functions.scoring import confidence, recency_weight
+from recordweave.operators.postings import DENSE, Postings, common_items
 from recordweave.session import stage
 
 # largest item whose entities are held in one array; larger items are paired block by block
@@ -122,6 +123,11 @@ def convergence_edges(
         F.bit_or(_desk_bit(F.col("desk"), desks)).alias("mask"),
         F.max(F.col("at").cast("date")).alias("last_seen"),
     )
+    return _edge_rows(summed, desks, floor, boost)
+
+
+def _edge_rows(summed: DataFrame, desks: list[str], floor: float, boost: float) -> DataFrame:
+    """Edges from (a, b, raw, co_count, mask, last_seen)."""
     cross = F.bit_count("mask") > 1
     return (
         summed.withColumn("cross_desk", cross)
@@ -135,6 +141,54 @@ def convergence_edges(
     )
 
 
+def pair_state(
+    members: DataFrame, ref: str, desks: list[str], half_life: float = dims.HALF_LIFE_DAYS
+) -> DataFrame:
+    """Mergeable state of the pairs of some items: (a, b, scaled, co_count, mask, last_seen).
+
+    A pair's decayed sum at a day is the sum of 2^(t/h) over its items times 2^(-day/h),
+    so ``scaled``, the sum of 2^((t - ref)/h), holds for every later day: it is added up and never worked
+    out again. ``ref`` is a fixed date near the data, to keep the numbers small.
+    """
+    if half_life <= 0:
+        scaled = F.lit(1.0)
+    else:
+        scaled = F.pow(F.lit(2.0), F.date_diff(F.col("at").cast("date"), F.lit(ref).cast("date")) / half_life)
+    return co_pairs(members).groupBy("a", "b").agg(
+        F.sum(scaled).alias("scaled"), F.count("*").alias("co_count"),
+        F.bit_or(_desk_bit(F.col("desk"), desks)).alias("mask"), F.max(F.col("at").cast("date")).alias("last_seen"),
+    )
+
+
+def merge_pair_states(*states: DataFrame) -> DataFrame:
+    """One state from those of different items, all with the same reference date and desks."""
+    every = states[0]
+    for state in states[1:]:
+        every = every.unionByName(state)
+    return every.groupBy("a", "b").agg(
+        F.sum("scaled").alias("scaled"), F.sum("co_count").alias("co_count"), F.bit_or("mask").alias("mask"), F.max("last_seen").alias("last_seen")
+    )
+
+
+def edges_of_state(
+    state: DataFrame, as_of: str, ref: str, desks: list[str],
+    half_life: float = dims.HALF_LIFE_DAYS, floor: float = dims.WEIGHT_FLOOR, boost: float = dims.CROSS_DESK_BOOST,
+) -> DataFrame:
+    """The edges of :func:`convergence_edges` from a state, whose items are of ``as_of`` or earlier."""
+    days = F.date_diff(F.lit(as_of).cast("date"), F.lit(ref).cast("date"))
+    raw = F.col("scaled") * (F.pow(F.lit(0.5), days / half_life) if half_life > 0 else F.lit(1.0))
+    return _edge_rows(state.withColumn("raw", raw), desks, floor, boost)
+
+
+def upsert_edges(
+    live: DataFrame, state: DataFrame, names: DataFrame, as_of: str, ref: str, desks: list[str], now: Column,
+    half_life: float = dims.HALF_LIFE_DAYS, floor: float = dims.WEIGHT_FLOOR, boost: float = dims.CROSS_DESK_BOOST,
+) -> DataFrame:
+    """The daily job: edges of the merged state, without a company's edges to itself, against the open rows."""
+    edges = drop_self_company(edges_of_state(state, as_of, ref, desks, half_life, floor, boost), names)
+    return scd2_edges(live, edges.withColumn("edge_type", F.lit("CONVERGES_WITH")).select("from_id", "to_id", "edge_type", "weight", "confidence"), now)
+
+
 def drop_self_company(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Edges without those that join a company to itself under two entity rows.
 
@@ -189,6 +243,50 @@ def edges_as_of(edges: DataFrame, valid_at: Column, known_at: Column) -> DataFra
     )
 
 
+def _blocks(low: Column, high: Column, levels: int) -> Column:
+    """The dyadic blocks (level, number) that make up the whole numbers from ``low`` up to, without, ``high``.
+
+    At most two a level: the first whole block if it is an odd one, the last if it is an
+    even one, since all others lie in a block of the next level that is whole too.
+    """
+    out = []
+    for level in range(levels):
+        size = 1 << level
+        first, end = F.ceil(low / size).cast("bigint"), F.floor(high / size).cast("bigint")
+        top = F.lit(level == levels - 1)
+        block = lambda n: F.struct(F.lit(level).alias("level"), n.alias("block"))
+        out.append(F.when((first < end) & ((first % 2 != 0) | (first + 1 >= end)) & ~top, block(first)))
+        out.append(F.when((first < end) & (end % 2 != 0) & (end - 1 > first) & ~top, block(end - 1)))
+        if level == levels - 1:  # no level above: all whole blocks of the top one
+            whole = F.transform(F.sequence(first, end - 1), lambda n: F.struct(F.lit(level).alias("level"), n.alias("block")))
+            rest = F.when(first < end, whole)
+    return F.concat(F.array_compact(F.array(*out)), F.coalesce(rest, F.array().cast("array<struct<level:int,block:bigint>>")))
+
+
+def edges_as_of_dates(edges: DataFrame, dates: DataFrame, known: str | None = None, levels: int = 12) -> DataFrame:
+    """Each date of ``dates`` with the edges valid on it that were known by then.
+
+    ``edges``: valid_from, valid_to (null: open), transaction_time; ``dates``: date, with ``known``
+    as the column up to which an edge must have been recorded (default: the date itself). All are days.
+
+    An interval join by equality: a validity is cut into dyadic blocks of days, at most two
+    for each of ``levels`` sizes and whole ones of the largest, and a date lies in one block of each size. So
+    an edge meets exactly the dates inside its validity; only the recording time is compared after that.
+    """
+    origin = F.lit("1970-01-01").cast("date")
+    day = lambda c: F.date_diff(c.cast("date"), origin).cast("bigint")
+    asked = dates.select("date", F.coalesce(F.col(known) if known else F.col("date")).cast("date").alias("_known")).distinct()
+    last = asked.agg(F.max("date")).first()[0]
+    if last is None:
+        last = "1970-01-01"
+    low, high = day(F.col("valid_from")), F.least(F.coalesce(day(F.col("valid_to")), day(F.lit(last)) + 1), day(F.lit(last)) + 1)
+    cut = edges.filter(low < high).withColumn("_b", F.explode(_blocks(low, high, levels)))
+    numbers = F.array(*[F.struct(F.lit(i).alias("level"), F.floor(day(F.col("date")) / (1 << i)).cast("bigint").alias("block")) for i in range(levels)])
+    points = asked.select("date", "_known", F.explode(numbers).alias("_b"))
+    met = cut.join(points, "_b")
+    return met.filter(F.col("transaction_time").cast("date") <= F.col("_known")).drop("_b", "_known")
+
+
 def filter_edges(
     edges: DataFrame, min_confidence: float = 0.0, cross_desk_only: bool = False, desk: str | None = None,
     days: int | None = None, as_of: str | None = None,
@@ -260,13 +358,14 @@ def one_hop(edges: DataFrame, nodes: DataFrame, edge_type: str | None = None) ->
     return edges.filter(F.col("valid_to").isNull()).join(nodes, F.col("to_id") == F.col("entity")).drop("entity")
 
 
-def pair_evidence(members: DataFrame, items: DataFrame, edges: DataFrame, limit: int = 12) -> DataFrame:
+def pair_evidence(members: DataFrame, items: DataFrame, edges: DataFrame, limit: int = 12, dense: int = DENSE) -> DataFrame:
     """Newest items that hold both ends of each given edge.
 
-    Containment of both ids is an equi-join on the item, driven by the edges asked for.
+    Posting lists of the ends only are intersected (:func:`common_items`), so a hot
+    entity's items are not joined with those of all its partners.
     """
     ends = edges.select("from_id", "to_id")
-    left = members.select("item", F.col("entity").alias("from_id")).distinct().join(ends, "from_id")
-    both = left.join(members.select("item", F.col("entity").alias("to_id")).distinct(), ["item", "to_id"])
+    asked = endpoints(ends)
+    both = common_items(Postings(members.join(asked, "entity", "left_semi"), dense), ends)
     w = Window.partitionBy("from_id", "to_id").orderBy(F.desc("at"), "item")
     return both.join(items, "item").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

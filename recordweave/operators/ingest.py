@@ -73,18 +73,24 @@ def prune(raw: DataFrame, cutoff: Column, key: str, *references: DataFrame) -> D
     return out
 
 
-def retain(raw: DataFrame, normalized: DataFrame, cutoff: Column, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def retain(
+    raw: DataFrame, normalized: DataFrame, cutoff: Column, key: str, *references: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept raw rows, kept normalized rows, counts) after retention.
 
-    Normalized rows older than the cutoff go first; then raw rows older than it to
-    which no kept normalized row refers. Both tables have ``created_at``. ``counts`` has one row
-    per table: table, kept, removed.
+    Normalized rows older than the cutoff go first; then raw rows older than it to which
+    neither a kept normalized row nor a row of ``references`` (citations, edges, review queue; each
+    with ``key``) refers. Both tables have ``created_at``; a row without one is not older
+    and stays. ``counts`` has one row per table: table, kept, removed.
     """
-    young = F.col("created_at") >= cutoff
-    used = normalized.filter(young).select(key).distinct().withColumn("_used", F.lit(True))
+    young = F.coalesce(F.col("created_at") >= cutoff, F.lit(True))
+    used = normalized.filter(young).select(key)
+    for ref in references:
+        used = used.unionAll(ref.select(key))
+    used = used.distinct().withColumn("_used", F.lit(True))
     judged = raw.join(used, key, "left").withColumn("_keep", young | F.coalesce("_used", F.lit(False))).drop("_used")
     told = judged.select(F.lit("raw").alias("table"), "_keep").unionAll(
-        normalized.select(F.lit("normalized").alias("table"), F.coalesce(young, F.lit(False)).alias("_keep"))
+        normalized.select(F.lit("normalized").alias("table"), young.alias("_keep"))
     )
     counts = told.groupBy("table").agg(F.count_if("_keep").alias("kept"), F.count_if(~F.col("_keep")).alias("removed"))
     return judged.filter("_keep").drop("_keep"), normalized.filter(young), counts

@@ -54,14 +54,32 @@ def corroboration(tagged: DataFrame, counts: DataFrame | None = None) -> DataFra
     )
 
 
-def amount_window(tagged: DataFrame) -> DataFrame:
-    """Per desk bounds of the amounts; null and zero do not count."""
-    used = F.when(F.col("amount_usd") != 0, F.col("amount_usd"))
+def amount_window(tagged: DataFrame, at: str | None = None, now: Column | None = None, days: int = dims.AMOUNT_WINDOW_DAYS) -> DataFrame:
+    """Per desk bounds of the amounts; null and zero do not count.
+
+    With ``at`` only amounts of the ``days`` days before ``now`` do.
+    """
+    counts = F.col("amount_usd") != 0
+    if at is not None:
+        counts = counts & (F.col(at) >= now - F.make_interval(days=F.lit(days)))
+    used = F.when(counts, F.col("amount_usd"))
     return tagged.groupBy("desk").agg(
         F.min(used).alias("low"), F.max(used).alias("high"), F.count(used).alias("points")
     )
 
 
+def sliding_amounts(tagged: DataFrame, day: str = "day", days: int = dims.AMOUNT_WINDOW_DAYS) -> DataFrame:
+    """(desk, day, low, high, points): bounds of the amounts of each day and the ``days`` days before it.
+
+    Amounts are first summed up in one cell for each desk and day; the range frame runs
+    over these cells, of which a desk has as many as days, however many records it has.
+    """
+    used = F.when(F.col("amount_usd") != 0, F.col("amount_usd"))
+    cells = tagged.groupBy("desk", F.col(day).cast("date").alias("day")).agg(F.min(used).alias("low"), F.max(used).alias("high"), F.count(used).alias("points"))
+    frame = Window.partitionBy("desk").orderBy(F.unix_date("day")).rangeBetween(-days, 0)
+    return cells.select("desk", "day", F.min("low").over(frame).alias("low"), F.max("high").over(frame).alias("high"), F.sum("points").over(frame).alias("points"))
+
+
 def score(tagged: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame:
     """Materiality per (desk, record). ``windows`` has one row per desk."""
     return (
@@ -78,6 +96,20 @@ def score(tagged: DataFrame, windows: DataFrame, counts: DataFrame) -> DataFrame
     )
 
 
+def rank_candidates(normalized: DataFrame, raw: DataFrame, briefs: DataFrame, now: Column) -> DataFrame:
+    """The candidates of a run, from stored records to scored rows on their home desks.
+
+    ``normalized``: record_id, raw_id, created_at, desks, names, source_id, entity_type,
+    amount_usd; ``raw``: raw_id, url, fetched_at; ``briefs``: as for :func:`window_start`. Records
+    since the window start that still have their raw row are candidates and count for
+    corroboration; amounts are held against those of the last 90 days of all records.
+    """
+    since = window_start(briefs, now).first()[0]
+    recent = per_desk(normalized.filter(F.col("created_at") >= F.lit(since)).join(raw, "raw_id"))
+    bounds = amount_window(per_desk(normalized), "created_at", now)
+    return material(score(recent, bounds, mention_counts(recent)))
+
+
 def material(scored: DataFrame, threshold: float = dims.MATERIALITY_THRESHOLD) -> DataFrame:
     """Material rows, each on its home desk only."""
     return scored.filter((F.col("score") >= threshold) & is_home_desk(F.col("desks"), F.col("desk")))

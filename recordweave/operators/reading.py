@@ -9,6 +9,7 @@ from recordweave import dims
 from recordweave.functions import money
 from recordweave.functions.text import url_host
 from recordweave.operators.common import first_row, top_n
+from recordweave.operators.postings import DENSE, Postings, union_by
 
 
 def latest_with_fallback(briefs: DataFrame) -> DataFrame:
@@ -144,9 +145,13 @@ def assemble_briefs(items: DataFrame, citations: DataFrame, members: DataFrame,
     return own.unionByName(cited).unionByName(shown)
 
 
-def followed_items(members: DataFrame, follows: DataFrame) -> DataFrame:
-    """(user, item) for items that hold an entity the user follows. ``members``: item, entity."""
-    return members.select("item", "entity").join(follows, "entity").select("user_id", "item").distinct()
+def followed_items(members: DataFrame, follows: DataFrame, dense: int = DENSE) -> DataFrame:
+    """(user, item) for items that hold an entity the user follows. ``members``: item, entity.
+
+    A user's posting lists are united (:func:`union_by`), so a hot entity's items do not
+    come once for every user and entity.
+    """
+    return union_by(Postings(members, dense), follows, "user_id").select("user_id", "item")
 
 
 def glance(items: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordweave import dims
@@ -35,47 +35,75 @@ def by_identifier(mentions: DataFrame, identifiers: DataFrame) -> DataFrame:
     )
 
 
-def _rare_grams(names: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """The rarest grams of each name: two names this similar must share one of them.
+def _gram_id(gram: Column) -> Column:
+    """A trigram as one number, its three code points side by side."""
+    at = lambda i: F.ascii(F.substr(gram, F.lit(i), F.lit(1))).cast("bigint")
+    return at(1) * (1 << 42) + at(2) * (1 << 21) + at(3)
+
+
+def _ordered_grams(names: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(name, grams): each name's trigram numbers, rarest first by (df, gram), with their df."""
+    each = names.select("name", F.explode("ids").alias("gram")).join(frequency, "gram", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))
+    return each.groupBy("name").agg(order.alias("grams"))
+
+
+def _prefix(ordered: DataFrame, threshold: float) -> DataFrame:
+    """One row for each of a name's rarest grams: two names this similar must share one of them.
 
     With ``n`` grams and Jaccard >= t, the overlap is at least ``ceil(t*n)``, so some
-    shared gram lies among the first ``n - ceil(t*n) + 1`` in any fixed order.
+    shared gram lies among the first ``n - ceil(t*n) + 1`` in any fixed order. ``after``
+    counts the grams from this one on.
     """
-    each = names.select("name", "grams", F.explode("grams").alias("gram")).join(frequency, "gram", "left")
     size = F.size("grams")
     keep = size - F.ceil(size * threshold - 1e-9) + 1
-    w = Window.partitionBy("name").orderBy(F.coalesce("df", F.lit(0)), "gram")
-    return (
-        each.withColumn("at", F.row_number().over(w))
-        .filter(F.col("at") <= keep)
-        .select("name", "gram", size.alias("size"), F.coalesce("df", F.lit(0)).alias("df"))
-    )
+    ids = F.transform("grams", lambda g: g["gram"])
+    return ordered.select(
+        "name", ids.alias("ids"), size.alias("size"), F.posexplode(F.slice("grams", F.lit(1), keep.cast("int"))).alias("pos", "g")
+    ).select("name", "ids", "size", F.col("g.gram").alias("gram"), F.col("g.df").alias("df"), (F.col("size") - F.col("pos")).alias("after"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, threshold: float = dims.TRIGRAM_THRESHOLD) -> DataFrame:
-    """``(name, alias, sim)`` for all pairs with trigram similarity at or above the threshold.
+def candidate_names(left: DataFrame, right: DataFrame, threshold: float = dims.TRIGRAM_THRESHOLD) -> DataFrame:
+    """(name, alias, ids, alias_ids, sizes) of the pairs that pass all filters, each once for every rare gram they share.
 
-    Both inputs are single ``name`` columns and are made distinct first. The join
-    runs on each name's rarest trigrams only, so common trigrams rarely meet, and
-    a trigram that is common all the same is salted.
+    Three filters, none of which loses a pair: one of the rarest grams is shared; the sizes
+    allow the similarity; and at the shared gram enough grams are left on both sides, since those before it
+    are not shared (position filter: all of a name's grams are in one order, and the shared one
+    taken is the first). A gram that is common all the same is salted.
     """
-    mentions = left.distinct().withColumn("grams", trigrams(F.col("name")))
-    aliases = right.distinct().withColumn("grams", trigrams(F.col("name")))
-    frequency = aliases.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    grams = F.transform(trigrams(F.col("name")), _gram_id)
+    mentions = left.distinct().withColumn("ids", grams)
+    aliases = right.distinct().withColumn("ids", grams)
+    frequency = aliases.select(F.explode("ids").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     salts = (F.floor(F.col("df") / HOT_GRAM) + 1).cast("int")
-    indexed = _rare_grams(aliases, frequency, threshold).select(
-        F.col("name").alias("alias"), "gram", F.col("size").alias("alias_size"),
+    indexed = _prefix(_ordered_grams(aliases, frequency), threshold).select(
+        F.col("name").alias("alias"), F.col("ids").alias("alias_ids"), "gram", F.col("size").alias("alias_size"), F.col("after").alias("alias_after"),
         F.pmod(F.xxhash64("name"), salts).cast("int").alias("salt"),
     )
-    asked = _rare_grams(mentions, frequency, threshold).filter("df > 0").select(
-        "name", "gram", "size", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    asked = _prefix(_ordered_grams(mentions, frequency), threshold).filter("df > 0").select(
+        "name", "ids", "gram", "size", "after", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     )
-    near = (F.col("alias_size") >= F.col("size") * threshold - 1e-9) & (
-        F.col("size") >= F.col("alias_size") * threshold - 1e-9
+    near = (F.col("alias_size") >= F.col("size") * threshold - 1e-9) & (F.col("size") >= F.col("alias_size") * threshold - 1e-9)
+    least = (F.col("size") + F.col("alias_size")) * (threshold / (1 + threshold)) - 1e-9
+    return asked.join(indexed, ["gram", "salt"]).filter(near & (F.least("after", "alias_after") >= least))
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float = dims.TRIGRAM_THRESHOLD) -> DataFrame:
+    """``(name, alias, sim)`` for all pairs with trigram similarity at or above the threshold.
+
+    Both inputs are single ``name`` columns and are made distinct first. Grams are
+    worked out once a name and travel as numbers; a candidate's overlap is counted where
+    the two meet. A pair that shares several rare grams counts at the first of them only, so nothing
+    has to be made distinct afterwards.
+    """
+    met = candidate_names(left, right, threshold).withColumn("_both", F.array_intersect("ids", "alias_ids"))
+    shared = F.size("_both")
+    sim = F.coalesce(F.try_divide(shared, F.col("size") + F.col("alias_size") - shared), F.lit(0.0))
+    return (
+        met.filter(F.get("_both", F.lit(0)) == F.col("gram"))
+        .select("name", "alias", sim.alias("sim"))
+        .filter(F.col("sim") >= threshold - 1e-9)
     )
-    pairs = asked.join(indexed, ["gram", "salt"]).filter(near).select("name", "alias").distinct()
-    sim = jaccard(trigrams(F.col("name")), trigrams(F.col("alias")))
-    return pairs.withColumn("sim", sim).filter(F.col("sim") >= threshold - 1e-9)
 
 
 def candidates(

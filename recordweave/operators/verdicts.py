@@ -117,3 +117,30 @@ def significance_metrics(rows: DataFrame) -> DataFrame:
         F.count_if(drop).alias("froth_total"), F.count_if(drop & ok).alias("froth_caught"),
         F.count_if(~drop).alias("signal_total"), F.count_if(~drop & ok).alias("signal_kept"),
     )
+
+
+def cited_claims(items: DataFrame) -> DataFrame:
+    """The claims of each item once its uncited sentences are gone, numbered anew.
+
+    ``items``: brief_id, item_id, body with repaired citations. Bodies are cut into sentences
+    here and nowhere else, so the table should be stored by whoever reads it twice. An item's claims
+    are one short list, so they are numbered inside it.
+    """
+    cited = F.filter(citations.claims(F.col("body")), lambda c: citations.is_cited(c["text"]))
+    each = items.select("brief_id", "item_id", F.posexplode_outer(cited).alias("claim", "c")).filter("c IS NOT NULL")
+    return each.select("brief_id", "item_id", "claim", F.col("c.text").alias("text"), F.col("c.indices").alias("indices"))
+
+
+def publish_items(claim_rows: DataFrame, verdicts: DataFrame, passages: DataFrame) -> DataFrame:
+    """From cited claims to the items a brief prints: results, cited source and evidence label.
+
+    ``claim_rows``: as :func:`cited_claims` gives them; ``verdicts``: item_id, claim, supported; ``passages``:
+    brief_id, index, source_id. An item none of whose claims holds is not printed. Indices and the
+    source they come from are those of the sentences that stay; an item whose passages are unknown is
+    graded without a source.
+    """
+    judged = judge(claim_rows, verdicts)
+    results = item_results(judged)
+    kept = judged.filter("passes").select("brief_id", "item_id", F.explode("indices").alias("index")).distinct()
+    sources = dominant_source(kept.join(passages, ["brief_id", "index"]))
+    return attribute(results, sources)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordweave.operators import funding, graph
 from recordweave.plans import sqltext as sq
 from recordweave.plans.registry import query
+from recordweave.session import stage
 
 AS_OF = "2001-08-01"
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -112,6 +113,49 @@ def edge_scd2(t):
     return graph.scd2_edges(live, typed(edges(t)), F.lit(AS_OF))
 
 
+_REF, _LIVE_AT = "2000-01-01", "2001-05-01"
+_KEPT_EDGES = "SELECT e.* FROM {name} e JOIN names f ON f.entity = from_id JOIN names g ON g.entity = to_id WHERE NOT {same}"
+
+
+@query("edge_scd2_incremental", f"""WITH {MEMBERS}, {_NAMES}, {edges_sql("old", _LIVE_AT)}, {edges_sql("new", AS_OF)},
+live AS ({_KEPT_EDGES.format(name='old', same=_SAME)}), want AS ({_KEPT_EDGES.format(name='new', same=_SAME)})
+SELECT coalesce(l.from_id, w.from_id) AS from_id, coalesce(l.to_id, w.to_id) AS to_id, 'CONVERGES_WITH' AS edge_type,
+       CASE WHEN w.from_id IS NULL THEN l.weight ELSE w.weight END AS weight,
+       CASE WHEN w.from_id IS NULL THEN l.confidence ELSE w.confidence END AS confidence,
+       CASE WHEN l.from_id IS NULL THEN '{AS_OF}' ELSE '{_LIVE_AT}' END AS valid_from,
+       CASE WHEN w.from_id IS NULL THEN '{AS_OF}' END AS valid_to,
+       CASE WHEN w.from_id IS NULL THEN 'retired' WHEN l.from_id IS NULL THEN 'inserted' ELSE 'refreshed' END AS action
+FROM live l FULL JOIN want w ON l.from_id = w.from_id AND l.to_id = w.to_id""")
+def edge_scd2_incremental(t):
+    """State of an earlier run, merged with the items since then; the open rows are those of that run."""
+    every, names = members(t), supplier_names(t)
+    at, day = F.col("at"), lambda d: F.lit(d).cast("date")
+    stored = stage(graph.pair_state(every.filter(at <= day(_LIVE_AT)), _REF, SEGMENTS), "pair-state")
+    fresh = graph.pair_state(every.filter((at > day(_LIVE_AT)) & (at <= day(AS_OF))), _REF, SEGMENTS)
+    live = graph.drop_self_company(graph.edges_of_state(stored, _LIVE_AT, _REF, SEGMENTS), names).select(
+        "from_id", "to_id", F.lit("CONVERGES_WITH").alias("edge_type"), "weight", "confidence", F.lit(_LIVE_AT).alias("valid_from")
+    )
+    return graph.upsert_edges(live, graph.merge_pair_states(stored, fresh), names, AS_OF, _REF, SEGMENTS, F.lit(AS_OF))
+
+
+@query("edges_as_of_dates", """WITH e AS (SELECT CAST(l_shipdate AS DATE) AS a, CASE WHEN l_returnflag <> 'A' THEN CAST(l_shipdate AS DATE) + CAST(l_quantity * 9 AS INT) END AS b,
+  CAST(l_shipdate AS DATE) + l_linenumber * 5 AS known FROM lineitem),
+d AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS d FROM orders)
+SELECT CAST(d AS VARCHAR) AS date, count(*) AS edges, count(*) FILTER (b IS NULL) AS open_edges
+FROM e JOIN d ON a <= d AND (b IS NULL OR b > d) AND known <= d GROUP BY d""")
+def edges_as_of_dates(t):
+    start = F.col("l_shipdate").cast("date")
+    rows = t.lineitem.select(
+        start.alias("valid_from"), F.when(F.col("l_returnflag") != "A", F.date_add(start, (F.col("l_quantity") * 9).cast("int"))).alias("valid_to"),
+        F.date_add(start, (F.col("l_linenumber") * 5).cast("int")).alias("transaction_time"),
+    )
+    dates = t.orders.select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("date")).distinct()
+    out = graph.edges_as_of_dates(rows, dates).groupBy("date").agg(
+        F.count("*").alias("edges"), F.count_if(F.col("valid_to").isNull()).alias("open_edges")
+    )
+    return out.withColumn("date", F.col("date").cast("string"))
+
+
 @query("edges_as_of", """SELECT l_orderkey AS from_id, l_suppkey AS to_id, l_linenumber,
        CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS valid_from
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-06-01'
@@ -300,7 +344,8 @@ def pair_evidence(t):
         F.col("o_orderkey").alias("item"), F.col("c_mktsegment").alias("desk"),
         F.col("o_orderdate").cast("date").alias("at"), F.col("o_orderpriority").alias("headline"),
     )
-    out = graph.pair_evidence(members(t).select("item", "entity"), items, graph.strongest_edges(edges(t), 100))
+    pairs = stage(graph.strongest_edges(edges(t), 100), "asked")
+    out = graph.pair_evidence(members(t).select("item", "entity"), items, pairs)
     return out.select("from_id", "to_id", "item", "desk", F.col("at").cast("string").alias("at"), "headline", "rank")
 
 

@@ -133,6 +133,49 @@ def window_start(t):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"))
 
 
+_BRIEF_CUT = "2001-05-01"
+
+
+@query("candidates_windowed", f"""WITH {RECORDS},
+since AS (SELECT coalesce(arg_max(created - 1, (created, created)), DATE '{AS_OF}' - 2) AS s FROM records WHERE status = 'F' AND created < DATE '{_BRIEF_CUT}'),
+recent AS (SELECT t.* FROM tagged t, since WHERE created >= s AND status <> 'P'),
+ment AS (SELECT DISTINCT desk, record_id, unnest(names) AS name FROM recent), cnt AS (SELECT desk, name, count(*) AS n FROM ment GROUP BY ALL),
+bounds AS (SELECT desk, min(nullif(amount_usd, 0)) AS low, max(nullif(amount_usd, 0)) AS high, count(nullif(amount_usd, 0)) AS points
+  FROM tagged WHERE created >= DATE '{AS_OF}' - 90 GROUP BY desk),
+m AS (SELECT r.*, greatest(coalesce(n, 0) - 1, 0) AS corroboration, CASE WHEN amount_usd IS NULL THEN 0.0 WHEN coalesce(points, 0) >= 10 THEN
+    CASE WHEN low = high THEN 0.0 ELSE (amount_usd - low) / (high - low) END ELSE {_BUCKET} END AS magnitude
+  FROM recent r LEFT JOIN bounds USING (desk) LEFT JOIN cnt c ON c.desk = r.desk AND c.name = r.names[1]),
+s AS (SELECT *, round(least(CAST({_AUTHORITY} AS DOUBLE) * 0.3::DOUBLE + 0.2::DOUBLE + magnitude::DOUBLE * 0.25::DOUBLE
+    + CAST({_IMPORTANCE} AS DOUBLE) * 0.15::DOUBLE + least(corroboration, 3) / 3::DOUBLE * 0.1::DOUBLE
+    + least(greatest(len(desks) - 1, 0), 2) * 0.02::DOUBLE, 1.0::DOUBLE), 6) AS score FROM m)
+SELECT desk, record_id, round(magnitude, 6) AS magnitude, corroboration, score FROM s WHERE score >= 0.35 AND desks[1] = desk""")
+def candidates_windowed(t):
+    """Window start, raw join and 90-day bounds in one flow; pending orders have lost their raw row."""
+    rows = records(t).withColumn("created_at", F.col("created").cast("timestamp_ntz")).withColumn("raw_id", F.col("record_id"))
+    raw = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("raw_id"), F.col("o_orderpriority").alias("url"))
+    briefs = rows.filter((F.col("created") < F.lit(_BRIEF_CUT).cast("date"))).select(
+        F.when(F.col("status") == "F", "published").otherwise("failed").alias("status"), F.col("created_at").alias("published_at"),
+        (F.col("created_at") - F.expr("INTERVAL 1 DAY")).alias("generation_started_at"),
+    )
+    out = ranking.rank_candidates(rows, raw, briefs, F.lit(AS_OF).cast("timestamp_ntz"))
+    return out.select("desk", "record_id", F.round("magnitude", 6).alias("magnitude"), "corroboration", F.round("score", 6).alias("score"))
+
+
+@query("magnitude_sliding", f"""WITH {RECORDS}, cell AS (SELECT desk, created AS day, min(nullif(amount_usd, 0)) AS lo, max(nullif(amount_usd, 0)) AS hi,
+  count(nullif(amount_usd, 0)) AS n FROM tagged GROUP BY ALL),
+win AS (SELECT desk, day, min(lo) OVER w AS low, max(hi) OVER w AS high, sum(n) OVER w AS points FROM cell
+  WINDOW w AS (PARTITION BY desk ORDER BY day RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW))
+SELECT t.desk, record_id, CAST(points AS BIGINT) AS points, round(CASE WHEN amount_usd IS NULL THEN 0.0 WHEN points >= 10 THEN
+    CASE WHEN low = high THEN 0.0 ELSE (amount_usd - low) / (high - low) END ELSE {_BUCKET} END, 6) AS magnitude
+FROM tagged t JOIN win w ON w.desk = t.desk AND w.day = t.created""")
+def magnitude_sliding(t):
+    """Every record against the 90 days up to its own day, as runs of that day saw it."""
+    rows = tagged(t)
+    bounds = ranking.sliding_amounts(rows, "created").withColumnRenamed("day", "created")
+    size = scoring.magnitude(F.col("amount_usd"), F.col("low"), F.col("high"), F.col("points"))
+    return rows.join(bounds, ["desk", "created"]).select("desk", "record_id", "points", F.round(size, 6).alias("magnitude"))
+
+
 def deduped(t):
     return ranking.title_dedupe(material(t))
 

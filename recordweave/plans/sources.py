@@ -3,6 +3,9 @@
 Landed payloads are rendered from the given tables and parsed back.
 """
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordweave import dims
@@ -12,7 +15,8 @@ from recordweave.plans import sqltext as sq
 from recordweave.plans.reading import FIGURES, figure_texts
 from recordweave.plans.registry import query
 from recordweave.plans.telemetry import document_batches
-from recordweave.sources import parsers
+from recordweave.session import run_dir
+from recordweave.sources import parsers, sinks
 
 AS_OF = "2001-08-01"
 
@@ -465,18 +469,43 @@ def retention_prune(t):
     return ingest.prune(raw, cutoff, "o_orderkey", *refs).select("o_orderkey")
 
 
+@query("append_filtered", """WITH o AS (SELECT year(o_orderdate) AS y, 's' || o_orderkey % 3 AS s, CAST(o_custkey AS VARCHAR) AS n FROM orders),
+a AS (SELECT s, n FROM o WHERE y <= 1996), b AS (SELECT s, n FROM o WHERE y BETWEEN 1996 AND 1998), c AS (SELECT s, n FROM o WHERE y <> 1997),
+k(run_id, fetched, new) AS (SELECT 'a', (SELECT count(*) FROM a), (SELECT count(*) FROM (SELECT DISTINCT s, n FROM a))
+  UNION ALL SELECT 'b', (SELECT count(*) FROM b), (SELECT count(*) FROM (SELECT s, n FROM b EXCEPT SELECT s, n FROM a))
+  UNION ALL SELECT 'c', (SELECT count(*) FROM c), (SELECT count(*) FROM (SELECT s, n FROM c EXCEPT SELECT s, n FROM a EXCEPT SELECT s, n FROM b)))
+SELECT run_id, fetched, new, fetched - new AS duplicate FROM k""")
+def append_filtered(t):
+    """Three runs into one table; each reads only partitions whose key filter says they may hold its keys."""
+    rows = t.orders.select(
+        F.year("o_orderdate").alias("y"), F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string")).alias("source_id"),
+        F.col("o_custkey").cast("string").alias("native_id"), F.lit("h").alias("content_hash"), F.col("o_orderkey").alias("arrival"),
+    )
+    path = run_dir(t.spark, "appended")
+    runs = (("a", "y <= 1996"), ("b", "y BETWEEN 1996 AND 1998"), ("c", "y <> 1997"))
+    return reduce(DataFrame.unionByName, [sinks.append_new(t.spark, rows.filter(rule).drop("y"), path, run) for run, rule in runs])
+
+
 _CUT = "TIMESTAMP '2001-07-11'"
 
 
-@query("retention_apply", f"""WITH n AS (SELECT l_orderkey AS k, l_shipdate + INTERVAL 3 YEAR >= {_CUT} AS keep FROM lineitem),
-r AS (SELECT o_orderdate >= {_CUT} OR o_orderkey IN (SELECT k FROM n WHERE keep) AS keep FROM orders)
-SELECT 'raw' AS "table", count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS removed FROM r
-UNION ALL SELECT 'normalized', count(*) FILTER (keep), count(*) FILTER (NOT keep) FROM n""")
+@query("retention_apply", f"""WITH n AS (SELECT l_orderkey AS k, CASE WHEN l_partkey % 50 > 0 THEN l_shipdate + INTERVAL 3 YEAR END AS made FROM lineitem),
+nk AS (SELECT k, made IS NULL OR made >= {_CUT} AS keep FROM n),
+refs AS (SELECT k FROM nk WHERE keep UNION SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09
+  UNION SELECT l_orderkey FROM lineitem WHERE l_tax > 0.07 UNION SELECT event_id FROM events WHERE event_type = 'error'),
+r AS (SELECT CASE WHEN o_custkey % 40 > 0 THEN o_orderdate END AS made, o_orderkey AS k FROM orders),
+rk AS (SELECT made IS NULL OR made >= {_CUT} OR k IN (SELECT k FROM refs) AS keep FROM r)
+SELECT 'raw' AS "table", count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS removed FROM rk
+UNION ALL SELECT 'normalized', count(*) FILTER (keep), count(*) FILTER (NOT keep) FROM nk""")
 def retention_apply(t):
-    raw = t.orders.select("o_orderkey", F.col("o_orderdate").alias("created_at"))
-    normalized = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_shipdate") + F.expr("INTERVAL 3 YEARS")).alias("created_at"))
+    raw = t.orders.select("o_orderkey", F.when(F.col("o_custkey") % 40 > 0, F.col("o_orderdate")).alias("created_at"))
+    line = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    made = F.when(F.col("l_partkey") % 50 > 0, F.col("l_shipdate") + F.expr("INTERVAL 3 YEARS"))
+    # some of a raw row's citations, edges and open reviews outlive its normalized rows
+    citations, edges = line.filter("l_discount > 0.09"), line.filter("l_tax > 0.07")
+    queue = t.events.filter("event_type = 'error'").withColumnRenamed("event_id", "o_orderkey")
     cutoff = F.date_sub(F.lit(AS_OF).cast("date"), dims.HOT_WINDOW_DAYS).cast("timestamp_ntz")
-    return ingest.retain(raw, normalized, cutoff, "o_orderkey")[2]
+    return ingest.retain(raw, line.select("o_orderkey", made.alias("created_at")), cutoff, "o_orderkey", citations, edges, queue)[2]
 
 
 @query("enrich_join", """SELECT o_orderkey AS record_id, o_orderkey % 3 <> 2 AND o_orderkey % 4 <> 1 AS enriched,

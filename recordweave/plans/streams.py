@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from recordweave import dims
 from recordweave.plans.registry import query
-from recordweave.streaming import jobs
+from recordweave.streaming import jobs, state
 
 
 def events(t):
@@ -69,3 +70,26 @@ def stream_silence(t):
     return jobs.silence_alerts(events(t), "user_id", "ts").withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss"))
 
 
+# the tables span thirty days, so within the longest lookback of a source every key counts once
+@query("stream_dedup_within", "SELECT DISTINCT user_id, event_type, props FROM events")
+def stream_dedup_within(t):
+    rows, _ = state.dedup_within(events(t), ["user_id", "event_type", "props"], "ts", max(dims.LOOKBACK_DAYS.values()))
+    return rows.select("user_id", "event_type", "props")
+
+
+@query("stream_watch", """WITH w AS (SELECT epoch_ms(max(ts)) * 1000 - 86400000000 AS upto FROM events),
+e AS (SELECT user_id::VARCHAR AS source_id, epoch_us(ts) AS us, event_id, event_type = 'error' AS failed, upto FROM events, w WHERE epoch_us(ts) <= upto),
+o AS (SELECT *, lag(us) OVER s AS before, coalesce(lead(us) OVER s, upto) AS following, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER s AS run
+  FROM e WINDOW s AS (PARTITION BY source_id ORDER BY us, event_id)),
+k AS (SELECT *, sum(failed::INT) OVER (PARTITION BY source_id, run ORDER BY us, event_id) AS n FROM o),
+l AS (SELECT *, lag(n) OVER (PARTITION BY source_id ORDER BY us, event_id) AS n_before FROM k)
+SELECT source_id, 'silent' AS event, us + 108000000000 AS "at" FROM l WHERE following > us + 108000000000
+UNION ALL SELECT source_id, 'back', us FROM l WHERE before + 108000000000 < us
+UNION ALL SELECT source_id, 'half_open', us + 1800000000 FROM l WHERE failed AND n >= 2 AND following >= us + 1800000000
+UNION ALL SELECT source_id, 'open', us FROM l WHERE failed AND (n = 2 OR n > 2 AND before + 1800000000 <= us)
+UNION ALL SELECT source_id, 'closed', us FROM l WHERE NOT failed AND n_before >= 2""")
+def stream_watch(t):
+    runs = events(t).select(
+        F.col("user_id").alias("source_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed")
+    )
+    return state.watch(runs, late="1 day", threshold=2)[0]

@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordweave.operators.ingest import flag_new
+from recordweave.operators.ingest import RAW_KEY, flag_new
+from recordweave.operators.membership import FILTER, key_filter, may_hold
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -21,25 +22,52 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return like.limit(0)
 
 
-def append_new(spark: SparkSession, batch: DataFrame, path: str, run_id: str) -> DataFrame:
+def keys_path(path: str) -> str:
+    """Where the key filters of the table at ``path`` lie."""
+    return f"{path.rstrip('/')}_keys"
+
+
+def write_key_filter(rows: DataFrame, path: str, run_id: str, count: int, **options) -> None:
+    """Write the key filter of one run's partition, which replaces an earlier one."""
+    own = f"{keys_path(path)}/run_id={quote(run_id, safe='')}"
+    key_filter(rows, RAW_KEY, count, **options).coalesce(1).write.mode("overwrite").parquet(own)
+
+
+def runs_to_read(spark: SparkSession, batch: DataFrame, path: str, run_id: str) -> list[str]:
+    """Earlier runs whose partitions may hold a key of the batch, by their key filters.
+
+    A run is one name, and there are as many as runs were stored, so the list is short
+    whatever the size of the table.
+    """
+    like = batch.sparkSession.createDataFrame([], FILTER + ", run_id string")
+    filters = read_or_empty(spark, keys_path(path), like).filter(F.col("run_id") != run_id)
+    return sorted(r[0] for r in may_hold(batch, RAW_KEY, filters, "run_id").select("run_id").distinct().collect())
+
+
+def append_new(spark: SparkSession, batch: DataFrame, path: str, run_id: str, **options) -> DataFrame:
     """Append unseen records under ``run_id``; returns one row of counts for the run.
 
     A run writes its own partition and replaces it when it is repeated after a
     failure, so a lost executor or a rerun never doubles a record. Records of the
     run itself do not count as stored.
+
+    Beside each partition lies a filter of its keys. Only partitions that may hold a key of the batch
+    are read, and the join with those is exact, so a false positive costs time only. The filter is
+    written before the records, so no record is ever without one; ``options`` go to :func:`key_filter`.
     """
     columns = batch.columns
-    stored = read_or_empty(spark, path, batch.withColumn("run_id", F.lit(run_id)))
-    flagged = flag_new(batch, stored.filter(F.col("run_id") != run_id))
-    fresh = flagged.filter("is_new").select(*columns).withColumn("run_id", F.lit(run_id))
+    hits = runs_to_read(spark, batch, path, run_id)
+    stored = read_or_empty(spark, path, batch.withColumn("run_id", F.lit(run_id))).filter(F.col("run_id").isin(hits))
+    fresh = flag_new(batch, stored).filter("is_new").select(*columns)
     # its own folder is written even without fresh rows, so nothing of an earlier try stays
     own = f"{path}/run_id={quote(run_id, safe='')}"
-    fresh.drop("run_id").write.mode("overwrite").parquet(own)
-    written = spark.read.schema(batch.schema).parquet(own).select(F.lit(True).alias("is_new"))
-    both = batch.select(F.lit(False).alias("is_new")).unionByName(written)
-    counts = both.agg(F.count_if(~F.col("is_new")).alias("fetched"), F.count_if("is_new").alias("new"))
-    return counts.select(
-        F.lit(run_id).alias("run_id"), "fetched", "new", (F.col("fetched") - F.col("new")).alias("duplicate")
+    fetched = batch.count()
+    # at most so many keys are new; a filter for the whole batch also serves a try that failed half way
+    write_key_filter(batch, path, run_id, fetched, **options)
+    fresh.write.mode("overwrite").parquet(own)
+    new = spark.read.schema(batch.schema).parquet(own).agg(F.count("*").alias("new"))
+    return new.select(
+        F.lit(run_id).alias("run_id"), F.lit(fetched).cast("bigint").alias("fetched"), "new", (F.lit(fetched) - F.col("new")).cast("bigint").alias("duplicate")
     )
 
 

@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordweave import dims
 from recordweave.session import run_dir
+from recordweave.sources.sinks import read_or_empty
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -43,7 +45,9 @@ def fold(stream: DataFrame, name: str, step: Callable[[DataFrame, int, str], Dat
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out)
+    # a folder without a single file has no batch; the step over no rows tells the columns
+    schema = step(spark.createDataFrame([], stream.schema), 0, out).schema
+    return read_or_empty(spark, out, spark.createDataFrame([], T.StructType([*schema, T.StructField("batch", T.IntegerType())])))
 
 
 def dedup(
