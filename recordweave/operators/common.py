@@ -62,40 +62,69 @@ def positions(df: DataFrame, by: Sequence[str], score: str, row_id: str, out: st
     )
 
 
+def _marks(words: Column) -> Column:
+    """Two 64-bit marks of each word."""
+    return F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("a"), F.xxhash64(F.lit(7), w).alias("b")))
+
+
+def _doubled(marks: str, step: int) -> Column:
+    """Marks of runs twice as long as the ``step`` words that ``marks`` stands for."""
+    many = F.greatest(F.size(marks) - step, F.lit(0))
+    pair = lambda x, y: F.struct(F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(x["b"], y["b"]).alias("b"))
+    return F.zip_with(F.slice(marks, F.lit(1), many), F.slice(marks, F.lit(step + 1), many), pair)
+
+
+def _with_marks(df: DataFrame, words: Column, classes: int) -> DataFrame:
+    """``df`` with columns ``_m0``, ``_m1``, ...: marks of the runs of 1, 2, 4, ... words from each place on."""
+    df = df.withColumn("_m0", _marks(words))
+    for k in range(1, classes):
+        df = df.withColumn(f"_m{k}", _doubled(f"_m{k - 1}", 1 << (k - 1)))
+    return df
+
+
 def match_phrases(
     docs: DataFrame, doc_id: str, tokens: str, phrases: DataFrame, phrase: str, low: int, high: int | None = None
 ) -> DataFrame:
     """Word-exact phrase hits: one row per (document, phrase row) with its first position.
 
-    Two equi-joins. The first looks up each position's first ``low`` words among the
-    distinct phrase openings, which says how long the phrases with that opening are;
-    the second looks up just those runs of words. Both lookup keys are unique, so
-    neither a common opening nor a phrase found in every document multiplies rows.
-    Whether a lookup side is small enough to broadcast is left to Spark, which checks
-    its size. Without ``high`` the longest phrase of the table sets the bound (one small job).
+    Phrases go by length class: one of n words, 2^k <= n < 2^(k+1), stands where the mark of its first 2^k
+    words does and, n - 2^k words on, that of its last 2^k. So a position is one short row
+    for each class that has phrases, whatever the longest phrase is; marks of 128 bits are built by doubling.
+    Places of first halves and of last halves are looked up on unique keys and then meet by
+    place, so neither a common opening nor a phrase found in every document multiplies rows. Whether a
+    lookup side is small enough to broadcast is left to Spark, which checks its size. Which
+    classes there are takes one small job.
     """
-    if high is None:
-        high = phrases.agg(F.max(F.size(F.split(phrase, " ")))).first()[0] or low
-        high = max(high, low)
-    words = [f"_w{k}" for k in range(high)]
-    shifted = [F.slice(tokens, k + 1, F.size(tokens)).alias(w) for k, w in enumerate(words)]
-    runs = docs.select(doc_id, F.posexplode_outer(F.arrays_zip(*shifted)).alias("pos", "_run")).select(
-        doc_id, "pos", *[F.col(f"_run.{w}").alias(w) for w in words]
-    )
-    # outer above: the plain form would zip every text twice, once to test for emptiness
-    runs = runs.filter(F.col(words[low - 1]).isNotNull()).withColumn("_open", F.concat_ws(" ", *words[:low]))
-    split = F.split(phrase, " ")
-    openings = (
-        phrases.filter(F.size(split).between(low, high))
-        .groupBy(F.array_join(F.slice(split, 1, low), " ").alias("_open"))
-        .agg(F.collect_set(F.size(split)).alias("_sizes"))
-    )
-    grams = (
-        runs.join(openings, "_open")
-        .select(doc_id, "pos", F.explode("_sizes").alias("n"), F.array(*words).alias("_run"))
-        .filter(F.get("_run", F.col("n") - 1).isNotNull())
-        .select(doc_id, F.array_join(F.slice("_run", 1, F.col("n")), " ").alias(phrase), "pos", "n")
+    words = F.split(phrase, " ")
+    wanted = phrases.filter(F.size(words).between(low, high if high is not None else 1 << 30))
+    size = F.size(words)
+    k_of = (F.length(F.bin(size)) - 1).cast("int")
+    classes = sorted(r[0] for r in wanted.select(k_of.alias("k")).distinct().collect())
+    others = [doc_id, *phrases.columns]
+    if not classes:
+        return docs.select(doc_id).crossJoin(phrases.limit(0)).limit(0).select(*others, F.lit(0).alias("pos"), F.lit(0).alias("n"))
+    # the marks of a phrase: of its first and of its last run, under its class
+    each = _with_marks(wanted.select(phrase).distinct().withColumn("_k", k_of), words, classes[-1] + 1)
+    at = F.coalesce(*[F.when(F.col("_k") == k, F.struct(F.get(f"_m{k}", F.lit(0)).alias("x"), F.get(f"_m{k}", F.size(f"_m{k}") - 1).alias("y"))) for k in classes])
+    known = each.select(phrase, F.col("_k").alias("k"), at.alias("e"), size.alias("n")).select(
+        phrase, "k", F.col("e.x").alias("x"), F.col("e.y").alias("y"), "n", (F.col("n") - F.pow(F.lit(2), F.col("k")).cast("int")).alias("step")
     )
-    hits = grams.join(phrases, phrase)
-    others = [c for c in hits.columns if c not in ("pos", "n")]
-    return hits.groupBy(*others).agg(F.min(F.struct("pos", "n")).alias("at")).select(*others, "at.pos", "at.n")
+    firsts = known.groupBy("k", F.col("x").alias("m")).agg(F.collect_set("step").alias("steps"))
+    lasts = known.filter("step > 0").select("k", F.col("y").alias("m")).distinct()
+
+    marked = _with_marks(docs.select(doc_id, tokens), F.col(tokens), classes[-1] + 1)
+
+    def placed(k: int) -> Column:
+        return F.transform(f"_m{k}", lambda m, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), m.alias("m")))
+
+    rows = F.flatten(F.array(*[placed(k) for k in classes]))
+    # outer: the plain form would build all marks twice, once to test for emptiness
+    places = marked.select(doc_id, F.explode_outer(rows).alias("r")).filter("r IS NOT NULL").select(doc_id, "r.k", "r.pos", "r.m")
+    begun = places.join(firsts, ["k", "m"]).select(doc_id, "k", "pos", F.col("m").alias("x"), F.explode("steps").alias("step"))
+    whole = begun.filter("step = 0").join(known.filter("step = 0").select(phrase, "k", "x", "n"), ["k", "x"])
+    hits = whole.select(doc_id, phrase, "pos", "n")
+    if any(k > 0 for k in classes):
+        ended = places.join(lasts, ["k", "m"]).select(doc_id, "k", F.col("pos").alias("end"), F.col("m").alias("y"))
+        longer = begun.filter("step > 0").withColumn("end", F.col("pos") + F.col("step")).join(ended, [doc_id, "k", "end"])
+        hits = hits.union(longer.join(known, ["k", "x", "y", "step"]).select(doc_id, phrase, "pos", "n"))
+    return hits.join(phrases, phrase).groupBy(*others).agg(F.min(F.struct("pos", "n")).alias("at")).select(*others, "at.pos", "at.n")

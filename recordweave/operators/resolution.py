@@ -41,11 +41,30 @@ def _gram_id(gram: Column) -> Column:
     return at(1) * (1 << 42) + at(2) * (1 << 21) + at(3)
 
 
+LANES = 4
+
+
+def _signature(ids: Column) -> Column:
+    """256 bits, one set for each gram: two names differ in at least as many grams as bits."""
+    bit = lambda g: F.pmod(F.xxhash64(g), F.lit(64 * LANES)).cast("int")
+    return F.array(*[
+        F.aggregate(
+            F.filter(F.transform(ids, bit), _between(64 * lane)),
+            F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 64)),
+        )
+        for lane in range(LANES)
+    ])
+
+
+def _between(low: int):
+    return lambda b: b.between(low, low + 63)
+
+
 def _ordered_grams(names: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(name, grams): each name's trigram numbers, rarest first by (df, gram), with their df."""
+    """(name, grams, signature): each name's trigram numbers, rarest first by (df, gram), with their df."""
     each = names.select("name", F.explode("ids").alias("gram")).join(frequency, "gram", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")))
-    return each.groupBy("name").agg(order.alias("grams"))
+    return each.groupBy("name").agg(order.alias("grams")).withColumn("signature", _signature(F.transform("grams", lambda g: g["gram"])))
 
 
 def _prefix(ordered: DataFrame, threshold: float) -> DataFrame:
@@ -59,15 +78,15 @@ def _prefix(ordered: DataFrame, threshold: float) -> DataFrame:
     keep = size - F.ceil(size * threshold - 1e-9) + 1
     ids = F.transform("grams", lambda g: g["gram"])
     return ordered.select(
-        "name", ids.alias("ids"), size.alias("size"), F.posexplode(F.slice("grams", F.lit(1), keep.cast("int"))).alias("pos", "g")
-    ).select("name", "ids", "size", F.col("g.gram").alias("gram"), F.col("g.df").alias("df"), (F.col("size") - F.col("pos")).alias("after"))
+        "name", ids.alias("ids"), "signature", size.alias("size"), F.posexplode(F.slice("grams", F.lit(1), keep.cast("int"))).alias("pos", "g")
+    ).select("name", "ids", "signature", "size", F.col("g.gram").alias("gram"), F.col("g.df").alias("df"), (F.col("size") - F.col("pos")).alias("after"))
 
 
 def candidate_names(left: DataFrame, right: DataFrame, threshold: float = dims.TRIGRAM_THRESHOLD) -> DataFrame:
     """(name, alias, ids, alias_ids, sizes) of the pairs that pass all filters, each once for every rare gram they share.
 
-    Three filters, none of which loses a pair: one of the rarest grams is shared; the sizes
-    allow the similarity; and at the shared gram enough grams are left on both sides, since those before it
+    Four filters, none of which loses a pair: one of the rarest grams is shared; the sizes
+    allow the similarity; bit signatures of the two sets do not differ in too many grams; and at the shared gram enough grams are left on both sides, since those before it
     are not shared (position filter: all of a name's grams are in one order, and the shared one
     taken is the first). A gram that is common all the same is salted.
     """
@@ -77,15 +96,17 @@ def candidate_names(left: DataFrame, right: DataFrame, threshold: float = dims.T
     frequency = aliases.select(F.explode("ids").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     salts = (F.floor(F.col("df") / HOT_GRAM) + 1).cast("int")
     indexed = _prefix(_ordered_grams(aliases, frequency), threshold).select(
-        F.col("name").alias("alias"), F.col("ids").alias("alias_ids"), "gram", F.col("size").alias("alias_size"), F.col("after").alias("alias_after"),
+        F.col("name").alias("alias"), F.col("ids").alias("alias_ids"), F.col("signature").alias("alias_signature"), "gram", F.col("size").alias("alias_size"), F.col("after").alias("alias_after"),
         F.pmod(F.xxhash64("name"), salts).cast("int").alias("salt"),
     )
     asked = _prefix(_ordered_grams(mentions, frequency), threshold).filter("df > 0").select(
-        "name", "ids", "gram", "size", "after", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+        "name", "ids", "signature", "gram", "size", "after", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     )
     near = (F.col("alias_size") >= F.col("size") * threshold - 1e-9) & (F.col("size") >= F.col("alias_size") * threshold - 1e-9)
     least = (F.col("size") + F.col("alias_size")) * (threshold / (1 + threshold)) - 1e-9
-    return asked.join(indexed, ["gram", "salt"]).filter(near & (F.least("after", "alias_after") >= least))
+    differ = sum((F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("alias_signature", F.lit(i)))) for i in range(LANES)), F.lit(0))
+    bits = differ <= F.col("size") + F.col("alias_size") - 2 * least
+    return asked.join(indexed, ["gram", "salt"]).filter(near & (F.least("after", "alias_after") >= least) & bits)
 
 
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = dims.TRIGRAM_THRESHOLD) -> DataFrame:

@@ -110,3 +110,51 @@ def test_amounts_on_both_sides_of_the_window(spark):
     assert tuple(ranking.amount_window(df).first()) == ("d", 1.0, 900.0, 4)
     by_day = {r.day: (r.low, r.high, r.points) for r in ranking.sliding_amounts(df, "at").collect()}
     assert by_day[now.date()] == (1.0, 7.0, 3) and by_day[(now - dt.timedelta(days=3)).date()] == (1.0, 900.0, 3)
+
+
+def test_phrases_of_any_length(spark):
+    from recordweave.operators.common import match_phrases
+
+    rng = random.Random(5)
+    texts = {i: [rng.choice("ABCD") for _ in range(rng.choice([0, 1, 3, 30, 120]))] for i in range(40)}
+    phrases = {" ".join(rng.choice("ABCD") for _ in range(n)) for n in (1, 2, 2, 3, 3, 4, 5)}
+    for n in (6, 7, 8, 13, 16, 29, 40, 40):
+        words = rng.choice([w for w in texts.values() if len(w) >= 100])
+        at = rng.randrange(len(words) - n)
+        phrases.add(" ".join(words[at : at + n]))
+    phrases |= {" ".join(p.split()[:-1] + ["Z"]) for p in list(phrases) if " " in p}
+    rows = [(p, i) for i, p in enumerate(sorted(phrases))] + [("A B", 900), ("A B", 901)]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, tokens array<string>")
+    table = spark.createDataFrame(rows, "phrase string, owner bigint")
+
+    def want(low, high):
+        out = set()
+        for d, words in texts.items():
+            for p, owner in rows:
+                own = p.split()
+                at = next((i for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own), None)
+                if at is not None and low <= len(own) <= high:
+                    out.add((d, p, owner, at, len(own)))
+        return out
+
+    for low, high in ((1, None), (2, None), (2, 5)):
+        got = match_phrases(docs, "doc_id", "tokens", table, "phrase", low, high).collect()
+        assert {tuple(r) for r in got} == want(low, high or 99) and len(got) == len(want(low, high or 99))
+    assert match_phrases(docs, "doc_id", "tokens", table.limit(0), "phrase", 1).count() == 0
+
+
+def test_few_candidates_for_each_similar_pair(spark):
+    from recordweave.operators import resolution
+
+    rng = random.Random(2)
+    parts = ["north", "river", "steel", "power", "atlas", "global", "union", "delta", "cobalt", "harbor", "vector", "summit"]
+    pick = lambda: " ".join(rng.choice(parts) + rng.choice(["", "s", "co"]) for _ in range(rng.randint(1, 3)))
+    left, right = (spark.createDataFrame([(pick(),) for _ in range(300)] + [("é ü",), ("",)], "name string") for _ in range(2))
+    sims = resolution.similar_names(left, right, 0.6)
+    sets = lambda df: {r.name: set(r.g) for r in df.distinct().select("name", resolution.trigrams(F.col("name")).alias("g")).collect()}
+    a, b = sets(left), sets(right)
+    want = {(x, y) for x, p in a.items() for y, q in b.items() if p and q and len(p & q) >= 0.6 * len(p | q) - 1e-9}
+    got = [(r.name, r.alias) for r in sims.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    tried = resolution.candidate_names(left, right, 0.6).select("name", "alias").distinct().count()
+    assert len(want) <= tried < 10 * len(want)
