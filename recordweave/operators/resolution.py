@@ -41,6 +41,10 @@ def _gram_id(gram: Column) -> Column:
     return at(1) * (1 << 42) + at(2) * (1 << 21) + at(3)
 
 
+def _grams(name: Column) -> Column:
+    return F.transform(trigrams(name), _gram_id)
+
+
 LANES = 4
 
 
@@ -76,31 +80,29 @@ def _prefix(ordered: DataFrame, threshold: float) -> DataFrame:
     """
     size = F.size("grams")
     keep = size - F.ceil(size * threshold - 1e-9) + 1
-    ids = F.transform("grams", lambda g: g["gram"])
     return ordered.select(
-        "name", ids.alias("ids"), "signature", size.alias("size"), F.posexplode(F.slice("grams", F.lit(1), keep.cast("int"))).alias("pos", "g")
-    ).select("name", "ids", "signature", "size", F.col("g.gram").alias("gram"), F.col("g.df").alias("df"), (F.col("size") - F.col("pos")).alias("after"))
+        "name", "signature", size.alias("size"), F.posexplode(F.slice("grams", F.lit(1), keep.cast("int"))).alias("pos", "g")
+    ).select("name", "signature", "size", F.col("g.gram").alias("gram"), F.col("g.df").alias("df"), (F.col("size") - F.col("pos")).alias("after"))
 
 
 def candidate_names(left: DataFrame, right: DataFrame, threshold: float = dims.TRIGRAM_THRESHOLD) -> DataFrame:
-    """(name, alias, ids, alias_ids, sizes) of the pairs that pass all filters, each once for every rare gram they share.
+    """Pairs (name, alias, ...) that pass all filters, each once for every rare gram they share.
 
     Four filters, none of which loses a pair: one of the rarest grams is shared; the sizes
     allow the similarity; bit signatures of the two sets do not differ in too many grams; and at the shared gram enough grams are left on both sides, since those before it
     are not shared (position filter: all of a name's grams are in one order, and the shared one
     taken is the first). A gram that is common all the same is salted.
     """
-    grams = F.transform(trigrams(F.col("name")), _gram_id)
-    mentions = left.distinct().withColumn("ids", grams)
-    aliases = right.distinct().withColumn("ids", grams)
+    mentions = left.distinct().withColumn("ids", _grams(F.col("name")))
+    aliases = right.distinct().withColumn("ids", _grams(F.col("name")))
     frequency = aliases.select(F.explode("ids").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     salts = (F.floor(F.col("df") / HOT_GRAM) + 1).cast("int")
     indexed = _prefix(_ordered_grams(aliases, frequency), threshold).select(
-        F.col("name").alias("alias"), F.col("ids").alias("alias_ids"), F.col("signature").alias("alias_signature"), "gram", F.col("size").alias("alias_size"), F.col("after").alias("alias_after"),
+        F.col("name").alias("alias"), F.col("signature").alias("alias_signature"), "gram", F.col("size").alias("alias_size"), F.col("after").alias("alias_after"),
         F.pmod(F.xxhash64("name"), salts).cast("int").alias("salt"),
     )
     asked = _prefix(_ordered_grams(mentions, frequency), threshold).filter("df > 0").select(
-        "name", "ids", "signature", "gram", "size", "after", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+        "name", "signature", "gram", "size", "after", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     )
     near = (F.col("alias_size") >= F.col("size") * threshold - 1e-9) & (F.col("size") >= F.col("alias_size") * threshold - 1e-9)
     least = (F.col("size") + F.col("alias_size")) * (threshold / (1 + threshold)) - 1e-9
@@ -112,19 +114,16 @@ def candidate_names(left: DataFrame, right: DataFrame, threshold: float = dims.T
 def similar_names(left: DataFrame, right: DataFrame, threshold: float = dims.TRIGRAM_THRESHOLD) -> DataFrame:
     """``(name, alias, sim)`` for all pairs with trigram similarity at or above the threshold.
 
-    Both inputs are single ``name`` columns and are made distinct first. Grams are
-    worked out once a name and travel as numbers; a candidate's overlap is counted where
-    the two meet. A pair that shares several rare grams counts at the first of them only, so nothing
-    has to be made distinct afterwards.
+    Both inputs are single ``name`` columns and are made distinct first. Grams are worked out once a
+    name; candidates are made distinct as names, and the gram numbers of the two sides are looked up then.
     """
-    met = candidate_names(left, right, threshold).withColumn("_both", F.array_intersect("ids", "alias_ids"))
-    shared = F.size("_both")
-    sim = F.coalesce(F.try_divide(shared, F.col("size") + F.col("alias_size") - shared), F.lit(0.0))
-    return (
-        met.filter(F.get("_both", F.lit(0)) == F.col("gram"))
-        .select("name", "alias", sim.alias("sim"))
-        .filter(F.col("sim") >= threshold - 1e-9)
-    )
+    pairs = candidate_names(left, right, threshold).select("name", "alias").distinct()
+    ids = lambda df, name, out: df.distinct().select(F.col("name").alias(name), _grams(F.col("name")).alias(out))
+    met = pairs.join(ids(left, "name", "_x"), "name").join(ids(right, "alias", "_y"), "alias")
+    shared = F.size(F.array_intersect("_x", "_y"))
+    counted = met.select("name", "alias", shared.alias("_n"), (F.size("_x") + F.size("_y")).alias("_all"))
+    sim = F.coalesce(F.try_divide(F.col("_n"), F.col("_all") - F.col("_n")), F.lit(0.0))
+    return counted.select("name", "alias", sim.alias("sim")).filter(F.col("sim") >= threshold - 1e-9)
 
 
 def candidates(
