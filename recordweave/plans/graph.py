@@ -333,6 +333,33 @@ def one_hop(t):
     return graph.one_hop(supplies, nodes).drop("valid_to")
 
 
+@query("one_hop_typed", """SELECT l_suppkey AS from_id, l_partkey AS to_id, 'SUPPLIES' AS edge_type, l_orderkey AS source_record, p_name AS name
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND l_linenumber % 2 = 1""")
+def one_hop_typed(t):
+    supplies = t.lineitem.select(
+        F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"),
+        F.when(F.col("l_linenumber") % 2 == 1, "SUPPLIES").otherwise("SHIPS").alias("edge_type"), F.col("l_orderkey").alias("source_record"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("valid_to"),
+    )
+    nodes = t.part.select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"))
+    return graph.one_hop(supplies, nodes, "SUPPLIES").drop("valid_to")
+
+
+@query("edge_context_recorded", """WITH w AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 7 = 0),
+e AS (SELECT l_suppkey AS from_id, l_partkey AS to_id, 'S' || l_linenumber AS edge_type, l_discount AS confidence,
+  CAST(CAST(l_shipdate AS DATE) - CAST(l_orderkey % 900 AS INT) AS VARCHAR) AS transaction_time FROM lineitem)
+SELECT * FROM e WHERE from_id IN (SELECT k FROM w) OR to_id IN (SELECT k FROM w)
+ORDER BY transaction_time DESC, confidence DESC, from_id, to_id, edge_type LIMIT 50""")
+def edge_context_recorded(t):
+    """Newest by the time an edge was recorded, whatever it is about."""
+    rows = t.lineitem.select(
+        F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("edge_type"),
+        F.col("l_discount").alias("confidence"),
+        F.date_sub(F.col("l_shipdate").cast("date"), (F.col("l_orderkey") % 900).cast("int")).cast("string").alias("transaction_time"),
+    )
+    return graph.edge_context(rows, t.supplier.filter("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("entity")), 50)
+
+
 @query("pair_evidence", f"""{WITH_EDGES}, asked AS (
   SELECT from_id, to_id FROM edges ORDER BY confidence DESC, weight DESC, from_id, to_id LIMIT 100)
 SELECT from_id, to_id, item, desk, CAST(dt AS VARCHAR) AS "at", headline, rank FROM (
