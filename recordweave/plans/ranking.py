@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recordweave import dims
 from recordweave.functions import scoring
-from recordweave.operators import ranking, retrieval
+from recordweave.operators import ranking, retrieval, vector_index
 from recordweave.operators.common import positions, top_n
 from recordweave.plans import sqltext as sq
 from recordweave.plans.registry import query
@@ -372,6 +372,27 @@ def vector_topk(t):
     return nearest(t).withColumn("distance", F.round("distance", 6))
 
 
+_SINCE = "2024-01-21 06:00:00"
+
+
+@query("vector_topk_indexed", f"""WITH {_VEC}, dated AS (
+  SELECT vec_id AS record_id, embedding, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (vec_id * 7 % 960) AS "at",
+    list_distinct([['defense','ai','energy'][label % 3 + 1], ['defense','ai','energy'][vec_id % 3 + 1]]) AS desks FROM embeddings),
+each AS (SELECT record_id, embedding, unnest(desks) AS desk FROM dated WHERE "at" >= TIMESTAMP '{_SINCE}'),
+found AS (SELECT desk, record_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v), 9) AS d FROM each JOIN q USING (desk))
+SELECT desk, record_id, round(d, 6) AS distance, row_number() OVER (PARTITION BY desk ORDER BY d, record_id) AS rank FROM found QUALIFY rank <= 20""")
+def vector_topk_indexed(t):
+    desks = F.array(*[F.lit(d) for d in dims.DESKS])
+    rows = t.embeddings.select(
+        F.col("vec_id").alias("record_id"), "embedding",
+        F.array(F.element_at(desks, F.col("label") % 3 + 1), F.element_at(desks, (F.col("vec_id") % 3 + 1).cast("int"))).alias("desk"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=(F.col("vec_id") * 7 % 960).cast("int"))).alias("at"),
+    )
+    queries = retrieval.seed_vector(seeds(t)).withColumn("query_id", F.col("desk"))
+    found, _ = vector_index.search(vector_index.build(rows, cells=64), queries, since=_SINCE)
+    return found.select("desk", "record_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("passage_merge", f"""WITH {_SELECTED}, {_VEC},
 parts AS (SELECT desk, record_id, selection_rank AS rank, 0 AS part FROM selected
   UNION ALL SELECT desk, record_id, rank, 1 FROM topk),
