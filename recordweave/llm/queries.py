@@ -49,7 +49,8 @@ def op7_reply_trees(t: Tables) -> DataFrame:
         [(-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)], "conv_id bigint, turn bigint, role string, text string"
     )
     rows = t.conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.read_back(chat.format_paths(chat.paths(chat.linear_nodes(rows))))
+    # a plain conversation is one tree with one path
+    return chat.read_back(chat.format_paths(chat.paths(chat.linear_nodes(rows)))).drop("root_id", "branch")
 
 
 @query("op8_line_crf")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import duckdb
+import pytest
 
 from recordweave.llm import chat
 
@@ -14,11 +15,11 @@ def make(spark, rows):
     return spark.createDataFrame([(*r, "c", 1) for r in rows], NODES)
 
 
-def slow(rows):
+def slow(rows, top=1):
     out = {}
     for conv in {r[0] for r in rows}:
         own = {r[1]: r for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[3] or "", r[4] or ""), reverse=True)}
-        best = None
+        trees = {}
         parents = {r[2] for r in own.values()}
         for node in own:
             if node in parents:
@@ -30,24 +31,34 @@ def slow(rows):
             if at in path:
                 continue
             mean = round(sum(own[n][5] or 0 for n in path) / len(path), 9)
-            if best is None or (mean, len(path), -node) > best[0]:
-                best = (mean, len(path), -node), path[::-1]
-        if best:
-            out[conv] = [(own[n][3] or "", own[n][4] or "") for n in best[1]]
+            trees.setdefault(path[-1], []).append(((-mean, -len(path), node), path[::-1]))
+        for root, leaves in trees.items():
+            for branch, (_, path) in enumerate(sorted(leaves)[:top], 1):
+                out[conv, root, branch] = [(own[n][3] or "", own[n][4] or "") for n in path]
     return out
 
 
-def test_best_paths(spark):
+@pytest.mark.parametrize("top", [1, 3])
+def test_best_paths(spark, top):
     rng = random.Random(4)
     rows = []
     for conv in range(25):
         for n in range(rng.randint(1, 40)):
             rows.append((conv, n, None if n == 0 else rng.choice([n - 1, rng.randint(0, n - 1)]), rng.choice(["user", "assistant", None]), rng.choice([None, "", f"t{n}"]), rng.choice([None, 0.5, 1.0, rng.random()])))
     rows += [(None, 1, None, "user", "null id", 0.0), (50, 1, 2, "user", "cycle", 0.0), (50, 2, 1, "user", "cycle", 0.0), (51, 1, 99, "user", "no parent", 0.0), rows[3]]
+    # two trees in one conversation, one of them with a parent that is not there
+    rows += [(60, 1, None, "user", "q1", 0.0), (60, 2, 1, "assistant", "a1", 0.9), (60, 3, 77, "user", "q2", 0.0), (60, 4, 3, "assistant", "a2", 0.1), (60, 5, 3, "assistant", "a3", 0.2)]
+    path = chat.paths(make(spark, rows), top)
     got = {}
-    for r in sorted(chat.paths(make(spark, rows)).collect(), key=lambda r: r.depth):
-        got.setdefault(r.conv_id, []).append((r.role, r.text))
-    assert got == slow(rows)
+    for r in sorted(path.collect(), key=lambda r: r.depth):
+        got.setdefault((r.conv_id, r.root_id, r.branch), []).append((r.role, r.text))
+    assert got == slow(rows, top)
+    assert got[60, 1, 1] == [("user", "q1"), ("assistant", "a1")] and got[60, 3, 1] == [("user", "q2"), ("assistant", "a3")]
+    # every path is a conversation of its own, and comes back as it was
+    back = {(r.conv_id, r.root_id, r.branch): r for r in chat.read_back(chat.format_paths(path)).collect()}
+    assert {k: (r.n_turns, r.turns_sha256) for k, r in back.items()} == {
+        k: (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()) for k, turns in got.items()
+    }
 
 
 def test_escapes_and_parts(spark, monkeypatch):
@@ -70,7 +81,7 @@ def test_escapes_and_parts(spark, monkeypatch):
 def test_query_equals_its_sql_and_odd_rows(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", None), (1, None, "user", "a"), (1, 3, None, "b"), (-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE), (2, 0, "system", "x" * 300000), (2, 2, "assistant", "y\n" * 9000)]
     df = spark.createDataFrame([(*r, "n") for r in rows], "conv_id bigint, turn bigint, role string, text string, node_id string")
-    out = chat.read_back(chat.format_paths(chat.paths(chat.linear_nodes(df))))
+    out = chat.read_back(chat.format_paths(chat.paths(chat.linear_nodes(df)))).drop("root_id", "branch")
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, coalesce(?, -1), ?, ?)", [r for r in rows if r[0] != -7])
