@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from recordweave import dims
 from recordweave.plans.registry import query
-from recordweave.streaming import jobs, state
+from recordweave.session import run_dir
+from recordweave.streaming import jobs, pages, state
 
 
 def events(t):
@@ -93,3 +94,64 @@ def stream_watch(t):
         F.col("user_id").alias("source_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed")
     )
     return state.watch(runs, late="1 day", threshold=2)[0]
+
+
+# --- landed pages ------------------------------------------------------------------------
+
+_PARTS = """days AS (SELECT event_type, CAST(ts AS DATE) AS day, min(event_id % 2) AS low FROM events GROUP BY ALL),
+landed AS (SELECT e.*, CAST(e.ts AS DATE) AS day, e.event_id % 2 - low + 1 AS page FROM events e JOIN days d
+  ON e.event_type IS NOT DISTINCT FROM d.event_type AND CAST(e.ts AS DATE) IS NOT DISTINCT FROM d.day)"""
+LANDED = "event_id bigint, user_id bigint, props string"
+
+
+def landing(t, root):
+    """The events as pages, one or two of each type and day; gives a call that lands the page of a number."""
+    rows = t.events.select("event_id", "user_id", "props", F.col("event_type").alias("source_id"), F.col("ts").cast("date").alias("date"))
+    lows = rows.groupBy("source_id", "date").agg(F.min(F.col("event_id") % 2).alias("low"))
+    paged = rows.join(lows, ["source_id", "date"]).withColumn("page", (F.col("event_id") % 2 - F.col("low") + 1).cast("int")).drop("low")
+    typed = paged.withColumns({"event_id": F.col("event_id").cast("bigint"), "user_id": F.col("user_id").cast("bigint"), "props": F.col("props").cast("string")})
+
+    def land(page):
+        typed.filter(F.col("page") == page).write.mode("append").partitionBy("source_id", "date", "page").parquet(root)
+
+    return land
+
+
+@query("stream_pages", f"""WITH {_PARTS} SELECT event_type AS source_id, CAST(day AS VARCHAR) AS date, page, count(*) AS n_rows, sum(event_id)::BIGINT AS ids
+FROM landed GROUP BY ALL""")
+def stream_pages(t):
+    root, job = run_dir(t.spark, "landed"), run_dir(t.spark, "pages")
+    land = landing(t, root)
+
+    def step(batch, batch_id, out):
+        return batch.groupBy("source_id", "date", "page").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("ids"))
+
+    for page in (1, 2):
+        land(page)
+        # the second call goes on from the cursors of the first
+        told = jobs.fold(pages.stream_pages(t.spark, root, LANDED, default=45), "pages", step, job)
+    return told.groupBy("source_id", F.col("date").cast("string").alias("date"), F.col("page").cast("bigint").alias("page")).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("ids").alias("ids")
+    )
+
+
+@query("ingest_runs", f"""WITH {_PARTS},
+own AS (SELECT page, event_type, user_id, md5(props) AS h FROM landed
+  QUALIFY row_number() OVER (PARTITION BY page, event_type, user_id ORDER BY event_id) = 1),
+told AS (SELECT a.page, b.h IS NULL AS fresh FROM own a LEFT JOIN own b
+  ON b.page = 1 AND a.page = 2 AND b.event_type = a.event_type AND b.user_id = a.user_id AND b.h IS NOT DISTINCT FROM a.h)
+SELECT 'run-' || (page - 1) AS run_id, count(*) AS fetched, count(*) FILTER (fresh) AS "new", count(*) FILTER (NOT fresh) AS duplicate FROM told GROUP BY 1""")
+def ingest_runs(t):
+    root, job = run_dir(t.spark, "landed"), run_dir(t.spark, "ingest")
+    land = landing(t, root)
+
+    def parse(rows):
+        return rows.select(
+            "source_id", F.col("user_id").cast("string").alias("native_id"), F.md5(F.col("props").cast("binary")).alias("content_hash"),
+            F.col("event_id").alias("arrival"), F.array(F.lit(dims.DESKS[0])).alias("desks"),
+        )
+
+    for page in (1, 2):
+        land(page)
+        _, runs = pages.ingest(pages.stream_pages(t.spark, root, LANDED, default=45), parse, job)
+    return runs.select("run_id", "fetched", "new", "duplicate")
