@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from recordweave import dims
 from recordweave.plans.registry import query
 from recordweave.session import run_dir
+from recordweave.sources import sinks
 from recordweave.streaming import jobs, pages, state
 
 
@@ -155,3 +156,27 @@ def ingest_runs(t):
         land(page)
         _, runs = pages.ingest(pages.stream_pages(t.spark, root, LANDED, default=45), parse, job)
     return runs.select("run_id", "fetched", "new", "duplicate")
+
+
+# --- published briefs --------------------------------------------------------------------
+
+@query("published_briefs", """WITH e AS (SELECT ['defense','ai','energy'][user_id % 3 + 1] AS desk, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, event_id, ts FROM events),
+newest AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY desk, date ORDER BY event_id % 2 DESC, ts DESC, event_id DESC) = 1)
+SELECT desk, date, event_id AS brief_id, event_id % 4 AS n_items, event_id % 4 * 2 AS n_citations,
+  (event_id % 4 * 2) * event_id + (event_id % 4) AS cited FROM newest""")
+def published_briefs(t):
+    root = run_dir(t.spark, "published")
+    desks = F.array(*[F.lit(d) for d in dims.DESKS])
+    e = t.events.select("event_id", "ts", F.element_at(desks, (F.col("user_id") % 3 + 1).cast("int")).alias("desk"), F.col("ts").cast("date").cast("string").alias("date"))
+    cited = F.array(F.col("event_id"), F.col("event_id") + 1)
+    item = lambda n: F.struct(n.alias("item_id"), F.transform(cited, lambda r: F.struct(r.alias("raw_id"))).alias("citations"))
+    numbers = F.when(F.col("event_id") % 4 > 0, F.sequence(F.lit(1), (F.col("event_id") % 4).cast("int"))).otherwise(F.array().cast("array<int>"))
+    made = e.select("desk", "date", F.col("event_id").alias("brief_id"), F.col("ts").alias("made_at"), F.transform(numbers, item).alias("items"))
+    # briefs with odd ids land later and replace the others of their day
+    for odd in (0, 1):
+        made.filter(F.col("brief_id") % 2 == odd).write.mode("append").parquet(f"{root}/landed")
+        jobs.publish(jobs.read_stream(t.spark, f"{root}/landed", made.schema), f"{root}/tables")
+    items = sinks.read_briefs(t.spark, f"{root}/tables", "brief_items").groupBy("desk", "date").agg(F.count("*").alias("n_items"))
+    told = sinks.read_briefs(t.spark, f"{root}/tables", "citations").groupBy("desk", "date").agg(F.count("*").alias("n_citations"), F.sum("raw_id").alias("cited"))
+    out = sinks.read_briefs(t.spark, f"{root}/tables").select("desk", "date", "brief_id").join(items, ["desk", "date"], "left").join(told, ["desk", "date"], "left")
+    return out.fillna(0, ["n_items", "n_citations", "cited"])

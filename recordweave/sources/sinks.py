@@ -76,23 +76,40 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def replace_briefs(briefs: DataFrame, items: DataFrame, citations: DataFrame, root: str) -> None:
-    """Replace briefs by (desk, date) together with their items and citations.
+BRIEF_KEY = ["desk", "date"]
 
-    Children carry desk and date, so a rerun replaces the same partitions. A brief
-    that has no children leaves one row of nulls in their place, so its old
-    children go too; :func:`read_children` leaves such rows out.
-    """
-    by = ["desk", "date"]
-    for name, df in (("citations", citations), ("brief_items", items)):
-        marker = briefs.select(*by).distinct()
-        full = marker.join(df, by, "left")
-        overwrite_partitions(full, f"{root}/{name}", by)
-    overwrite_partitions(briefs, f"{root}/briefs", by)
+
+def _versioned(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all versions of a table, with ``version`` as text."""
+    schema = spark.read.parquet(path).drop("version").schema
+    return spark.read.schema(schema.add("version", "string")).parquet(path)
 
 
-def read_children(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}").filter(F.col(key).isNotNull())
+def replace_briefs(briefs: DataFrame, items: DataFrame, citations: DataFrame, root: str, version: str) -> None:
+    """Replace briefs by (desk, date) together with their items and citations, all at once.
+
+    A call writes its rows of the three tables under ``version`` and, last of all, the list of the briefs it
+    replaces; :func:`read_briefs` looks only at versions with such a list, so a write that fails half way is never
+    seen and no brief is shown with another's citations. Versions sort as text, a later one wins; a call with a version that is
+    there already replaces it, so a run or batch can be tried again. A brief that lost its items has none any more. Items
+    and citations of briefs that are not in ``briefs`` are left out. Superseded versions stay on disk.
+    """
+    replaced = briefs.select(*BRIEF_KEY).distinct()
+    own = f"version={quote(version, safe='')}"
+    # an earlier try of the same version is out of sight from here on
+    replaced.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/replaced/{own}")
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}")) for c in BRIEF_KEY]
+    briefs.write.mode("overwrite").parquet(f"{root}/briefs/{own}")
+    for name, df in (("brief_items", items), ("citations", citations)):
+        df.alias("c").join(replaced.alias("r"), same, "left_semi").write.mode("overwrite").parquet(f"{root}/{name}/{own}")
+    replaced.coalesce(1).write.mode("overwrite").parquet(f"{root}/replaced/{own}")
+
+
+def read_briefs(spark: SparkSession, root: str, name: str = "briefs") -> DataFrame:
+    """``briefs``, ``brief_items`` or ``citations`` as they stand: for each (desk, date) the rows of its newest complete version."""
+    newest = _versioned(spark, f"{root}/replaced").groupBy(*BRIEF_KEY).agg(F.max("version").alias("version"))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [*BRIEF_KEY, "version"]]
+    return _versioned(spark, f"{root}/{name}").alias("t").join(newest.alias("n"), same, "left_semi").drop("version")
 
 
 def write_edges(next_state: DataFrame, root: str, version: str) -> str:

@@ -1,6 +1,6 @@
-"""De-dup, late data, theme volume, breaker and silence alerts as streams.
+"""De-dup, late data, theme volume, breaker, silence alerts and published briefs as streams.
 
-Every job writes one small result per micro-batch under ``root`` and merges them
+Every job but the last writes one small result per micro-batch under ``root`` and merges them
 when read. The merged rows do not depend on how files fall into batches or in
 which order they come, no row is lost for being late, and a batch that is tried again overwrites
 its own folder. With the same ``root`` the next call reads only new files.
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordweave import dims
-from recordweave.session import run_dir
-from recordweave.sources.sinks import read_or_empty
+from recordweave.operators.common import first_row
+from recordweave.session import run_dir, stage
+from recordweave.sources.sinks import BRIEF_KEY, read_or_empty, replace_briefs
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -157,3 +158,22 @@ def silence_alerts(
     newest = seen.agg(F.max("last_seen").alias("newest"))
     limit = F.col("newest") - F.make_interval(hours=F.lit(hours))
     return seen.join(F.broadcast(newest), F.col("last_seen") < limit).select("source_id", "last_seen")
+
+
+def publish(briefs: DataFrame, root: str) -> None:
+    """Send a stream of finished briefs to the brief tables under ``root`` (read them with ``read_briefs``).
+
+    ``briefs``: desk, date, brief_id, made_at, items array of structs that hold an array ``citations``, and any other
+    columns. A batch is one version: of its briefs of one (desk, date) the newest counts (ties: the largest brief_id), and
+    replaces what earlier batches stored, with all its items and citations, at once. A batch that is tried again replaces itself.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        newest = stage(first_row(batch, BRIEF_KEY, [F.desc("made_at"), F.desc("brief_id")]), "briefs")
+        key = [*BRIEF_KEY, "brief_id"]
+        items = newest.select(*key, F.posexplode("items").alias("display_order", "item"))
+        citations = items.select(*key, "display_order", F.explode("item.citations").alias("citation")).select(*key, "display_order", "citation.*")
+        items = items.select(*key, "display_order", F.col("item").dropFields("citations").alias("item")).select(*key, "display_order", "item.*")
+        replace_briefs(newest.drop("items"), items, citations, root, f"{batch_id:012d}")
+
+    query = briefs.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from recordweave.sources import landing, parsers, sinks
@@ -145,17 +146,45 @@ def test_append_new_is_idempotent(spark, tmp_path):
 def test_replace_briefs_by_desk_and_date(spark, tmp_path):
     root = str(tmp_path)
 
-    def write(desk, items):
-        briefs = spark.createDataFrame([(desk, "2026-07-01", "b1", "x")], "desk string, date string, brief_id string, headline string")
-        children = spark.createDataFrame([(desk, "2026-07-01", i) for i in items], "desk string, date string, item_id int")
-        sinks.replace_briefs(briefs, children, children.withColumnRenamed("item_id", "citation_id"), root)
-
-    write("ai", [1, 2]), write("energy", [3]), write("ai", [9])
-    got = sinks.read_children(spark, root, "brief_items", "item_id")
-    assert sorted((r["desk"], r["item_id"]) for r in got.collect()) == [("ai", 9), ("energy", 3)]
-    write("ai", [])  # a brief that lost its items takes the old ones with it
-    assert [r["desk"] for r in sinks.read_children(spark, root, "brief_items", "item_id").collect()] == ["energy"]
-    assert spark.read.parquet(f"{root}/briefs").count() == 2
+    def write(version, desk, items, stray="none"):
+        briefs = spark.createDataFrame([(desk, "2026-07-01", f"b{version}", "x")], "desk string, date string, brief_id string, headline string")
+        children = spark.createDataFrame([(d, "2026-07-01", i) for i in items for d in (desk, stray)], "desk string, date string, item_id int")
+        sinks.replace_briefs(briefs, children, children.withColumnRenamed("item_id", "citation_id"), root, version)
+
+    write("001", "ai", [1, 2]), write("002", "energy", [3]), write("003", "ai", [9]), write("004", None, [4])
+    rows = sinks.read_briefs(spark, root, "brief_items").collect()
+    assert {(r["desk"], r["item_id"]) for r in rows} == {("ai", 9), ("energy", 3), (None, 4)} and len(rows) == 3
+    write("005", "ai", [])  # a brief that lost its items takes the old ones with it
+    assert {r["desk"] for r in sinks.read_briefs(spark, root, "brief_items").collect()} == {"energy", None}
+    assert {r["brief_id"] for r in sinks.read_briefs(spark, root).collect()} == {"b005", "b002", "b004"}
+    write("002", "energy", [7])  # tried again
+    assert {r["citation_id"] for r in sinks.read_briefs(spark, root, "citations").collect()} == {7, 4}
+
+
+@pytest.mark.parametrize("at", ["briefs", "brief_items", "citations"])
+def test_a_write_that_fails_half_way_is_not_seen(spark, tmp_path, at, monkeypatch):
+    root = str(tmp_path)
+    briefs = spark.createDataFrame([("ai", "2026-07-01", "old")], "desk string, date string, brief_id string")
+    kids = spark.createDataFrame([("ai", "2026-07-01", 1)], "desk string, date string, item_id int")
+    sinks.replace_briefs(briefs, kids, kids, root, "001")
+    fresh = briefs.withColumn("brief_id", F.lit("new"))
+    write = DataFrameWriter.parquet
+
+    def broken(self, path, *args, **kwargs):
+        if f"/{at}/" in path:
+            raise RuntimeError("lost")
+        return write(self, path, *args, **kwargs)
+
+    more = kids.withColumn("item_id", F.lit(2))
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", broken)
+        with pytest.raises(RuntimeError):
+            sinks.replace_briefs(fresh, more, more, root, "002")
+    seen = [sinks.read_briefs(spark, root, name).collect() for name in ("briefs", "brief_items", "citations")]
+    assert seen[0][0]["brief_id"] == "old" and [r["item_id"] for r in seen[1] + seen[2]] == [1, 1]
+    sinks.replace_briefs(fresh, more, more, root, "002")
+    seen = [sinks.read_briefs(spark, root, name).collect() for name in ("briefs", "brief_items", "citations")]
+    assert seen[0][0]["brief_id"] == "new" and [r["item_id"] for r in seen[1] + seen[2]] == [2, 2]
 
 
 def test_write_edges_versions(spark, tmp_path):
