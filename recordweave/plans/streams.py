@@ -97,6 +97,24 @@ def stream_watch(t):
     return state.watch(runs, late="1 day", threshold=2)[0]
 
 
+@query("stream_momentum", """WITH vol AS (SELECT event_type || '-' || (user_id % 10) AS theme, CAST(ts AS DATE) AS d, count(*) AS v FROM events GROUP BY ALL),
+back AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY d DESC) AS b, count(*) OVER (PARTITION BY theme) AS points FROM vol),
+mean AS (SELECT theme, avg(v) FILTER (b <= 7) AS recent, coalesce(avg(v) FILTER (b > 7), 0.0) AS baseline, any_value(points) AS points
+  FROM back WHERE b <= 28 GROUP BY theme),
+moves AS (SELECT *, CASE WHEN baseline > 0 THEN (recent - baseline) / baseline * 100.0 END AS delta_pct FROM mean)
+SELECT theme, round(recent, 6) AS recent, round(baseline, 6) AS baseline, points, round(delta_pct, 6) AS delta_pct,
+  CASE WHEN delta_pct >= 25 THEN 'up' WHEN delta_pct <= -25 THEN 'down' END AS direction FROM moves""")
+def stream_momentum(t):
+    # three landings of the events, days mixed: each call goes on from the one before
+    root = run_dir(t.spark, "moves")
+    rows = t.events.select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    for part in range(3):
+        rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(f"{root}/landed")
+        stream = jobs.read_stream(t.spark, f"{root}/landed", rows.schema).withColumn("theme", theme())
+        out = jobs.moves(stream, "theme", "ts", f"{root}/job")
+    return out.withColumns({c: F.round(c, 6) for c in ("recent", "baseline", "delta_pct")})
+
+
 # --- landed pages ------------------------------------------------------------------------
 
 _PARTS = """days AS (SELECT event_type, CAST(ts AS DATE) AS day, min(event_id % 2) AS low FROM events GROUP BY ALL),

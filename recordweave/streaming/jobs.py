@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from recordweave import dims
 from recordweave.operators.common import first_row
+from recordweave.operators.telemetry import momentum
 from recordweave.session import run_dir, stage
 from recordweave.sources.sinks import BRIEF_KEY, read_or_empty, replace_briefs
 
@@ -90,6 +91,34 @@ def volume(events: DataFrame, theme: str, at: str, slide_days: int = 1, root: st
     return fold(events, "volume", step, root).groupBy(theme, "start").agg(F.sum("volume").alias("volume"))
 
 
+def moves(events: DataFrame, theme: str, at: str, root: str | None = None) -> DataFrame:
+    """Momentum per theme (see ``telemetry.momentum``), told batch by batch for the themes the batch holds.
+
+    A batch stores its daily counts, adds up those of its themes over all batches so far, and stores what has
+    become of their momentum. The newest word on each theme is returned: the same as over all
+    rows at once, since a theme without new rows stays as it was. Late rows count like any others; rows
+    without a theme belong to none.
+    """
+    spark = events.sparkSession
+    root = root or run_dir(spark, "moves")
+    volumes = "theme string, day date, volume bigint"
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy(F.col(theme).cast("string").alias("theme"), F.col(at).cast("date").alias("day")).agg(F.count("*").alias("volume"))
+        counted.write.mode("overwrite").parquet(f"{root}/volume/batch={batch_id}")
+        told = batch.sparkSession.read.schema(f"{volumes}, batch int").parquet(f"{root}/volume").filter(F.col("batch") <= batch_id)
+        touched = told.filter(F.col("batch") == batch_id).select("theme").distinct()
+        mine = told.join(touched, "theme", "left_semi").groupBy("theme", "day").agg(F.sum("volume").alias("volume"))
+        momentum(mine).write.mode("overwrite").parquet(f"{root}/moves/batch={batch_id}")
+
+    query = events.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    none = momentum(spark.createDataFrame([], volumes)).withColumn("batch", F.lit(0))
+    told = read_or_empty(spark, f"{root}/moves", none)
+    columns = [c for c in told.columns if c not in ("theme", "batch")]
+    return told.groupBy("theme").agg(F.max_by(F.struct(*columns), "batch").alias("m")).select("theme", "m.*")
+
+
 def late_rows(events: DataFrame, source: str, at: str, seen: str) -> Column:
     """True for a row that arrives beyond its source's lookback."""
     days = F.create_map(*[F.lit(x) for kv in dims.LOOKBACK_DAYS.items() for x in kv])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recordweave import dims
 from recordweave.operators.ingest import merge_by_native_id
-from recordweave.session import run_dir
+from recordweave.session import run_dir, stage
 from recordweave.sources.sinks import append_new, read_or_empty
 
 FORMAT = "landed_pages"
@@ -171,7 +171,9 @@ def ingest(pages: DataFrame, parse: Callable[[DataFrame], DataFrame], root: str
 
     def store(batch: DataFrame, batch_id: int) -> None:
         run = f"{name}-{batch_id}"
-        counts = append_new(batch.sparkSession, merge_by_native_id(parse(batch)), f"{root}/raw", run)
+        # pages are read and parsed once; merging and appending look at their input several times
+        merged = stage(merge_by_native_id(stage(parse(batch), "parsed")), "merged")
+        counts = append_new(batch.sparkSession, merged, f"{root}/raw", run)
         counts.write.mode("overwrite").parquet(f"{root}/runs/batch={batch_id}")
 
     query = pages.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()

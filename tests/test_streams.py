@@ -67,3 +67,16 @@ def test_breaker_cools_down(spark, tmp_path):
     end = START + dt.timedelta(hours=5 * 199)
     state = lambda minutes: {r.source_id: r.state for r in jobs.breaker(stream(spark, path), 2, now=str(end + dt.timedelta(minutes=minutes))).collect()}
     assert state(29)[0] == "open" and state(31 + 300)[0] == "half_open" and state(0)[9] == "closed"
+
+
+def test_momentum_batch_by_batch(spark, landed):
+    themed = lambda df: df.withColumn("theme", F.col("source_id").cast("string"))
+    want = telemetry.momentum(telemetry.daily_volume(themed(spark.read.parquet(landed)), at="at"))
+    got = jobs.moves(themed(stream(spark, landed)), "theme", "at")
+    assert rows(got.select(*want.columns)) == rows(want)
+
+
+def test_momentum_of_an_empty_folder(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "runs"))
+    empty = jobs.read_stream(spark, str(tmp_path / "nothing*"), SCHEMA).withColumn("theme", F.lit("a"))
+    assert jobs.moves(empty, "theme", "at").count() == 0
