@@ -1,5 +1,8 @@
 """Line chunks: boundaries, removals, odd rows, and the SQL twin."""
 
+import hashlib
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -13,18 +16,34 @@ def make(spark, rows):
 
 
 def slow(rows):
-    """Texts after removal, by (doc_id, text): the first copy of each multi-line chunk stays."""
-    seen, out = {}, []
+    """Texts after removal, by (doc_id, text): what an earlier place has goes, if it is a chunk or a long run."""
+    seen, out = set(), []
     order = sorted({(i is not None, i or 0, t) for i, t in rows if t is not None}, key=lambda r: r[:2] + (lines_sig(r[2]),))
     for _, i, t in order:
-        kept = []
-        for number, _, part in lines.chunks(t.encode()):
-            body = b"\n".join(part)
-            if len(part) > 1 and body in seen:
+        all_lines = t.encode().split(b"\n")
+        gone, flag = set(), set()
+        for _, start, part in lines.chunks(t.encode()):
+            if len(part) > 1:
+                key = ("chunk", *part)
+                gone |= set(range(start, start + len(part))) if key in seen else set()
+                seen.add(key)
+        a = 0
+        for b, line in enumerate(all_lines, 1):
+            if b < len(all_lines) and len(line.split()) <= 10 and hashlib.md5(line).digest()[3] % 2:
                 continue
-            seen.setdefault(body, (i, number))
-            kept += part
-        out.append((i, t, b"\n".join(kept).decode()))
+            for k in range(a, b):
+                for key, reach in ((("head", *all_lines[a : k + 1]), range(a, k + 1)), (("tail", *all_lines[k:b]), range(k, b))):
+                    flag |= set(reach) if key in seen else set()
+                    seen.add(key)
+            a = b
+        run = []
+        for k in range(len(all_lines) + 1):
+            if k in flag:
+                run.append(k)
+            else:
+                gone |= set(run) if sum(len(all_lines[j].split()) for j in run) > 50 else set()
+                run = []
+        out.append((i, t, b"\n".join(x for k, x in enumerate(all_lines) if k not in gone).decode()))
     return out
 
 
@@ -55,8 +74,7 @@ def test_removal_of_repeats_and_odd_rows(spark):
     assert out.schema.simpleString() == df.schema.simpleString()
     got = out.collect()
     assert len(got) == len(rows)
-    alone = "\n".join(x.decode() for _, _, own in lines.chunks(part.encode()) if len(own) == 1 for x in own)
-    assert [r.text for r in got if r.doc_id == 1] == [alone] * 2  # a null doc_id comes first, single lines stay
+    assert [r.text for r in got if r.doc_id == 1] == [""] * 2  # a null doc_id comes first, and the run is long
     assert next(r.text for r in got if r.doc_id == 4) is None and next(r.text for r in got if r.doc_id is None) == part
     assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
     without = lines.dedup_lines(make(spark, [r for r in rows if r[0] is not None])).collect()
@@ -81,3 +99,37 @@ def test_hot_chunk(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(part + "\nrow "), "id").alias("text"))
     got = lines.line_report(df)
     assert got.filter("removed_chunks > 0").count() == 2999 and got.filter("doc_id = 0 and removed_chunks > 0").count() == 0
+
+
+def test_passages_of_any_shape_go_whole(spark):
+    """Passages of over 50 words in 1 to 5 lines, between other lines: all later copies go, whole, and nothing else."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for p in range(60):
+        m = p % 5 + 1
+        sizes = [51 // m + 1] * m
+        if m > 1 and p % 2:
+            sizes = [2] * (m - 1) + [51 - 2 * (m - 1)]
+        passage = [line(n) for n in sizes]
+        for copy in range(3):
+            before, after = [line(rng.randint(1, 30)) for _ in range(4)], [line(rng.randint(1, 30)) for _ in range(4)]
+            doc = 3 * p + copy
+            rows.append((doc, "\n".join(before + passage + after)))
+            want[doc] = "\n".join(before + (passage if copy == 0 else []) + after)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(make(spark, rows)).collect()}
+    assert got == want
+
+
+def test_short_repeats_stay_and_removals_leave_one_copy(spark):
+    rng = random.Random(6)
+    pool = [" ".join(f"w{k}{j}" for j in range(k % 23)) for k in range(40)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 30)))) for i in range(150)]
+    rows += [(500, "own words here\n" + pool[22] + "\nmore own words"), (501, "other\n" + pool[22] + "\nand others")]
+    df = make(spark, rows)
+    SIG.update({r.text: r.s for r in df.select("text", lines.sig().alias("s")).collect()})
+    want = {i: kept for i, _, kept in slow(rows)}
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert got == want and pool[22] in got[500] and pool[22] in got[501]
+    assert {x for _, t in rows for x in t.split("\n")} == {x for t in got.values() for x in t.split("\n")} | {""}
