@@ -22,6 +22,7 @@ from recordweave.session import stage
 
 BASE, PRIME = 31, 1_000_003
 LONG, RUN = 10, 50
+SALTS = 16
 WHOLE, HEAD, TAIL = 0, 1, 2
 
 
@@ -87,7 +88,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     Parts meet by hash first, without their bytes, and the first by (doc_id, sig, at) is
     their owner. Of parts that lie in one another only the longest goes on. These and
     their owners are then compared byte by byte. A part found everywhere is summed up
-    before each shuffle, and joins back as the long side of a unique key.
+    before each shuffle, and joins back as the long side of a unique key; after the
+    comparison by SHA-256 in place of the bytes, dealt by salts.
     """
     texts = docs.select("doc_id", sig().alias("sig"), text_bytes().alias("text"))
     place = F.struct("doc_id", "sig", "at")
@@ -136,10 +138,12 @@ def repeated(docs: DataFrame) -> DataFrame:
         cand.groupBy("kind", "hash", "bytes")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .filter(~F.col("first").eqNullSafe(F.col("last")))
-        .drop("last")
+        .select("kind", "hash", F.sha2("bytes", 256).alias("sha"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     return (
-        cand.join(first, ["kind", "hash", "bytes"])
+        cand.select("doc_id", "sig", "kind", "at", "n", "hash", F.sha2("bytes", 256).alias("sha"),
+                    F.pmod(F.xxhash64("doc_id", "sig"), F.lit(SALTS)).cast("int").alias("salt"))
+        .join(first, ["kind", "hash", "sha", "salt"])
         .filter(~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "sig")
         .agg(F.collect_set(F.struct("kind", "at", "n")).alias("parts"))
