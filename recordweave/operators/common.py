@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 from recordweave.session import stage
 
 
+# a task of a join or an aggregate on keys gets about so many rows, whatever the table's size
+TASK_ROWS = 250_000
+FEW_TASKS = 8
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into tasks of about ``TASK_ROWS`` of the job's ``rows`` rows.
+
+    Spark merges partitions by their compressed bytes, and ids and dates compress to a byte or two
+    a row, so a merged one may hold millions of rows to sort and hash. A table
+    that makes only a few tasks is left as it is.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > FEW_TASKS else df
+
+
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per group with their rank.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordweave import dims
 from recordweave.functions.names import normalize_mention, same_normalized_company
 from recordweave.functions.scoring import confidence, recency_weight
+from recordweave.operators.common import dealt
 from recordweave.operators.postings import DENSE, Postings, common_items
 from recordweave.session import stage
 
@@ -59,10 +60,12 @@ def pair_up(members: DataFrame) -> DataFrame:
     """Every unordered pair of entities of an item, smaller id first.
 
     ``members`` holds each (item, desk, at, entity) once and is read several times,
-    so it should be a stored table. Item sizes are counted first (a map-side
+    so it should be a stored table. It is dealt by item once, by its number of rows: no task
+    takes more for being on a larger table. Item sizes are counted first (a map-side
     aggregate over one column); only the few items above ``SMALL_ITEM`` take the
     block path.
     """
+    members = dealt(members, members.count(), "item")
     sizes = members.groupBy("item").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL_ITEM)
     small = members.join(sizes.select("item"), "item", "left_anti")
     large = members.join(sizes.select("item"), "item", "left_semi")
@@ -101,7 +104,8 @@ def _could_reach_floor(members: DataFrame, weight: Column, floor: float, boost:
     """
     best = (
         members.groupBy("entity")
-        .agg(F.sum(weight).alias("w"), (F.min("desk") != F.max("desk")).alias("cross"))
+        # desks by number: sums of texts are kept by sorting all rows
+        .agg(F.sum(weight).alias("w"), (F.min(F.xxhash64("desk")) != F.max(F.xxhash64("desk"))).alias("cross"))
         .filter(F.col("w") * F.when(F.col("cross"), max(boost, 1.0)).otherwise(1.0) >= floor - 1e-6)
     )
     return members.join(best.select("entity"), "entity", "left_semi")
@@ -114,9 +118,9 @@ def convergence_edges(
     """Decayed co-appearance edges above the floor, pairs over several desks boosted first."""
     age = F.date_diff(F.lit(as_of).cast("date"), F.col("at").cast("date"))
     decay = recency_weight(age, half_life)
-    # only entities that can reach the floor are paired, and their rows are stored once
-    # (repeats only raise the bound, so they can go after it, on fewer rows)
-    pairs = pair_up(stage(_could_reach_floor(members, decay, floor, boost).distinct(), "members"))
+    # members are worked out once, and of them only those that can reach the floor are paired
+    once = stage(members.distinct(), "members")
+    pairs = pair_up(stage(_could_reach_floor(once, decay, floor, boost), "pairable"))
     summed = pairs.groupBy("a", "b").agg(
         F.sum(decay).alias("raw"),
         F.count("*").alias("co_count"),

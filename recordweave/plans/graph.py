@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 
 from recordweave.operators import funding, graph
+from recordweave.operators.common import dealt
 from recordweave.plans import sqltext as sq
 from recordweave.plans.registry import query
 from recordweave.session import stage
@@ -17,8 +18,9 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def members(t):
-    orders = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    rows = t.lineitem.count()
+    orders = dealt(t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")), rows, "o_orderkey")
+    return dealt(t.lineitem, rows, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_orderkey").alias("item"), F.col("c_mktsegment").alias("desk"),
         F.col("o_orderdate").cast("date").alias("at"), F.col("l_suppkey").alias("entity"),
     )

@@ -359,3 +359,19 @@ def test_subscription_state(spark):
             (2, 1, "subscription_updated", "active", "p", "u"), (2, 2, "subscription_expired", "active", None, None)]
     df = spark.createDataFrame(data, "user_id int, seq int, event_name string, status string, period_end string, portal_url string")
     assert rows(reading.subscription_state(df)) == [(1, "active", "p2", "url", "pro"), (2, "cancelled", None, "u", "free")]
+
+
+def test_graph_tasks_take_no_more_on_larger_tables(spark, monkeypatch):
+    """Members are dealt by their number, not by compressed bytes, and no step of the floor keeps rows sorted to sum them."""
+    monkeypatch.setattr(common, "TASK_ROWS", 20)
+    monkeypatch.setattr(common, "FEW_TASKS", 2)
+    rows = [(i % 40, "AB"[i % 2], dt.date(2001, 5, 1), i * 7 % 11) for i in range(400)] + [(None, "A", dt.date(2001, 5, 1), 1)]
+    members = spark.createDataFrame(rows, "item int, desk string, at date, entity int")
+    once = members.distinct().count()
+    pairs = graph.co_pairs(members)
+    assert pairs.rdd.getNumPartitions() >= once // 20
+    want = {(i, d, min(a, b), max(a, b)) for i, d, _, a in rows for j, e, _, b in rows if i == j and i is not None and d == e and a != b}
+    assert {(r.item, r.desk, r.a, r.b) for r in pairs.filter("item IS NOT NULL").collect()} == want
+    bound = graph._could_reach_floor(members, F.lit(1.0), 1.5, 2.0)
+    assert "SortAggregate" not in bound._jdf.queryExecution().executedPlan().toString()
+    assert bound.count() == len(rows)
