@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash links by pigeonhole blocks, Jaccard links by MinHash bands, components."""
+"""Near-duplicates: SimHash links by pigeonhole blocks, checked and widened by Jaccard similarity, components."""
 
 from __future__ import annotations
 
@@ -189,17 +189,22 @@ def alike(x: np.ndarray, y: np.ndarray, share: float) -> bool:
     return both * 10**6 >= round(share * 10**6) * (len(x) + len(y) - both)
 
 
-def similar_rows(docs: DataFrame, width: int = 5, share: float = 0.8, tile: int = 4096, tile_bytes: int = 16_000_000) -> DataFrame:
+def similar_rows(
+    docs: DataFrame, width: int = 5, share: float = 0.8, tile: int = 4096, tile_bytes: int = 16_000_000, distance: int = 4
+) -> DataFrame:
     """(doc_id, sig, root) for every row of ``docs``: rows of one root are linked, ``sig`` marks the text.
 
     Texts whose sets of shingles of ``width`` words have a similarity of ``share`` or more are linked.
-    Equal sets are one node. Nodes meet in 40 bands of 6 smallest hashes; every link is verified on the sets themselves.
-
-    1. Each band bucket is held against its smallest node, which joins up a dense group
-       with one link a node.
-    2. Buckets that still hold several components are dealt in tiles of nodes; sketches within four standard
+    Equal sets are one node. Every link is verified on the sets themselves.
+
+    1. SimHash: fingerprints within ``distance`` bits (:func:`links`) link the smallest nodes that have them,
+       and nodes of one fingerprint are linked to the smallest of them.
+    2. At ``share`` fingerprints differ by 5 to 13 bits as a rule, where SimHash has no short list of keys. So
+       nodes meet in 40 bands of 6 smallest hashes too. Each band bucket is held against its
+       smallest node, which joins up a dense group with one link a node.
+    3. Buckets that still hold several components are dealt in tiles of nodes; sketches within four standard
        deviations of ``share`` join components into clusters, by fewer links than nodes.
-    3. The sets of a cluster of several components meet once, in tiles of ``tile_bytes``. There
+    4. The sets of a cluster of several components meet once, in tiles of ``tile_bytes``. There
        nodes of different components are verified, and a link that holds makes them one; so a
        tile gives fewer links than it has nodes and no pair of texts leaves it unverified.
 
@@ -214,7 +219,7 @@ def similar_rows(docs: DataFrame, width: int = 5, share: float = 0.8, tile: int
             low = minhash(own)
             keys = (low.reshape(BANDS, ROWS) * ORDERS[1][:ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
             sketch = (low >> np.uint64(24)).astype(np.uint8).tobytes()
-            yield doc_id, mark, signed(xxhash.xxh64_intdigest(own.tobytes())), keys.tolist(), sketch
+            yield doc_id, mark, signed(simhash(text)), signed(xxhash.xxh64_intdigest(own.tobytes())), keys.tolist(), sketch
 
     def whole(rows):
         for (text,) in rows:
@@ -247,24 +252,32 @@ def similar_rows(docs: DataFrame, width: int = 5, share: float = 0.8, tile: int
 
     rows = stage(
         map_rows(docs.select("doc_id", sig().alias("sig"), text_bytes().alias("text")), sketched,
-                 "doc_id bigint, sig bigint, node bigint, keys array<bigint>, sketch binary"),
-        "minhash",
+                 "doc_id bigint, sig bigint, fp bigint, node bigint, keys array<bigint>, sketch binary"),
+        "prints",
     )
+    # the links of fingerprints, as links of nodes
+    prints = stage(rows.select("fp", "node").distinct(), "nodes")
+    lows = prints.groupBy("fp").agg(F.min("node").alias("low"))
+    one, two = (lows.select(F.col("fp").alias(f"_{c}"), F.col("low").alias(c)) for c in "ab")
+    close = links(lows, distance, tile=tile).toDF("_a", "_b").join(one, "_a").join(two, "_b").select("a", "b")
+    close = close.union(prints.join(lows, "fp").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    close = stage(close.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
+
     keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("t", "k"))
     company = keyed.groupBy("t", "k").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     met = stage(keyed.join(company, ["t", "k"]), "met")
     sets = stage(
         map_rows(docs.select(text_bytes().alias("text")), whole, "node bigint, grams binary", rows=128)
-        .join(met.select("node").distinct(), "node", "left_semi")
+        .join(met.select("node").union(close.select(F.explode(F.array("a", "b")))).distinct(), "node", "left_semi")
         .dropDuplicates(["node"]),
         "sets",
     )
     marks = rows.select("node", "sketch").dropDuplicates(["node"])
-    links = "a bigint, b bigint"
+    pair = "a bigint, b bigint"
 
-    stars = met.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = met.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(close).distinct()
     one, two = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"_{c}")) for c in "ab")
-    near = stage(map_rows(stars.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), verified, links), "near")
+    near = stage(map_rows(stars.join(one, "a").join(two, "b").select("a", "b", "_a", "_b"), verified, pair), "near")
     named = stage(met.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
 
     # of two nodes in a bucket the star was the only pair
@@ -273,14 +286,14 @@ def similar_rows(docs: DataFrame, width: int = 5, share: float = 0.8, tile: int
         .filter("lo != hi AND size > 2").select("t", "k", F.ceil(F.col("size") / tile).cast("int").alias("m"))
     )
     open_ = named.select("t", "k", "node", "root").join(split, ["t", "k"]).join(marks, "node")
-    guessed = stage(map_rows(tiled(open_, "m", ["t", "k"], ["node", "root", "sketch"]), by_sketch, links), "guessed")
+    guessed = stage(map_rows(tiled(open_, "m", ["t", "k"], ["node", "root", "sketch"]), by_sketch, pair), "guessed")
 
     clusters = components(near.union(guessed))
     own = named.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "c"), "node").join(sets, "node")
     sizes = own.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.length("grams") + 300).alias("size"))
     several = sizes.filter("lo != hi").select("c", F.ceil(F.col("size") / tile_bytes).cast("int").alias("m"))
     held = own.join(several, "c").join(marks, "node")
-    rest = stage(map_rows(tiled(held, "m", ["c"], ["node", "root", "sketch", "grams"]), by_set, links), "rest")
+    rest = stage(map_rows(tiled(held, "m", ["c"], ["node", "root", "sketch", "grams"]), by_set, pair), "rest")
     roots = components(near.union(rest))
     return rows.select("doc_id", "sig", "node").join(roots, "node", "left").select("doc_id", "sig", F.coalesce("root", "node").alias("root"))
 

@@ -141,3 +141,22 @@ def test_similar_texts_against_all_pairs(spark):
     assert sorted((tuple(r) for r in simhash.similar(df, tile=5, tile_bytes=4000).collect()), key=str) == want
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {c for _, c in want} | {None}
     assert simhash.similar(df.limit(0)).count() == 0
+
+
+def test_near_dedup_goes_through_simhash_links_and_checks_them(spark, monkeypatch):
+    base = [f"w{i * i % 9973}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:200], "one", *base[201:]]), " ".join(f"v{i * 7 % 997}" for i in range(300)), " ".join(f"u{i * 11 % 997}" for i in range(200))]
+    prints = [simhash.signed(simhash.simhash(t.encode())) for t in texts]
+    assert ((prints[0] ^ prints[1]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 4
+    given, plain = [], simhash.links
+
+    def seen(df, distance, **more):
+        out = plain(df, distance, **more)
+        given.append({frozenset(r) for r in out.collect()})
+        # two unlike texts as if their fingerprints were close: the check on their words must part them
+        return out.union(spark.createDataFrame([(prints[2], prints[3])], "a bigint, b bigint"))
+
+    monkeypatch.setattr(simhash, "links", seen)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
+    assert given == [{frozenset(prints[:2])}] and kept == [0, 2, 3]
