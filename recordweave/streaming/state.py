@@ -104,23 +104,27 @@ def watch(
             self.waiting = handle.getListState("waiting", "at bigint, seq bigint, failed boolean")
             self.summary = handle.getValueState("summary", "last bigint, silent boolean, failures bigint, failed_at bigint, state string")
 
+        # every call to the handle is a round trip to the JVM, and so a large part of the time of a
+        # source with few runs: none is made whose answer is known
         def handleInputRows(self, key, rows, timerValues):
-            for pdf in rows:
-                self.waiting.appendList(list(zip(pdf["at_us"].tolist(), pdf["seq"].tolist(), pdf["failed"].tolist())))
-            yield from self.advance(key, timerValues)
+            new = [r for pdf in rows for r in zip(pdf["at_us"].tolist(), pdf["seq"].tolist(), pdf["failed"].tolist())]
+            yield from self.advance(key, timerValues, new, False)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            yield from self.advance(key, timerValues)
+            # a source has one timer, and Spark removes one that has expired by itself
+            yield from self.advance(key, timerValues, [], True)
 
         def close(self) -> None:
             pass
 
-        def advance(self, key, timerValues):
+        def advance(self, key, timerValues, new, fired):
             import pandas as pd
 
             now = timerValues.getCurrentWatermarkInMs() * 1000
-            last, silent, failures, failed_at, state = self.summary.get() if self.summary.exists() else (None, False, 0, None, "closed")
-            waiting = sorted(tuple(r) for r in self.waiting.get())
+            summary = self.summary.get()
+            last, silent, failures, failed_at, state = before = tuple(summary) if summary else (None, False, 0, None, "closed")
+            stored = [tuple(r) for r in self.waiting.get()]
+            waiting = sorted(stored + new)
             out = []
 
             def tick(to):
@@ -153,9 +157,13 @@ def watch(
                         out.append(("closed", at))
                     failures, failed_at, state = 0, None, "closed"
             tick(now)
-            if done:
-                self.waiting.put(waiting[done:]) if waiting[done:] else self.waiting.clear()
-            if last is not None:
+            if done and waiting[done:]:
+                self.waiting.put(waiting[done:])
+            elif done and stored:
+                self.waiting.clear()
+            elif not done and new:
+                self.waiting.appendList(new)
+            if last is not None and (last, silent, failures, failed_at, state) != before:
                 self.summary.update((last, silent, failures, failed_at, state))
             # the next moment at which something may happen by itself
             due = [waiting[done][0]] if done < len(waiting) else []
@@ -163,8 +171,10 @@ def watch(
                 due.append(last + silence + 1)
             if state == "open":
                 due.append(failed_at + cool)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            # a source without summary and stored runs has no timer yet
+            if not fired and (summary or stored):
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             if due:
                 self.handle.registerTimer(max(-(-min(due) // 1000), now // 1000 + 1))
             if out:

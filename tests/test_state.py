@@ -114,3 +114,76 @@ def test_streams_without_files(spark, tmp_path):
     assert jobs.breaker(empty()).count() == 0
     assert jobs.dedup(empty(), ["seq"], "at").count() == 0
     assert state.dedup_within(empty(), ["seq"], "at")[0].count() == 0
+
+
+def test_watch_asks_the_state_store_only_for_what_it_cannot_know(monkeypatch):
+    """A source with one run: put aside at first, told when its timer fires; every call to the store is counted."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    calls, kept = [], {}
+
+    class Kept:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append("get")
+            return kept.get(self.name) if self.name == "summary" else iter(kept.get(self.name, []))
+
+        def exists(self):
+            calls.append("exists")
+            return self.name in kept
+
+        def update(self, value):
+            calls.append("update")
+            kept[self.name] = value
+
+        put = update
+
+        def appendList(self, rows):
+            calls.append("append")
+            kept[self.name] = [*kept.get(self.name, []), *rows]
+
+        def clear(self):
+            calls.append("clear")
+            del kept[self.name]
+
+    class Handle:
+        timers: set = set()
+
+        def getListState(self, name, schema):
+            return Kept(name)
+
+        getValueState = getListState
+
+        def listTimers(self):
+            calls.append("list")
+            return iter(self.timers)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            self.timers = self.timers - {at}
+
+        def registerTimer(self, at):
+            calls.append("register")
+            self.timers = self.timers | {at}
+
+    runs = MagicMock()
+    monkeypatch.setattr(state, "run", lambda log, root: log)
+    state.watch(runs, silent_hours=1, threshold=1, root="unused")
+    grouped = runs.select.return_value.withWatermark.return_value.groupBy.return_value
+    watcher = grouped.transformWithStateInPandas.call_args.kwargs["statefulProcessor"]
+    handle, clock, hour = Handle(), MagicMock(), 3_600_000
+    watcher.init(handle)
+    clock.getCurrentWatermarkInMs.return_value = 0
+    row = pd.DataFrame({"at_us": [hour * 1000], "seq": [1], "failed": [True]})
+    assert list(watcher.handleInputRows(("s",), iter([row]), clock)) == []
+    assert sorted(calls) == ["append", "get", "get", "register"] and handle.timers == {hour}
+    calls.clear()
+    clock.getCurrentWatermarkInMs.return_value = 3 * hour
+    told = [tuple(r) for out in watcher.handleExpiredTimer(("s",), clock, MagicMock()) for r in out.itertuples(index=False)]
+    assert told == [("s", "open", hour * 1000), ("s", "half_open", hour * 1000 + 1_800_000_000), ("s", "silent", 2 * hour * 1000)]
+    # Spark drops the expired timer by itself; nothing is due any more
+    assert sorted(calls) == ["clear", "get", "get", "update"] and "waiting" not in kept
