@@ -172,8 +172,10 @@ def resolve(mentions: DataFrame, identifiers: DataFrame, aliases: DataFrame) ->
     ``mentions``: mention_id, mention, ids. Names are resolved once per distinct
     normalized name; mentions of the same unknown identifier get the same minted id.
     """
-    exact = by_identifier(mentions, identifiers)
-    unknown = mentions.join(exact.select("mention_id"), "mention_id", "left_anti")
+    # each is read several times below; a plan worked out anew joins and sorts all mentions again
+    mentions = stage(mentions, "mentions")
+    exact = stage(by_identifier(mentions, identifiers), "exact")
+    unknown = stage(mentions.join(exact.select("mention_id"), "mention_id", "left_anti"), "unknown")
     # every spelling is normalized and resolved once, however many mentions use it
     spelled = stage(
         unknown.select("mention").distinct().withColumn("name", normalize_mention(F.col("mention"))), "spellings"

@@ -375,3 +375,21 @@ def test_graph_tasks_take_no_more_on_larger_tables(spark, monkeypatch):
     bound = graph._could_reach_floor(members, F.lit(1.0), 1.5, 2.0)
     assert "SortAggregate" not in bound._jdf.queryExecution().executedPlan().toString()
     assert bound.count() == len(rows)
+
+
+def test_resolve_works_mentions_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        read.add(1)
+        return x
+
+    ids = "array<struct<id_type:string,id_value:string>>"
+    mentions = spark.createDataFrame([("m1", "Acme Corp", [("uei", "U1")]), ("m2", "Other Works", []), ("m3", "Acme", [("uei", "U9")])],
+                                     f"mention_id string, mention string, ids {ids}").withColumn("mention_id", counted("mention_id"))
+    known = spark.createDataFrame([("uei", "U1", 7, None)], "id_type string, id_value string, entity int, valid_to date")
+    aliases = spark.createDataFrame([("OTHER WORKS", 8)], "name string, entity int")
+    out = resolution.resolve(mentions, known, aliases).collect()
+    assert read.value == 3
+    assert {r.mention_id: r.resolved_by for r in out} == {"m1": "identifier:uei", "m2": "auto_high_confidence", "m3": "minted"}
