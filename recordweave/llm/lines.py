@@ -134,20 +134,22 @@ def repeated(docs: DataFrame) -> DataFrame:
         asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sig") == F.col("_sig"))
     ).select("doc_id", "sig", "text", "asked")
     cand = stage(map_rows(pairs, whole, key + ", bytes binary", rows=256), "bytes")
+    digest = F.unhex(F.sha2("bytes", 256)).alias("sha")
     first = (
         cand.groupBy("kind", "hash", "bytes")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .filter(~F.col("first").eqNullSafe(F.col("last")))
-        .select("kind", "hash", F.sha2("bytes", 256).alias("sha"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select("kind", digest, "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    return (
-        cand.select("doc_id", "sig", "kind", "at", "n", "hash", F.sha2("bytes", 256).alias("sha"),
-                    F.pmod(F.xxhash64("doc_id", "sig"), F.lit(SALTS)).cast("int").alias("salt"))
-        .join(first, ["kind", "hash", "sha", "salt"])
+    again = (
+        cand.select("doc_id", "sig", "kind", "at", "n", digest, F.pmod(F.xxhash64("doc_id", "sig"), F.lit(SALTS)).cast("int").alias("salt"))
+        .join(first, ["kind", "sha", "salt"])
         .filter(~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "sig")
         .agg(F.collect_set(F.struct("kind", "at", "n")).alias("parts"))
     )
+    # written, so that what was shuffled for the comparison is gone before the texts move again
+    return stage(again, "again")
 
 
 def with_cuts(docs: DataFrame) -> DataFrame:

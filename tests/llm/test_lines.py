@@ -133,3 +133,20 @@ def test_short_repeats_stay_and_removals_leave_one_copy(spark):
     got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
     assert got == want and pool[22] in got[500] and pool[22] in got[501]
     assert {x for _, t in rows for x in t.split("\n")} == {x for t in got.values() for x in t.split("\n")} | {""}
+
+
+def test_what_was_shuffled_to_compare_is_gone_before_the_texts_move_again(spark):
+    passage = "\n".join(f"line {i} of a passage that is found in several texts of this table" for i in range(6))
+    df = make(spark, [(i, f"{passage}\nown {i}") for i in range(30)]).repartition(3)
+
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffled()
+    cuts = lines.with_cuts(df)
+    assert not shuffled() - before
+    # left: the texts and their cuts, and the deal of the input above; nothing of the comparison
+    assert "bytes" not in cuts._jdf.queryExecution().optimizedPlan().toString()
+    assert cuts.filter("_cut IS NOT NULL").count() == 29
