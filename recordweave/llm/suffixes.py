@@ -19,6 +19,7 @@ SEPARATOR = 0xFF  # never in UTF-8
 BLOCK_BYTES = 8_000_000
 SHARE_BYTES = 2_000_000
 KEY_BYTES = 32_000_000
+RUNS = 1 << 16  # runs whose windows are laid out at once, at most REACH of each
 NO_ID = (1 << 63) - 1
 
 ONE = np.uint64(1)
@@ -87,8 +88,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def smallest_owner(parts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each 50-byte string of each part, the smallest owner of a part that has it.
+def smallest_owner(parts: list[bytes], owners: np.ndarray) -> np.ndarray:
+    """For each 50-byte string of each part, one part after the other, the smallest owner of a part that has it.
 
     The parts, different ones, are put in one string and its suffixes sorted; of those that start a
     whole 50-byte string in their part, neighbours with equal prefixes make a group.
@@ -114,7 +115,7 @@ def smallest_owner(parts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
     heads = np.flatnonzero(np.concatenate(([True], ~same)))
     low = np.minimum.reduceat(owner[order], heads)
     owner[order] = np.repeat(low, np.diff(np.append(heads, len(order))))
-    return np.split(owner[first], np.cumsum(many)[:-1])
+    return owner[first]
 
 
 # ------------------------------------------------------------------ which suffixes can matter
@@ -196,8 +197,19 @@ def grouped(rows, width: int = 1):
         yield key, group
 
 
+def by_share(share: np.ndarray):
+    """(share, places that have it, rising) of each share."""
+    order = np.argsort(share, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(share[order])) + 1):
+        if len(own):
+            yield int(share[own[0]]), own
+
+
 class Block:
-    """The texts of one block in a fixed order, with the parts of them that may repeat."""
+    """The texts of one block in a fixed order, with the runs of them that may repeat.
+
+    A run has its first window, its number of windows, its key and its document.
+    """
 
     def __init__(self, blobs: list[bytes], known: list[bytes]) -> None:
         docs = []
@@ -211,18 +223,26 @@ class Block:
         self.ids = np.array([d for d, _ in docs], np.int64)
         self.texts = [t for _, t in docs]
         self.body, self.starts = joined(self.texts)
-        self.known = np.unique(np.concatenate([summed(opened(k)[0]) for k in known])) if known else np.zeros(0, np.uint64)
-
-    def parts(self):
-        """(first windows, windows, keys, documents) of the runs that may repeat."""
-        raw = np.frombuffer(self.body, np.uint8)
-        for first, many, key in minimiser_runs(raw):
-            if not len(self.known):
-                continue
-            at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
-            ok = self.known[at] == key
-            first, many, key = first[ok], many[ok], key[ok]
-            yield first, many, key, np.searchsorted(self.starts, first, side="right") - 1
+        known = np.unique(np.concatenate([summed(opened(k)[0]) for k in known])) if known else np.zeros(0, np.uint64)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for first, many, key in minimiser_runs(np.frombuffer(self.body, np.uint8)) if len(known) else ():
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            ok = known[at] == key
+            found.append((first[ok], many[ok], key[ok]))
+        self.first, self.many, self.key = map(np.concatenate, zip(*found))
+        self.doc = np.searchsorted(self.starts, self.first, side="right") - 1
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The different runs as bytes in order of first place, the first run of each, and the number of every run.
+
+        Documents come by rising id, so the first run is one of the smallest document.
+        """
+        body, number = self.body, {}
+        ends = self.first + (self.many + LENGTH - 1)
+        which = np.array(
+            [number.setdefault(body[a:b], len(number)) for a, b in zip(self.first.tolist(), ends.tolist())], np.int64
+        )
+        return list(number), np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1)), which
 
 
 def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int = SHARE_BYTES) -> DataFrame:
@@ -324,62 +344,44 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
     def by_block(df):
         return df.repartition(blocks, "block").sortWithinPartitions("block", "kind")
 
-    def distinct_parts(block: Block):
-        """{share: {bytes: (place, smallest document, key)}} in order of first place."""
-        out: dict[int, dict[bytes, list]] = {}
-        body, ids = block.body, block.ids
-        for first, many, key, doc in block.parts():
-            for a, n, k, d in zip(first.tolist(), many.tolist(), key.tolist(), ids[doc].tolist()):
-                part = body[a : a + n + LENGTH - 1]
-                own = out.setdefault(k % shares, {})
-                if part not in own:  # documents come by rising id, so the first is the smallest
-                    own[part] = (len(own), d, k // shares & 0xFFFFFFFF)
-        return out
-
     def send(rows):
         for (number,), group in grouped(rows):
             block = Block([v for k, v in group if k == 2], [v for k, v in group if k == 0])
-            for share, own in distinct_parts(block).items():
-                yield share, number, squeeze(
-                    np.array([d for _, d, _ in own.values()], "<i8"), np.fromiter(map(len, own), np.int64, len(own)).astype("<i4"), b"".join(own),
-                    np.array([k for _, _, k in own.values()], "<u4"),
-                )
+            parts, head, _ = block.distinct()
+            ids, sizes = block.ids[block.doc[head]].astype("<i8"), (block.many[head] + LENGTH - 1).astype("<i4")
+            marks, share = (block.key[head] // np.uint64(shares)).astype("<u4"), (block.key[head] % np.uint64(shares)).astype(np.int64)
+            for s, own in by_share(share):
+                yield s, number, squeeze(ids[own], sizes[own], b"".join([parts[i] for i in own.tolist()]), marks[own])
 
     def answer(rows):
         for (share,), group in grouped(rows):
             place: dict[bytes, int] = {}
-            owner: list[int] = []
-            keys: list[int] = []
             asked = []
             for number, blob in group:
                 ids, sizes, body, marks = opened(blob)
-                at, mine = 0, []
-                for d, n, key in zip(
-                    np.frombuffer(ids, "<i8").tolist(), np.frombuffer(sizes, "<i4").tolist(), np.frombuffer(marks, "<u4").tolist()
-                ):
-                    k = place.setdefault(body[at : at + n], len(owner))
-                    if k == len(owner):
-                        owner.append(d)
-                        keys.append(key)
-                    elif d < owner[k]:
-                        owner[k] = d
-                    mine.append(k)
-                    at += n
-                asked.append((number, mine))
-            parts, owners = list(place), np.array(owner, np.int64)
-            _, where, count = np.unique(np.array(keys, np.uint32), return_inverse=True, return_counts=True)
+                ends = np.cumsum(np.frombuffer(sizes, "<i4"), dtype=np.int64).tolist()
+                mine = np.array([place.setdefault(body[a:b], len(place)) for a, b in zip([0, *ends], ends)], np.int64)
+                asked.append((number, mine, np.frombuffer(ids, "<i8"), np.frombuffer(marks, "<u4")))
+            parts = list(place)
+            owners, keys = np.full(len(parts), NO_ID, np.int64), np.zeros(len(parts), np.uint32)
+            for _, mine, ids, marks in asked:
+                np.minimum.at(owners, mine, ids)
+                keys[mine] = marks
+            many = np.fromiter(map(len, parts), np.int64, len(parts)) - LENGTH + 1
+            start = np.cumsum(many) - many
+            _, where, count = np.unique(keys, return_inverse=True, return_counts=True)
             # a run alone with its key has windows of its own only; the others are sorted
-            met = np.flatnonzero(count[where] > 1).tolist()
-            low = [np.full(len(part) - LENGTH + 1, d) for part, d in zip(parts, owner)]
-            if met:
-                for k, found in zip(met, smallest_owner([parts[k] for k in met], owners[met])):
-                    low[k] = found
-            for number, mine in asked:
-                # one value for a run whose windows all have the same smallest document
-                flat = [low[k] for k in mine]
-                even = np.array([bool((x == x[0]).all()) for x in flat])
-                short = [x[:1] if e else x for x, e in zip(flat, even.tolist())]
-                yield number, 1, squeeze(np.array([share], "<i8"), even, np.concatenate(short))
+            met = count[where] > 1
+            low = np.repeat(owners, many)
+            if met.any():
+                low[np.repeat(met, many)] = smallest_owner([parts[k] for k in np.flatnonzero(met).tolist()], owners[met])
+            # one value for a run whose windows all have the same smallest document
+            even = np.minimum.reduceat(low, start) == np.maximum.reduceat(low, start)
+            sent = np.where(even, 1, many)
+            for number, mine, _, _ in asked:
+                own = sent[mine]
+                at = np.repeat(start[mine] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                yield number, 1, squeeze(np.array([share], "<i8"), even[mine], low[at])
 
     sent = map_rows(by_block(cand.union(texts())).select("block", "kind", "blob"), send, "share int, block int, blob binary", rows=64)
     found = stage(
@@ -394,23 +396,22 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
                 share, even, low = opened(v)
                 replies[int(np.frombuffer(share, "<i8")[0])] = np.frombuffer(even, bool), np.frombuffer(low, "<i8")
             start = np.zeros(len(block.body) + 1, bool)
-            offset: dict[bytes, tuple[int, bool]] = {}
-            base, lows = 0, []
-            for share, own in distinct_parts(block).items():
+            parts, head, which = block.distinct()
+            sizes, total = block.many[head], 0
+            base, flat, lows = np.empty(len(parts), np.int64), np.empty(len(parts), bool), [np.zeros(0, np.int64)]
+            del parts
+            for share, own in by_share((block.key[head] % np.uint64(shares)).astype(np.int64)):
                 even, low = replies[share]
-                for part, e in zip(own, even.tolist()):
-                    offset[part] = base, e
-                    base += 1 if e else len(part) - LENGTH + 1
+                sent = np.where(even, 1, sizes[own])
+                base[own], flat[own] = total + np.cumsum(sent) - sent, even
+                total += len(low)
                 lows.append(low)
-            low = np.concatenate(lows) if lows else np.zeros(0, np.int64)
-            body = block.body
-            for first, many, _, doc in block.parts():
-                if not len(first):
-                    continue
-                at = [offset[body[a : a + n + LENGTH - 1]] for a, n in zip(first.tolist(), many.tolist())]
-                base_at, flat = np.array([x for x, _ in at], np.int64), np.array([e for _, e in at], bool)
+            low = np.concatenate(lows)
+            for at in range(0, len(which), RUNS):
+                some = slice(at, at + RUNS)
+                first, many, doc, part = block.first[some], block.many[some], block.doc[some], which[some]
                 inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                value = low[np.repeat(base_at, many) + np.where(np.repeat(flat, many), 0, inside)]
+                value = low[np.repeat(base[part], many) + np.where(np.repeat(flat[part], many), 0, inside)]
                 gone = value < np.repeat(block.ids[doc], many)
                 start[(np.repeat(first, many) + inside)[gone]] = True
             total = np.cumsum(start[:-1], dtype=np.int32)

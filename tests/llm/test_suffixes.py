@@ -70,3 +70,34 @@ def test_pieces_of_a_long_text(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_a_block_finds_its_runs_once(monkeypatch):
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcd") for _ in range(300))
+    docs = [(i, (shared[rng.randrange(100) :] + "".join(rng.choice("abcd") for _ in range(60)) * (i % 3)).encode()) for i in (7, 3, 9, 4, 8)]
+    blob = suffixes.squeeze(np.array([d for d, _ in docs], "<i8"), np.array([len(t) for _, t in docs], "<i8"), b"".join(t for _, t in docs))
+    body, _ = suffixes.joined([t for _, t in docs])
+    known = np.unique(np.concatenate([k for _, _, k in suffixes.minimiser_runs(np.frombuffer(body, np.uint8))]))[::2]
+    calls, find = [], suffixes.minimiser_runs
+    monkeypatch.setattr(suffixes, "minimiser_runs", lambda raw: calls.append(1) or find(raw))
+    block = suffixes.Block([blob], [suffixes.squeeze(suffixes.steps(known))])
+    parts, head, which = block.distinct()
+    assert len(calls) == 1 and set(block.key.tolist()) == set(known.tolist())
+    seen = [block.body[a : a + n + suffixes.LENGTH - 1] for a, n in zip(block.first.tolist(), block.many.tolist())]
+    assert parts == list(dict.fromkeys(seen)) and len(parts) < len(seen)
+    assert [parts[k] for k in which.tolist()] == seen
+    assert head.tolist() == [seen.index(p) for p in parts]
+    owner = {p: min(d for d, t in docs if p in t) for p in parts}
+    assert [int(block.ids[block.doc[i]]) for i in head] == [owner[p] for p in parts]
+
+
+def test_smallest_owner_of_each_string():
+    rng = random.Random(6)
+    core = bytes(rng.choice(b"ab") for _ in range(70))
+    parts = [core[i : i + 50 + i] for i in range(0, 12, 2)] + [core + b"x", b"y" + core]
+    owners = np.array([5, 3, 8, 1, 9, 2, 7, 4])
+    want = [
+        min(int(o) for q, o in zip(parts, owners) if p[k : k + 50] in q) for p in parts for k in range(len(p) - 49)
+    ]
+    assert suffixes.smallest_owner(parts, owners).tolist() == want
