@@ -189,10 +189,12 @@ def graph_edges_topn(t):
 
 def awards(t):
     """Award rows: line items as awards of the customer's nation to the supplier."""
+    rows = t.lineitem.count()
     buyers = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
         t.nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
-    return t.lineitem.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    buyers = dealt(buyers, rows, "o_orderkey")
+    return dealt(t.lineitem, rows, "l_orderkey").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit(" uei"), F.col("l_suppkey").cast("string"), F.lit(" ")).alias("recipient_uei"),
         F.col("n_name").alias("awarding_agency"), F.col("l_extendedprice").alias("amount_usd"),
         F.col("l_shipdate").cast("date").cast("string").alias("start_date"),

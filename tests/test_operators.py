@@ -393,3 +393,23 @@ def test_resolve_works_mentions_out_once(spark):
     out = resolution.resolve(mentions, known, aliases).collect()
     assert read.value == 3
     assert {r.mention_id: r.resolved_by for r in out} == {"m1": "identifier:uei", "m2": "auto_high_confidence", "m3": "minted"}
+
+
+def test_awards_are_dealt_by_their_number(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from recordweave.plans import graph as plans
+
+    t = SimpleNamespace(
+        lineitem=spark.range(400).selectExpr(
+            "id div 4 AS l_orderkey", "id % 7 AS l_suppkey", "cast(id AS double) AS l_extendedprice", "DATE'1998-01-01' + cast(id % 9 AS int) AS l_shipdate", "id % 4 AS l_linenumber"
+        ),
+        orders=spark.range(100).selectExpr("id AS o_orderkey", "id % 10 AS o_custkey"),
+        customer=spark.range(10).selectExpr("id AS c_custkey", "id % 3 AS c_nationkey"),
+        nation=spark.range(3).selectExpr("id AS n_nationkey", "concat('N', id) AS n_name"),
+    )
+    whole = rows(plans.awards(t))
+    monkeypatch.setattr(common, "TASK_ROWS", 20)
+    dealt = plans.awards(t)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert len(whole) == 400 and rows(dealt) == whole
