@@ -16,6 +16,11 @@ TASK_ROWS = 250_000
 FEW_TASKS = 8
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks of about ``TASK_ROWS`` rows."""
+    return -(-rows // TASK_ROWS)
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` into tasks of about ``TASK_ROWS`` of the job's ``rows`` rows.
 
@@ -23,7 +28,7 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     a row, so a merged one may hold millions of rows to sort and hash. A table
     that makes only a few tasks is left as it is.
     """
-    tasks = -(-rows // TASK_ROWS)
+    tasks = tasks_for(rows)
     return df.repartition(tasks, *keys) if tasks > FEW_TASKS else df
 
 

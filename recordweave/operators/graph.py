@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordweave import dims
 from recordweave.functions.names import normalize_mention, same_normalized_company
 from recordweave.functions.scoring import confidence, recency_weight
-from recordweave.operators.common import dealt
+from recordweave.operators.common import dealt, tasks_for
 from recordweave.operators.postings import DENSE, Postings, common_items
 from recordweave.session import stage
 
@@ -101,6 +101,7 @@ def _could_reach_floor(members: DataFrame, weight: Column, floor: float, boost:
     An edge weighs at most what the lighter of its two entities weighs over all
     items, so dropping the others before pairing loses nothing. This removes the
     long tail of entities seen once, which would make most of the pairs.
+    Members stream past a task's entities and are not sorted, so its memory does not depend on how many come.
     """
     best = (
         members.groupBy("entity")
@@ -108,26 +109,39 @@ def _could_reach_floor(members: DataFrame, weight: Column, floor: float, boost:
         .agg(F.sum(weight).alias("w"), (F.min(F.xxhash64("desk")) != F.max(F.xxhash64("desk"))).alias("cross"))
         .filter(F.col("w") * F.when(F.col("cross"), max(boost, 1.0)).otherwise(1.0) >= floor - 1e-6)
     )
-    return members.join(best.select("entity"), "entity", "left_semi")
+    return members.join(best.select("entity").hint("shuffle_hash"), "entity", "left_semi")
+
+
+def _pair_sums(members: DataFrame, weight: Column, name: str, desks: list[str]) -> tuple[DataFrame, int]:
+    """(a, b, ``name``, co_count, mask, last_seen) of every pair, and the tasks to sum them in.
+
+    The tasks go by the number of pairs, which grows faster than that of members where items
+    are large. ``members`` as in :func:`pair_up`.
+    """
+    n = F.col("n")
+    sizes = dealt(members.select("item"), members.count(), "item").groupBy("item").agg(F.count("*").alias("n"))
+    pairs = sizes.agg(F.sum(n * (n - 1) / 2)).first()[0]
+    summed = pair_up(members).groupBy("a", "b").agg(
+        F.sum(weight).alias(name),
+        F.count("*").alias("co_count"),
+        F.bit_or(_desk_bit(F.col("desk"), desks)).alias("mask"),
+        F.max(F.col("at").cast("date")).alias("last_seen"),
+    )
+    return summed, tasks_for(int(pairs or 0))
 
 
 def convergence_edges(
     members: DataFrame, as_of: str, desks: list[str],
     half_life: float = dims.HALF_LIFE_DAYS, floor: float = dims.WEIGHT_FLOOR, boost: float = dims.CROSS_DESK_BOOST,
 ) -> DataFrame:
-    """Decayed co-appearance edges above the floor, pairs over several desks boosted first."""
+    """Decayed co-appearance edges above the floor, pairs over several desks boosted first; stored."""
     age = F.date_diff(F.lit(as_of).cast("date"), F.col("at").cast("date"))
     decay = recency_weight(age, half_life)
     # members are worked out once, and of them only those that can reach the floor are paired
     once = stage(members.distinct(), "members")
-    pairs = pair_up(stage(_could_reach_floor(once, decay, floor, boost), "pairable"))
-    summed = pairs.groupBy("a", "b").agg(
-        F.sum(decay).alias("raw"),
-        F.count("*").alias("co_count"),
-        F.bit_or(_desk_bit(F.col("desk"), desks)).alias("mask"),
-        F.max(F.col("at").cast("date")).alias("last_seen"),
-    )
-    return _edge_rows(summed, desks, floor, boost)
+    pairable = stage(_could_reach_floor(once, decay, floor, boost), "pairable")
+    summed, tasks = _pair_sums(pairable, decay, "raw", desks)
+    return stage(_edge_rows(summed, desks, floor, boost), "edges", tasks)
 
 
 def _edge_rows(summed: DataFrame, desks: list[str], floor: float, boost: float) -> DataFrame:
@@ -148,7 +162,7 @@ def _edge_rows(summed: DataFrame, desks: list[str], floor: float, boost: float)
 def pair_state(
     members: DataFrame, ref: str, desks: list[str], half_life: float = dims.HALF_LIFE_DAYS
 ) -> DataFrame:
-    """Mergeable state of the pairs of some items: (a, b, scaled, co_count, mask, last_seen).
+    """Mergeable state of the pairs of some items, stored: (a, b, scaled, co_count, mask, last_seen).
 
     A pair's decayed sum at a day is the sum of 2^(t/h) over its items times 2^(-day/h),
     so ``scaled``, the sum of 2^((t - ref)/h), holds for every later day: it is added up and never worked
@@ -158,10 +172,8 @@ def pair_state(
         scaled = F.lit(1.0)
     else:
         scaled = F.pow(F.lit(2.0), F.date_diff(F.col("at").cast("date"), F.lit(ref).cast("date")) / half_life)
-    return co_pairs(members).groupBy("a", "b").agg(
-        F.sum(scaled).alias("scaled"), F.count("*").alias("co_count"),
-        F.bit_or(_desk_bit(F.col("desk"), desks)).alias("mask"), F.max(F.col("at").cast("date")).alias("last_seen"),
-    )
+    summed, tasks = _pair_sums(stage(members.distinct(), "members"), scaled, "scaled", desks)
+    return stage(summed, "pair-state", tasks)
 
 
 def merge_pair_states(*states: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def edge_scd2_incremental(t):
     """State of an earlier run, merged with the items since then; the open rows are those of that run."""
     every, names = members(t), supplier_names(t)
     at, day = F.col("at"), lambda d: F.lit(d).cast("date")
-    stored = stage(graph.pair_state(every.filter(at <= day(_LIVE_AT)), _REF, SEGMENTS), "pair-state")
+    stored = graph.pair_state(every.filter(at <= day(_LIVE_AT)), _REF, SEGMENTS)
     fresh = graph.pair_state(every.filter((at > day(_LIVE_AT)) & (at <= day(AS_OF))), _REF, SEGMENTS)
     live = graph.drop_self_company(graph.edges_of_state(stored, _LIVE_AT, _REF, SEGMENTS), names).select(
         "from_id", "to_id", F.lit("CONVERGES_WITH").alias("edge_type"), "weight", "confidence", F.lit(_LIVE_AT).alias("valid_from")

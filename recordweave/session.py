@@ -54,24 +54,31 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 # Spark drops the shuffle files of a statement when it ends, and not when the driver next collects garbage
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, tasks: int = 0) -> DataFrame:
     """Write a step of a job to the shared folder and go on from the written table.
 
     Use it where several later steps read the same costly result: it is computed
     once, the plan of what follows stays short, and a lost executor costs a reread.
     What was shuffled for it is not read again and goes from the executors' disks as soon as the table is written.
+    Its shuffles are cut into at least ``tasks`` parts, where the session asks for fewer.
     """
     spark = df.sparkSession
     path = run_dir(spark, name)
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    conf = {FREE_SHUFFLES: "true"}
+    if tasks > int(spark.conf.get(PARTITIONS)):
+        conf[PARTITIONS] = str(tasks)
+    before = {k: spark.conf.get(k, None) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(FREE_SHUFFLES)
-        else:
-            spark.conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from recordweave import dims
 from recordweave.operators import (
     common, funding, gazetteer, graph, ingest, ranking, reading, resolution, retrieval, telemetry, verdicts,
 )
+from recordweave.session import stage
 
 DAY = dt.date(2026, 7, 1)
 
@@ -413,3 +415,45 @@ def test_awards_are_dealt_by_their_number(spark, monkeypatch):
     dealt = plans.awards(t)
     assert dealt._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
     assert len(whole) == 400 and rows(dealt) == whole
+
+
+def _plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_are_not_sorted_to_reach_the_floor(spark):
+    """They stream past the entities: a partition that holds millions of rows takes no more memory."""
+    rows = [(i, "AB"[i % 2], dt.date(2001, 5, 1), e) for i in range(60) for e in (i % 3, 50 + i, None)]
+    members = spark.createDataFrame(rows, "item bigint, desk string, at date, entity bigint")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    try:
+        spark.conf.set(threshold, "-1")
+        kept = graph._could_reach_floor(members, F.lit(1.0), 1.5, 1.0)
+        assert "SortMergeJoin" not in _plan_of(kept)
+        assert sorted((r["item"], r["entity"]) for r in kept.collect()) == [(i, i % 3) for i in range(60)]
+    finally:
+        spark.conf.set(threshold, before)
+
+
+def test_pair_sums_are_cut_by_the_number_of_pairs(spark, monkeypatch):
+    """However few partitions the session asks for."""
+    tasks = []
+
+    def noted(df, name, least=0):
+        tasks.append((name, least))
+        return stage(df, name, least)
+
+    monkeypatch.setattr(common, "TASK_ROWS", 20)
+    monkeypatch.setattr(graph, "stage", noted)
+    rows = [(i, "AB"[i % 2], dt.date(2001, 5, 1), e) for i in range(40) for e in {i % 7, (i + 3) % 7, (i * i + 1) % 7, 70 + i % 5}]
+    members = spark.createDataFrame(rows, "item bigint, desk string, at date, entity bigint")
+    pairs = {(i, a, b) for i, _, _, a in rows for j, _, _, b in rows if i == j and a < b}
+    least = -(-len(pairs) // 20)
+    edges = graph.convergence_edges(members, "2001-05-01", ["A", "B"], half_life=0, floor=0.5)
+    state = graph.pair_state(members, "2001-01-01", ["A", "B"])
+    assert least > 8 and [t for t in tasks if t[1]] == [("edges", least), ("pair-state", least)]
+    counts = Counter((a, b) for _, a, b in pairs)
+    for df, a, b in ((edges, "from_id", "to_id"), (state, "a", "b")):
+        assert {(r[a], r[b]): r["co_count"] for r in df.collect()} == counts
+    assert graph.pair_state(members.limit(0), "2001-01-01", ["A", "B"]).count() == 0

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from recordweave.session import FREE_SHUFFLES, run_dir, stage
+from recordweave.session import FREE_SHUFFLES, PARTITIONS, run_dir, stage
 
 
 def shuffle_files(spark):
@@ -33,3 +33,19 @@ def test_the_session_keeps_its_own_setting(spark, setting):
         assert spark.conf.get(FREE_SHUFFLES, None) == setting
     finally:
         spark.conf.unset(FREE_SHUFFLES)
+
+
+def test_a_stage_is_cut_into_the_tasks_it_asks_for(spark):
+    own, merge = spark.conf.get(PARTITIONS), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    part = F.spark_partition_id().alias("part")
+    sums = spark.range(5_000).groupBy((F.col("id") % 1_000).alias("k")).count().select("k", part)
+    try:
+        spark.conf.set(merge, "false")
+        assert stage(sums, "many", int(own) * 3).agg(F.count_distinct("part")).first()[0] == int(own) * 3
+        assert stage(sums, "few", 1).agg(F.count_distinct("part")).first()[0] == int(own)
+        with pytest.raises(Exception):
+            stage(spark.range(3).select(F.raise_error(F.lit("no"))), "none", int(own) * 3)
+        assert spark.conf.get(PARTITIONS) == own
+    finally:
+        spark.conf.set(merge, before)
