@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -26,6 +26,7 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 MIX = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 65)]
 BLOOM_BITS = 23
 KEEP_WORDS = 400_000
+BLOCK_CHARS = 1 << 16
 
 
 def mark(word: str) -> int:
@@ -39,14 +40,14 @@ class Codes(dict):
     """Word to hash and flags, kept while there is room (it only saves time)."""
 
     def __missing__(self, word: str) -> int:
-        bare = word.strip(EDGE)
+        bare = word if word.isalpha() else word.strip(EDGE)
         code = END_BIT if word[-1] in ".!?:" or word == "\x01" else 0
         if bare and word != "\x01":
             low = bare.lower()
-            if any(c.isdigit() for c in low):
-                code |= DIGIT_BIT | SLOTS[NUMBER]
+            code |= mark(low) or 1
+            if not low.isalpha() and any(map(str.isdigit, low)):
+                code |= DIGIT_BIT
             else:
-                code |= mark(low) or 1
                 if low in UNITS:
                     code |= UNIT_BIT
                 if bare[0].isupper() and (len(bare) == 1 or not bare[1:].isupper()):
@@ -57,14 +58,8 @@ class Codes(dict):
         return code
 
 
-def template(text: str, codes: Codes) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(words, template hashes, which are slots) of a text: the first of its :func:`forms`."""
-    words, found = forms(text, codes)
-    return words, *found[0]
-
-
-def forms(text: str, codes: Codes) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """The words of a text and (hashes, which are slots) of its three forms.
+class Block:
+    """The words of some texts one after another, and (hashes, which are slots) of their three forms.
 
     Words are split at white space and bared of punctuation at their ends. One with a
     digit is a number; a unit word after a number is a unit; a word in title case
@@ -72,78 +67,140 @@ def forms(text: str, codes: Codes) -> tuple[list[str], list[tuple[np.ndarray, np
     other words stand for themselves in lower case. As that makes a name of any word
     that some heading or title holds, the second form takes only words inside a sentence
     for names, and in the third, which has no slots, every word stands for itself.
+    Each form has the slots of the next and maybe more. No text depends on the others:
+    they share arrays, as a few array steps for each text alone take most of the time.
     """
-    words = text.replace("\n", " \x01 ").split()
-    code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-    ends = (code & END_BIT) != 0
-    begins = np.concatenate(([True], ends[:-1]))[: len(code)]
-    there = (code & HASH) != 0
-    if not there.all():
-        words = [w for w, ok in zip(words, there.tolist()) if ok]
-        code, begins = code[there], begins[there]
-    hashes = code & HASH
-    number = (code & DIGIT_BIT) != 0
-    title = (code & TITLE_BIT) != 0
-    inside = title & ~begins
-    spread = inside | (title & np.isin(hashes, np.unique(hashes[inside]))) if inside.any() else inside
-    unit = ((code & UNIT_BIT) != 0) & np.concatenate(([False], number[:-1]))[: len(code)]
-    found = []
-    for name in (spread & ~unit, inside & ~unit):
-        found.append((np.where(unit, SLOTS[UNIT], np.where(name, SLOTS[NAME], hashes)), number | name | unit))
-    plain = hashes.copy()
-    for i in np.flatnonzero(number).tolist():
-        plain[i] = mark(words[i].strip(EDGE).lower()) or 1
-    return words, [*found, (plain, np.zeros(len(plain), bool))]
-
-
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` words."""
-    n = len(hashes) - width + 1
-    rolled = np.zeros(n, np.uint64)
+
+    def __init__(self, texts: list[str | None], codes: Codes):
+        self.raw: list[str] = []
+        raw = np.zeros(len(texts) + 1, np.int64)
+        for k, text in enumerate(texts, 1):
+            self.raw += (text or "").replace("\n", " \x01 ").split()
+            raw[k] = len(self.raw)
+        code = np.fromiter(map(codes.__getitem__, self.raw), np.int64, len(self.raw))
+        begins = np.ones(len(code), bool)
+        begins[1:] = (code[:-1] & END_BIT) != 0
+        begins[raw[:-1][np.diff(raw) > 0]] = True
+        self.kept = np.flatnonzero(code & HASH)
+        self.bounds = np.searchsorted(self.kept, raw)
+        code, begins = code[self.kept], begins[self.kept]
+        hashes = code & HASH
+        number = (code & DIGIT_BIT) != 0
+        unit = np.zeros(len(code), bool)
+        unit[1:] = number[:-1]
+        unit[self.bounds[:-1][np.diff(self.bounds) > 0]] = False
+        unit &= (code & UNIT_BIT) != 0
+        titles = np.flatnonzero(code & TITLE_BIT)
+        inner = ~begins[titles]
+        _, word = np.unique(hashes[titles], return_inverse=True)
+        word += self.text_of(titles) * len(titles)
+        template = np.where(number, SLOTS[NUMBER], np.where(unit, SLOTS[UNIT], hashes))
+        self.forms = []
+        for names in (titles[np.isin(word, word[inner])], titles[inner]):
+            names = names[~unit[names]]
+            found, slot = template.copy(), number | unit
+            found[names], slot[names] = SLOTS[NAME], True
+            self.forms.append((found, slot))
+        self.forms.append((hashes, np.zeros(len(code), bool)))
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        """Which text the words at these places are of."""
+        return np.searchsorted(self.bounds, at, "right") - 1
+
+    def words(self, at: int, width: int) -> list[str]:
+        return [self.raw[k] for k in self.kept[at : at + width].tolist()]
+
+    def starts(self, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(width, where windows of it begin); a text shorter than a window is one window."""
+        lengths = np.diff(self.bounds)
+        room = np.repeat(self.bounds[1:], lengths) - np.arange(self.bounds[-1])
+        yield width, np.flatnonzero(room >= width)
+        for short in range(1, width):
+            yield short, self.bounds[:-1][lengths == short]
+
+
+def blocks(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows that end in a text, in lists of about ``BLOCK_CHARS`` characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or "") + 1
+        if size >= BLOCK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def template(text: str, codes: Codes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, template hashes, which are slots) of a text: the first form of its :class:`Block`."""
+    block = Block([text], codes)
+    return block.words(0, len(block.kept)), *block.forms[0]
+
+
+def counts(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, and in all."""
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
+def rolling(hashes: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """Hash of the run of ``width`` words at each of these places."""
+    rolled = np.zeros(len(at), np.uint64)
     for k in range(width):
-        rolled += hashes[k : k + n].view(np.uint64) * MIX[k]
+        rolled += hashes[at + k].view(np.uint64) * MIX[k]
     return rolled
 
 
 def windows(text: str, width: int, codes: Codes, bloom: np.ndarray | None = None) -> Iterator[tuple[int, str, list[str]]]:
-    """(position, shape, slot values) of the windows of a text, each in all forms that differ.
+    """(position, shape, slot values) of the windows of a text, each in all forms that differ, see :func:`block_windows`."""
+    for _, at, shape, values in block_windows(Block([text], codes), width, bloom):
+        yield at, shape, values
+
+
+def block_windows(block: Block, width: int, bloom: np.ndarray | None = None) -> Iterator[tuple[int, int, str, list[str]]]:
+    """(which text, position in it, shape, slot values) of the windows of texts, each in all forms that differ.
 
     A form that leaves fewer than two plain words says nothing and is left out. ``bloom``
     leaves only windows whose hash it holds; a text shorter than a window is one window.
     """
-    words, found = forms(text or "", codes)
-    if not words:
-        return
-    width = min(width, len(words))
-    before: list[np.ndarray] = []
-    for hashes, slot in found:
-        rolled = rolling(hashes, width)
-        plain = np.concatenate(([0], np.cumsum(~slot)))
-        ok = plain[width:] - plain[:-width] >= min(2, width)
-        for other in before:
-            ok &= rolled != other
-        before.append(rolled)
-        if bloom is not None:
-            for bits in places(rolled):
-                ok &= (bloom[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
-        for at in np.flatnonzero(ok).tolist():
-            parts, values = [], []
-            for k in range(at, at + width):
-                low = words[k].strip(EDGE).lower()
-                if slot[k]:
-                    kind = next(s for s, h in SLOTS.items() if h == hashes[k])
-                    parts.append(kind)
-                    values.append(low)
-                else:
-                    parts.append(low)
-            yield at, " ".join(parts), values
-
-
-def places(rolled: np.ndarray) -> list[np.ndarray]:
-    """Two bit places of each window hash in the filter."""
+    kinds = {h: kind for kind, h in SLOTS.items()}
+    for size, starts in block.starts(width):
+        if not len(starts):
+            continue
+        before = None
+        for hashes, slot in block.forms:
+            at = starts
+            if before is not None:
+                changed = counts(slot != before)
+                at = at[changed[at + size] > changed[at]]
+            before = slot
+            slots = counts(slot)
+            at = at[slots[at + size] - slots[at] <= size - min(2, size)]
+            if bloom is not None:
+                for second in (False, True):
+                    bits = place(rolling(hashes, size, at), second)
+                    at = at[(bloom[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)]
+            texts = block.text_of(at)
+            for which, first, pos in zip(texts.tolist(), block.bounds[texts].tolist(), at.tolist()):
+                parts, values = [], []
+                for k, word in enumerate(block.words(pos, size), pos):
+                    low = word.strip(EDGE).lower()
+                    if slot[k]:
+                        parts.append(kinds[int(hashes[k])])
+                        values.append(low)
+                    else:
+                        parts.append(low)
+                yield which, pos - first, " ".join(parts), values
+
+
+def place(rolled: np.ndarray, second: bool) -> np.ndarray:
+    """One of the two bit places of each window hash in the filter."""
     mixed = (rolled ^ (rolled >> np.uint64(29))) * MIX[1]
-    top = np.uint64(64 - BLOOM_BITS)
-    return [(mixed >> top).astype(np.int64), (mixed * MIX[2] >> top).astype(np.int64)]
+    if second:
+        mixed *= MIX[2]
+    return (mixed >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -179,11 +236,13 @@ def bloom_of(items: DataFrame, width: int) -> bytes:
     """
     def each(rows):
         codes = Codes()
-        for (text,) in rows:
-            words, found = forms(text or "", codes)
-            for hashes, _ in found if words else ():
-                for bits in places(rolling(hashes, min(width, len(words)))):
-                    yield from zip((bits >> 3).tolist(), (1 << (bits & 7)).tolist())
+        for part in blocks(rows):
+            block = Block([text for (text,) in part], codes)
+            for size, at in block.starts(width):
+                for hashes, _ in block.forms:
+                    for second in (False, True):
+                        bits = place(rolling(hashes, size, at), second)
+                        yield from zip((bits >> 3).tolist(), (1 << (bits & 7)).tolist())
 
     out = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
     for at, bits in map_rows(items.select("text"), each, "at int, bits int").groupBy("at").agg(F.bit_or("bits")).collect():
@@ -234,9 +293,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, width: int = 5, share: float
 
     def each(rows):
         codes, bloom = Codes(), np.frombuffer(held.value, np.uint8)
-        for doc_id, mark_, text in rows:
-            for at, shape, values in windows(text, width, codes, bloom):
-                yield doc_id, mark_, at, shape, values
+        for part in blocks(rows):
+            for which, at, shape, values in block_windows(Block([text for _, _, text in part], codes), width, bloom):
+                yield *part[which][:2], at, shape, values
 
     found = map_rows(
         docs.select("doc_id", sig().alias("sig"), "text"), each,

@@ -1,5 +1,7 @@
 """Template windows, slot consistency, and reports on odd rows."""
 
+import pytest
+
 from recordweave.llm import leaks
 
 ITEM = "A farmer named Olga Petrov sells 12 crates of pears at 7 dollars a crate and 12 crates of plums so how much does Olga get"
@@ -84,3 +86,35 @@ def test_item_of_numbers(spark):
     item = "Add 3 + 4 + 5 + 6 + 7 + 8 + 9 + 10 + 11 + 12 + 13 + 14 + 15 and 16"
     got = report(spark, [(1, "Try this: " + item + " please"), (2, item.replace("1", "2"))], [(1, "3 4 5 6 7 8 9 10"), (2, item)])
     assert got[1].item_ids == [1, 2] and got[2].item_ids == []
+
+
+def test_each_word_is_hashed_once(monkeypatch):
+    seen, mark = [], leaks.mark
+    monkeypatch.setattr(leaks, "mark", lambda word: seen.append(word) or mark(word))
+    assert len(list(leaks.windows("take 7 of 9 pears " * 300, 5, leaks.Codes()))) > 1400
+    assert sorted(seen) == ["7", "9", "of", "pears", "take"]
+
+
+@pytest.mark.parametrize("chars", [1, 120, 1 << 16])
+def test_texts_of_a_block_stand_alone(monkeypatch, chars):
+    texts = [ITEM, "He gave 5", "km to go from here to Maria", None, "", "... !!", "Maria of the hill said no. Maria left", "Maria", "Olga went", "kg and 3", "kg 4 kg",
+             "- Anna came by", "a b 7 8", "1 2 3 4 5 6", "one\ntwo Three\nThree four five six", OTHER, OTHER.title(), "so Paul met Anna. Anna met Paul and", "Anna met no one here"]
+    want = {(k, *map(str, w)) for k, text in enumerate(texts) for w in leaks.windows(text, 5, leaks.Codes())}
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", chars)
+    codes, got = leaks.Codes(), []
+    for held in leaks.blocks(enumerate(texts)):
+        got += [(held[k][0], *map(str, w)) for k, *w in leaks.block_windows(leaks.Block([text for _, text in held], codes), 5)]
+    assert len(got) == len(want) and set(got) == want
+    assert {k for k, *_ in want} == set(range(len(texts))) - {3, 4, 5}
+
+
+def test_array_steps_do_not_grow_with_the_number_of_texts(monkeypatch):
+    steps, rolling = [], leaks.rolling
+    monkeypatch.setattr(leaks, "rolling", lambda *a: steps.append(1) or rolling(*a))
+    bloom, taken = leaks.np.full(1 << leaks.BLOOM_BITS - 3, 255, leaks.np.uint8), []
+    for n in (2, 40):
+        steps.clear()
+        for held in leaks.blocks([(ITEM,), (OTHER,)] * (n // 2)):
+            list(leaks.block_windows(leaks.Block([text for (text,) in held], leaks.Codes()), 5, bloom))
+        taken.append(len(steps))
+    assert taken[0] == taken[1] > 0
