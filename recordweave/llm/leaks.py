@@ -68,7 +68,7 @@ class Block:
     that some heading or title holds, the second form takes only words inside a sentence
     for names, and in the third, which has no slots, every word stands for itself.
     Each form has the slots of the next and maybe more. No text depends on the others:
-    they share arrays, as a few array steps for each text alone take most of the time.
+    they share arrays, as many array steps on each short text alone cost more than the work in them.
     """
 
     def __init__(self, texts: list[str | None], codes: Codes):
