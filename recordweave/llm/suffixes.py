@@ -19,6 +19,7 @@ SEPARATOR = 0xFF  # never in UTF-8
 BLOCK_BYTES = 8_000_000
 SHARE_BYTES = 2_000_000
 KEY_BYTES = 32_000_000
+GROUP, GROUPS = 8, 128  # shares sent as one value at most, from as many groups on
 RUNS = 1 << 16  # runs whose windows are laid out at once, at most REACH of each
 NO_ID = (1 << 63) - 1
 
@@ -175,14 +176,22 @@ def opened(value: bytes) -> list[bytes]:
     return out
 
 
+def planes(numbers: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, those of one place together, which compress well."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.copy()
+
+
+def of_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def steps(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences, byte planes apart, which compress well."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.copy()
+    """Sorted keys as differences, byte planes apart."""
+    return planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
 def summed(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(of_planes(raw, "<u8"), dtype=np.uint64)
 
 
 def grouped(rows, width: int = 1):
@@ -197,12 +206,18 @@ def grouped(rows, width: int = 1):
         yield key, group
 
 
-def by_share(share: np.ndarray):
-    """(share, places that have it, rising) of each share."""
+def by_group(share: np.ndarray, per: int):
+    """(group, places of its shares) of each group of ``per`` shares, by share and rising in each."""
     order = np.argsort(share, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(share[order])) + 1):
+    group = share[order] // per
+    for own in np.split(order, np.flatnonzero(np.diff(group)) + 1):
         if len(own):
-            yield int(share[own[0]]), own
+            yield int(share[own[0]]) // per, own
+
+
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each stretch, ``many`` of them, one stretch after the other."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
 
 class Block:
@@ -262,27 +277,31 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
        stream their texts again and cut them.
 
     A block holds about ``block_bytes`` of text, a share the runs of about
-    ``share_bytes`` of it; both numbers grow with the corpus, their sizes do not.
+    ``share_bytes`` of it; both numbers grow with the corpus, their sizes do not. What goes from many
+    places to many is sent in few values: keys of a batch of texts go to their share with the number of the block beside
+    each, and blocks and shares talk in groups of up to ``GROUP`` shares.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text_bytes().alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
     blocks, shares, key_shares = (max(1, -(-size // part)) for part in (block_bytes, share_bytes, KEY_BYTES))
+    per = min(GROUP, -(-shares // GROUPS))
+    groups = -(-shares // per)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
-    def batches(rows):
-        """Lists of rows of about 8 MB."""
+    def batches(rows, most):
+        """Lists of rows of about ``most`` bytes."""
         some, held = [], 0
         for row in rows:
             some.append(row)
             held += len(row[1])
-            if held >= 8_000_000:
+            if held >= most:
                 yield some
                 some, held = [], 0
         if some:
             yield some
 
     def keys(rows):
-        for some in batches(rows):
+        for some in batches(rows, 16_000_000):
             body, starts = joined([t for _, t, _ in some])
             where = np.array([b for _, _, b in some], np.int64)
             first, key = [], []
@@ -293,45 +312,41 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
                 continue
             key = np.concatenate(key)
             doc = np.searchsorted(starts, np.concatenate(first), side="right") - 1
-            block = where[doc]
-            order = np.lexsort((doc, key, block))
-            key, doc, block = key[order], doc[order], block[order]
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
-            heads = np.flatnonzero(fresh)
-            ends = np.append(heads[1:], len(key)) - 1
-            key, block, twice = key[heads], block[heads], doc[heads] != doc[ends]
-            share = (key % np.uint64(key_shares)).astype(np.int64)
-            order = np.lexsort((key, block, share))
-            key, block, twice, share = key[order], block[order], twice[order], share[order]
-            cuts = np.flatnonzero(np.concatenate(([True], (share[1:] != share[:-1]) | (block[1:] != block[:-1])))).tolist()
+            block, share = where[doc], (key % np.uint64(key_shares)).astype(np.int64)
+            order = np.lexsort((block, key, share))  # documents of a key in a block stay in order
+            key, doc, block, share = key[order], doc[order], block[order], share[order]
+            heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
+            twice = doc[heads] != doc[np.append(heads[1:], len(key)) - 1]
+            key, block, share = key[heads], block[heads].astype("<u4"), share[heads]
+            cuts = np.flatnonzero(np.diff(share, prepend=-1)).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(key)]):
-                yield int(share[a]), int(block[a]), squeeze(steps(key[a:b]), twice[a:b])
+                yield int(share[a]), squeeze(steps(key[a:b]), planes(block[a:b]), twice[a:b])
 
     def known(rows):
-        for (_,), group in grouped(rows):
-            own = [(block, summed(raw[0]), np.frombuffer(raw[1], bool)) for block, raw in ((b, opened(v)) for b, v in group)]
-            every = np.concatenate([k for _, k, _ in own])
-            twice = np.concatenate([f for _, _, f in own])
-            key, at, count = np.unique(every, return_inverse=True, return_counts=True)
+        for _, group in grouped(rows):
+            own = [(summed(raw[0]), of_planes(raw[1], "<u4"), np.frombuffer(raw[2], bool)) for raw in (opened(v) for (v,) in group)]
+            key, block, twice = map(np.concatenate, zip(*own))
+            del own
+            _, at, count = np.unique(key, return_inverse=True, return_counts=True)
             some = count > 1
-            np.logical_or.at(some, at[twice], True)
-            again = some[at]  # for each key sent, in the order of the blobs
-            first, wanted = 0, {}
-            for block, k, _ in own:
-                wanted.setdefault(block, []).append(k[again[first : first + len(k)]])
-                first += len(k)
-            for block, parts in wanted.items():
-                mine = np.unique(np.concatenate(parts))
-                if len(mine):
-                    yield block, 0, squeeze(steps(mine))
-
-    met = map_rows(dealt.select("doc_id", "text", "block"), keys, "share int, block int, blob binary", rows=256)
+            some[at[twice]] = True
+            again = some[at]
+            key, block = key[again], block[again]
+            order = np.lexsort((key, block))
+            key, block = key[order], block[order]
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))[: len(key)]
+            key, block = key[fresh], block[fresh]
+            cuts = np.flatnonzero(np.diff(block.astype(np.int64), prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(key)]):
+                yield int(block[a]), 0, squeeze(steps(key[a:b]))
+
+    met = map_rows(dealt.select("doc_id", "text", "block"), keys, "share int, blob binary", rows=256)
     cand = stage(
         map_rows(met.repartition(key_shares, "share").sortWithinPartitions("share"), known, "block int, kind int, blob binary", rows=256), "keys"
     )
 
     def bundle(rows):
-        for some in batches(rows):
+        for some in batches(rows, 32_000_000):
             by: dict[int, list] = {}
             for doc_id, text, block in some:
                 by.setdefault(block, []).append((doc_id, text))
@@ -350,42 +365,54 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
             parts, head, _ = block.distinct()
             ids, sizes = block.ids[block.doc[head]].astype("<i8"), (block.many[head] + LENGTH - 1).astype("<i4")
             marks, share = (block.key[head] // np.uint64(shares)).astype("<u4"), (block.key[head] % np.uint64(shares)).astype(np.int64)
-            for s, own in by_share(share):
-                yield s, number, squeeze(ids[own], sizes[own], b"".join([parts[i] for i in own.tolist()]), marks[own])
+            for g, own in by_group(share, per):
+                yield g, number, squeeze(
+                    (share[own] % per).astype("u1"), ids[own], sizes[own], b"".join([parts[i] for i in own.tolist()]), marks[own]
+                )
 
     def answer(rows):
-        for (share,), group in grouped(rows):
-            place: dict[bytes, int] = {}
-            asked = []
-            for number, blob in group:
-                ids, sizes, body, marks = opened(blob)
-                ends = np.cumsum(np.frombuffer(sizes, "<i4"), dtype=np.int64).tolist()
-                mine = np.array([place.setdefault(body[a:b], len(place)) for a, b in zip([0, *ends], ends)], np.int64)
-                asked.append((number, mine, np.frombuffer(ids, "<i8"), np.frombuffer(marks, "<u4")))
-            parts = list(place)
-            owners, keys = np.full(len(parts), NO_ID, np.int64), np.zeros(len(parts), np.uint32)
-            for _, mine, ids, marks in asked:
-                np.minimum.at(owners, mine, ids)
-                keys[mine] = marks
-            many = np.fromiter(map(len, parts), np.int64, len(parts)) - LENGTH + 1
-            start = np.cumsum(many) - many
-            _, where, count = np.unique(keys, return_inverse=True, return_counts=True)
-            # a run alone with its key has windows of its own only; the others are sorted
-            met = count[where] > 1
-            low = np.repeat(owners, many)
-            if met.any():
-                low[np.repeat(met, many)] = smallest_owner([parts[k] for k in np.flatnonzero(met).tolist()], owners[met])
-            # one value for a run whose windows all have the same smallest document
-            even = np.minimum.reduceat(low, start) == np.maximum.reduceat(low, start)
-            sent = np.where(even, 1, many)
-            for number, mine, _, _ in asked:
-                own = sent[mine]
-                at = np.repeat(start[mine] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-                yield number, 1, squeeze(np.array([share], "<i8"), even[mine], low[at])
-
-    sent = map_rows(by_block(cand.union(texts())).select("block", "kind", "blob"), send, "share int, block int, blob binary", rows=64)
+        for (g,), group in grouped(rows):
+            numbers, blobs = [number for number, _ in group], [opened(blob) for _, blob in group]
+            del group
+            inner, ids, sizes, marks = (
+                np.concatenate([np.frombuffer(raw[k], kind) for raw in blobs]) for k, kind in ((0, "u1"), (1, "<i8"), (2, "<i4"), (4, "<u4"))
+            )
+            body, cuts = b"".join([raw[3] for raw in blobs]), np.cumsum([0, *(len(raw[0]) for raw in blobs)]).tolist()
+            del blobs
+            ends = np.cumsum(sizes, dtype=np.int64)
+            begins = ends - sizes
+            base, flat, lows, total = np.empty(len(sizes), np.int64), np.empty(len(sizes), bool), [], 0
+            for _, own in by_group(inner.astype(np.int64), 1):
+                place: dict[bytes, int] = {}
+                mine = np.array(
+                    [place.setdefault(body[a:b], len(place)) for a, b in zip(begins[own].tolist(), ends[own].tolist())], np.int64
+                )
+                parts = list(place)
+                owners, keys = np.full(len(parts), NO_ID, np.int64), np.zeros(len(parts), np.uint32)
+                np.minimum.at(owners, mine, ids[own])
+                keys[mine] = marks[own]
+                many = np.fromiter(map(len, parts), np.int64, len(parts)) - LENGTH + 1
+                start = np.cumsum(many) - many
+                _, where, count = np.unique(keys, return_inverse=True, return_counts=True)
+                # a run alone with its key has windows of its own only; the others are sorted
+                met = count[where] > 1
+                low = np.repeat(owners, many)
+                if met.any():
+                    low[np.repeat(met, many)] = smallest_owner([parts[k] for k in np.flatnonzero(met).tolist()], owners[met])
+                # one value for a run whose windows all have the same smallest document
+                even = np.minimum.reduceat(low, start) == np.maximum.reduceat(low, start)
+                sent = np.where(even, 1, many)
+                base[own], flat[own] = (total + np.cumsum(sent) - sent)[mine], even[mine]
+                lows.append(low[spread(start, sent)])
+                total += len(lows[-1])
+            del body
+            low, sent = np.concatenate(lows), np.where(flat, 1, sizes - LENGTH + 1)
+            for number, a, b in zip(numbers, cuts, cuts[1:]):
+                yield number, 1, squeeze(np.array([g], "<i8"), flat[a:b], low[spread(base[a:b], sent[a:b])])
+
+    sent = map_rows(by_block(cand.union(texts())).select("block", "kind", "blob"), send, "part int, block int, blob binary", rows=64)
     found = stage(
-        map_rows(sent.repartition(shares, "share").sortWithinPartitions("share"), answer, "block int, kind int, blob binary", rows=64), "owners"
+        map_rows(sent.repartition(groups, "part").sortWithinPartitions("part"), answer, "block int, kind int, blob binary", rows=64), "owners"
     )
 
     def cut(rows):
@@ -393,15 +420,15 @@ def removals(docs: DataFrame, block_bytes: int = BLOCK_BYTES, share_bytes: int =
             block = Block([v for k, v in group if k == 2], [v for k, v in group if k == 0])
             replies = {}
             for v in (v for k, v in group if k == 1):
-                share, even, low = opened(v)
-                replies[int(np.frombuffer(share, "<i8")[0])] = np.frombuffer(even, bool), np.frombuffer(low, "<i8")
+                g, even, low = opened(v)
+                replies[int(np.frombuffer(g, "<i8")[0])] = np.frombuffer(even, bool), np.frombuffer(low, "<i8")
             start = np.zeros(len(block.body) + 1, bool)
             parts, head, which = block.distinct()
             sizes, total = block.many[head], 0
             base, flat, lows = np.empty(len(parts), np.int64), np.empty(len(parts), bool), [np.zeros(0, np.int64)]
             del parts
-            for share, own in by_share((block.key[head] % np.uint64(shares)).astype(np.int64)):
-                even, low = replies[share]
+            for g, own in by_group((block.key[head] % np.uint64(shares)).astype(np.int64), per):
+                even, low = replies[g]
                 sent = np.where(even, 1, sizes[own])
                 base[own], flat[own] = total + np.cumsum(sent) - sent, even
                 total += len(low)

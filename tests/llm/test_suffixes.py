@@ -101,3 +101,22 @@ def test_smallest_owner_of_each_string():
         min(int(o) for q, o in zip(parts, owners) if p[k : k + 50] in q) for p in parts for k in range(len(p) - 49)
     ]
     assert suffixes.smallest_owner(parts, owners).tolist() == want
+
+
+@pytest.mark.parametrize("group", [1, 3])
+def test_values_sent_do_not_multiply_blocks_by_shares(spark, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "KEY_BYTES", 4000)
+    monkeypatch.setattr(suffixes, "GROUP", group, raising=False)
+    monkeypatch.setattr(suffixes, "GROUPS", 1, raising=False)
+    made, plain = [], suffixes.map_rows
+    monkeypatch.setattr(suffixes, "map_rows", lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    rng = random.Random(8)
+    word = ["".join(rng.choice("abcdefgh") for _ in range(90)) for _ in range(60)]
+    docs = [(i, "".join(rng.choice(word) for _ in range(6)) + "".join(rng.choice("abcdefgh") for _ in range(60))) for i in range(120)]
+    size = sum(len(t) + 1 for _, t in docs)
+    blocks, key_shares, shares = -(-size // 1000), -(-size // 4000), -(-size // 1500)
+    assert got(spark, docs, block_bytes=1000, share_bytes=1500) == slow(docs)
+    keys, sent = made[0].count(), made[3].count()
+    # one value a share for each task that reads texts, not one for each block in it
+    assert keys <= 4 * 2 * key_shares < blocks * key_shares
+    assert sent <= blocks * -(-shares // group)
