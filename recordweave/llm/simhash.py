@@ -92,7 +92,8 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 7, tile: int = 409
     for buckets to stay small as the table grows. Only buckets with company go on. A
     bucket beyond ``tile`` values is dealt into tiles and each pair of tiles is one
     unit of work, so no task holds more than two tiles and no pair is left out. A unit
-    gives a spanning forest of its links, never all pairs.
+    gives a spanning forest of its links, never all pairs. The keys are never broadcast: Spark
+    sizes them as if a value had one key and would send all of them through the driver.
     """
     keyed = prints.select(
         "fp",
@@ -101,7 +102,7 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 7, tile: int = 409
     sizes = keyed.groupBy("t", "k").count().filter("count > 1")
     tiles = F.ceil(F.col("count") / tile).cast("int")
     met = (
-        keyed.join(sizes, ["t", "k"])
+        keyed.hint("merge").join(sizes, ["t", "k"])
         .select("t", "k", "fp", tiles.alias("n"))
         .withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
         .select(

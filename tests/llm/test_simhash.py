@@ -160,3 +160,13 @@ def test_near_dedup_goes_through_simhash_links_and_checks_them(spark, monkeypatc
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     kept = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
     assert given == [{frozenset(prints[:2])}] and kept == [0, 2, 3]
+
+
+def test_keys_of_the_blocks_are_not_broadcast(spark):
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    prints = spark.range(4000).select(F.xxhash64("id").alias("fp"))
+    for df in (prints, prints.groupBy("fp").agg(F.count("*").alias("n"))):
+        found = simhash.links(df)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
