@@ -143,7 +143,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
     again = (
         cand.select("doc_id", "sig", "kind", "at", "n", digest, F.pmod(F.xxhash64("doc_id", "sig"), F.lit(SALTS)).cast("int").alias("salt"))
-        .join(first, ["kind", "sha", "salt"])
+        .join(first.hint("merge"), ["kind", "sha", "salt"])  # sized as if it had no salts, so not to be broadcast
         .filter(~place.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "sig")
         .agg(F.collect_set(F.struct("kind", "at", "n")).alias("parts"))
@@ -153,11 +153,14 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def with_cuts(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_cut``: its repeated parts (null: none)."""
+    """``docs`` with ``_cut``: its repeated parts (null: none).
+
+    Parts are stored in a fraction of their size, so a file that Spark would broadcast may be too much for the driver.
+    """
     gone = repeated(docs).withColumnsRenamed({"doc_id": "_id", "sig": "_sig", "parts": "_cut"})
     return (
         docs.withColumn("_mark", sig())
-        .join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_sig")), "left")
+        .join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_sig")), "left")
         .drop("_id", "_sig", "_mark")
     )
 

@@ -266,7 +266,8 @@ def similar_rows(
 
     keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("t", "k"))
     company = keyed.groupBy("t", "k").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    met = stage(keyed.join(company, ["t", "k"]), "met")
+    # Spark sizes the exploded keys as one a node, so a broadcast of them could be forty times what it expects
+    met = stage(keyed.hint("merge").join(company, ["t", "k"]), "met")
     sets = stage(
         map_rows(docs.select(text_bytes().alias("text")), whole, "node bigint, grams binary", rows=128)
         .join(met.select("node").union(close.select(F.explode(F.array("a", "b")))).distinct(), "node", "left_semi")

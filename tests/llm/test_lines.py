@@ -150,3 +150,12 @@ def test_what_was_shuffled_to_compare_is_gone_before_the_texts_move_again(spark)
     # left: the texts and their cuts, and the deal of the input above; nothing of the comparison
     assert "bytes" not in cuts._jdf.queryExecution().optimizedPlan().toString()
     assert cuts.filter("_cut IS NOT NULL").count() == 29
+
+
+def test_salted_chunks_and_parts_are_not_broadcast(spark, monkeypatch):
+    plans, plain = {}, lines.stage
+    monkeypatch.setattr(lines, "stage", lambda df, name, *a: plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()) and plain(df, name, *a))
+    out = lines.dedup_lines(make(spark, [(i, "one line\nanother line\nand a third line") for i in range(20)]))
+    assert out.count() == 20
+    for plan in (plans["again"], out._jdf.queryExecution().sparkPlan().toString()):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -170,3 +170,11 @@ def test_keys_of_the_blocks_are_not_broadcast(spark):
         found.collect()
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_exploded_bands_are_not_broadcast(spark, monkeypatch):
+    plans, plain = {}, simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name, *a: plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()) and plain(df, name, *a))
+    df = spark.createDataFrame([(i, f"some words of text number {i % 5} stand here") for i in range(30)], "doc_id bigint, text string")
+    assert simhash.one_of_each(df).count() == 5
+    assert "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
